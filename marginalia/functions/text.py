@@ -21,14 +21,18 @@ SHORTEST_TERM = 2
 LATIN = "^[a-z0-9']+$"
 DIGITS = "^[0-9]+$"
 
-# Boundary classes. Possessive repeats keep the matcher from recursing on very long words.
-_LETTER = r"[\p{L}\p{M}\p{Nl}&&[^\p{IsHan}぀-ヿ]]"
-_JOINS_LETTERS = r"['‘’.․＇．··‧]"
-_JOINS_DIGITS = r"['‘’.․＇．,;٬]"
-WORD = rf"((?:{_LETTER}++(?:{_JOINS_LETTERS}{_LETTER}++)*+|\p{{Nd}}++(?:{_JOINS_DIGITS}\p{{Nd}}++)*+|_)++)"
-CJK_RUN = r"[\p{IsHan}぀-ヿ]++"
-CJK_START = r"^[\p{IsHan}぀-ヿ]"
-HAS_CJK = r"[\p{IsHan}぀-ヿ]"
+# Scripts written without spaces: Han, its marks and extensions, and kana.
+CJK = "々-〇぀-ヿ㐀-䶿一-鿿豈-﫿𠀀-𲎯"
+HAS_CJK = f"[{CJK}]"
+CJK_RUN = f"[{CJK}]++"
+CJK_START = f"^[{CJK}]"
+
+# Boundary classes. Plain letters are tried first because they are cheapest to recognise; possessive
+# repeats keep the matcher from recursing on very long words.
+_LETTER = rf"[\p{{L}}\p{{M}}\p{{Nl}}&&[^{CJK}]]"
+_JOINS_LETTERS = rf"(?:['‘’.․＇．··‧](?={_LETTER}))?+"
+_JOINS_DIGITS = r"(?:['‘’.․＇．,;٬](?=\p{Nd}))?+"
+WORD = rf"((?:[a-z]++{_JOINS_LETTERS}|{_LETTER}++{_JOINS_LETTERS}|\p{{Nd}}++{_JOINS_DIGITS}|_)++)"
 
 
 def analysis_text(title: Column, preview: Column) -> Column:
@@ -36,11 +40,17 @@ def analysis_text(title: Column, preview: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(preview, F.lit("")))
 
 
+def has_cjk(text: Column) -> Column:
+    """Whether the text has Han or kana; pure ASCII is told from its length alone."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(HAS_CJK)
+
+
 def detect_language(text: Column) -> Column:
     """``ja`` by kana, else ``zh`` by Han characters, else ``en``."""
     kana = F.regexp_count(text, F.lit(f"[{KANA}]"))
     han = F.regexp_count(text, F.lit(f"[{HAN}]"))
-    return F.when(kana > DECIDING_COUNT, "ja").when(han > DECIDING_COUNT, "zh").otherwise("en")
+    decided = F.when(kana > DECIDING_COUNT, "ja").when(han > DECIDING_COUNT, "zh").otherwise("en")
+    return F.when(has_cjk(text), decided).otherwise("en")
 
 
 def stem(word: Column) -> Column:
@@ -66,7 +76,8 @@ def without_possessive(word: Column) -> Column:
 
 
 def is_noise(word: Column, stop_words) -> Column:
-    return (F.length(word) < SHORTEST_TERM) | word.rlike(DIGITS) | word.isin(*stop_words)
+    starts_with_digit = (word >= "0") & (word < ":")
+    return (F.length(word) < SHORTEST_TERM) | (starts_with_digit & word.rlike(DIGITS)) | word.isin(*stop_words)
 
 
 def pairs(run: Column) -> Column:
@@ -85,7 +96,7 @@ def words(text: Column) -> Column:
             lambda w: F.when(w.rlike(CJK_START), pairs(w)).otherwise(F.array(w)),
         )
     )
-    return F.when(lowered.rlike(HAS_CJK), mixed).otherwise(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(1)))
+    return F.when(has_cjk(lowered), mixed).otherwise(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(1)))
 
 
 def term(word: Column, language: Column, stop_words=BASE_EN) -> Column:

@@ -16,8 +16,7 @@ SMALLEST_SIZE, SIZE_RANGE = 0.75, 1.5
 def document_words(library: DataFrame) -> DataFrame:
     """(seq, language, words): one row per document, words in text order."""
     body = tx.analysis_text(F.col("title"), F.col("article_preview"))
-    language = F.when(body.rlike(tx.HAS_CJK), tx.detect_language(body)).otherwise(F.lit("en"))
-    return library.select("seq", language.alias("language"), tx.words(body).alias("words"))
+    return library.select("seq", tx.detect_language(body).alias("language"), tx.words(body).alias("words"))
 
 
 def postings(library: DataFrame, stop_words=BASE_EN) -> DataFrame:
@@ -67,59 +66,60 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("cnt"))
 
 
-def keyword_pairs(words: Column) -> Column:
-    """Single content words and neighbouring pairs, as (key, display).
+def keyword_surfaces(words: Column) -> Column:
+    """Content words of a document and pairs of different neighbours that are both content words."""
+    content = F.transform(words, lambda w: F.when(w.rlike(tx.LATIN) & ~tx.is_noise(w, CLOUD_EN), w))
+    following = F.slice(content, 2, F.greatest(F.size(content), F.lit(1)))
+    pairs = F.zip_with(content, following, lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))
+    return F.array_compact(F.concat(content, pairs))
 
-    The key joins the stems; the display is the text itself. A pair needs two different words
-    that both carry content.
+
+def keyword_key(surface: Column) -> Column:
+    """What a word or a pair is grouped by: its stems."""
+    return F.concat_ws(
+        " ",
+        tx.stem(F.split_part(surface, F.lit(" "), F.lit(1))),
+        F.when(F.contains(surface, F.lit(" ")), tx.stem(F.split_part(surface, F.lit(" "), F.lit(2)))),
+    )
+
+
+def cloud_surfaces(library: DataFrame, mode: str = "plain") -> DataFrame:
+    """(language, surface, cnt, seen): the words of all documents, counted as they are written.
+
+    Whatever a word costs to filter and stem is then paid once per distinct word.
     """
-    content = F.transform(words, lambda w: F.when(~tx.is_noise(w, CLOUD_EN) & w.rlike(tx.LATIN), w))
-    single = F.transform(content, lambda w: F.struct(tx.stem(w).alias("key"), w.alias("display")))
-    shifted = F.slice(content, 2, F.greatest(F.size(content) - 1, F.lit(0)))
-    double = F.zip_with(
-        content,
-        shifted,
-        lambda a, b: F.when(
-            a != b,
-            F.struct(
-                F.concat_ws(" ", tx.stem(a), tx.stem(b)).alias("key"), F.concat_ws(" ", a, b).alias("display")
-            ),
-        ),
+    surfaces = F.col("words")
+    if mode == "grouped":
+        surfaces = F.when(F.col("language") == "en", keyword_surfaces(surfaces)).otherwise(surfaces)
+    return (
+        document_words(library)
+        .select("seq", "language", F.posexplode(surfaces).alias("pos", "surface"))
+        .groupBy("language", "surface")
+        .agg(F.count("*").alias("cnt"), F.min(values.first_seen(F.col("seq"), F.col("pos"))).alias("seen"))
     )
-    return F.filter(F.concat(single, double), lambda t: t["display"].isNotNull())
 
 
-def cloud_terms(library: DataFrame, mode: str = "plain") -> DataFrame:
-    """(seq, pos, grouped, key, display): every occurrence a cloud counts.
+def cloud_terms(surfaces: DataFrame, mode: str = "plain") -> DataFrame:
+    """(grouped, key, display, cnt, seen): surfaces as cloud terms, noise left out.
 
-    English documents give stems (``plain``) or content words and pairs (``grouped``). Documents
-    in Chinese or Japanese are always grouped.
+    English documents give stems (``plain``) or content words and pairs (``grouped``). Documents in
+    Chinese or Japanese are always grouped.
     """
-    documents = document_words(library)
-    english = F.col("language") == "en"
-    word, language = F.col("word"), F.col("language")
+    surface, language = F.col("surface"), F.col("language")
+    english = language == "en"
+    other = tx.cjk_keyword(surface, language)
     if mode == "plain":
-        stemmed = tx.term(word, language, CLOUD_EN)
-        other = tx.cjk_keyword(word, language)
-        return (
-            documents.select("seq", "language", F.posexplode("words").alias("pos", "word"))
-            .select(
-                "seq",
-                "pos",
-                (~english).alias("grouped"),
-                F.when(english, stemmed).otherwise(tx.cjk_keyword_key(other)).alias("key"),
-                F.when(english, stemmed).otherwise(other).alias("display"),
-            )
-            .where(F.col("key").isNotNull())
-        )
-    cjk = F.transform(
-        F.filter(F.transform("words", lambda w: tx.cjk_keyword(w, language)), lambda w: w.isNotNull()),
-        lambda w: F.struct(tx.cjk_keyword_key(w).alias("key"), w.alias("display")),
-    )
-    terms = F.when(english, keyword_pairs(F.col("words"))).otherwise(cjk)
-    return documents.select("seq", F.posexplode(terms).alias("pos", "t")).select(
-        "seq", "pos", F.lit(True).alias("grouped"), "t.key", "t.display"
-    )
+        stemmed = tx.term(surface, language, CLOUD_EN)
+        key, display, grouped = stemmed, stemmed, ~english
+    else:
+        key, display, grouped = keyword_key(surface), surface, F.lit(True)
+    return surfaces.select(
+        grouped.alias("grouped"),
+        F.when(english, key).otherwise(tx.cjk_keyword_key(other)).alias("key"),
+        F.when(english, display).otherwise(other).alias("display"),
+        "cnt",
+        "seen",
+    ).where(F.col("key").isNotNull())
 
 
 def cloud_counts(terms: DataFrame) -> DataFrame:
@@ -128,13 +128,16 @@ def cloud_counts(terms: DataFrame) -> DataFrame:
     A group is shown as its most frequent surface. ``seen`` orders ties: grouped terms first, each
     kind by first appearance.
     """
-    surfaces = terms.groupBy("grouped", "key", "display").agg(
-        F.count("*").alias("cnt"), F.min(values.first_seen(F.col("seq"), F.col("pos"))).alias("seen")
-    )
-    groups = surfaces.groupBy("grouped", "key").agg(
-        F.max_by("display", F.struct("cnt", -F.col("seen"))).alias("display"),
-        F.sum("cnt").alias("cnt"),
-        F.min("seen").alias("seen"),
+    groups = (
+        terms.repartition("grouped", "key")
+        .groupBy("grouped", "key", "display")
+        .agg(F.sum("cnt").alias("cnt"), F.min("seen").alias("seen"))
+        .groupBy("grouped", "key")
+        .agg(
+            F.max_by("display", F.struct("cnt", -F.col("seen"))).alias("display"),
+            F.sum("cnt").alias("cnt"),
+            F.min("seen").alias("seen"),
+        )
     )
     earlier = F.when(F.col("grouped"), F.col("seen") + F.lit(-(2**63))).otherwise(F.col("seen"))
     return groups.groupBy(F.lower("display").alias("word")).agg(
@@ -144,7 +147,8 @@ def cloud_counts(terms: DataFrame) -> DataFrame:
 
 def word_cloud(library: DataFrame, mode: str = "plain", limit: int = CLOUD_WORDS) -> DataFrame:
     """The most frequent words with their display size."""
-    top = cloud_counts(cloud_terms(library, mode)).orderBy(F.desc("cnt"), "seen").limit(limit)
+    counted = cloud_counts(cloud_terms(cloud_surfaces(library, mode), mode))
+    top = counted.orderBy(F.desc("cnt"), "seen").limit(limit)
     largest = F.max("cnt").over(W.partitionBy())
     size = F.lit(SMALLEST_SIZE) + F.col("cnt") / largest * SIZE_RANGE
     return top.select("word", "cnt", size.alias("size_ratio"))

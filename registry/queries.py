@@ -71,13 +71,13 @@ def _all_selected(spark, d):
 
 
 def _cloud_term_counts(spark, d):
-    found = terms.cloud_terms(search.active(tables.library(spark, d)))
-    return terms.cloud_counts(found).select("word", "cnt")
+    surfaces = terms.cloud_surfaces(search.active(tables.library(spark, d)))
+    return terms.cloud_counts(terms.cloud_terms(surfaces)).select("word", "cnt")
 
 
 def _pairs(spark, d):
-    found = terms.cloud_terms(search.active(tables.library(spark, d)), "grouped")
-    return found.groupBy("key", "display").agg(F.count("*").alias("cnt"))
+    surfaces = terms.cloud_surfaces(search.active(tables.library(spark, d)), "grouped")
+    return terms.cloud_terms(surfaces, "grouped").select("key", "display", "cnt")
 
 
 def _matches(spark, d):
