@@ -61,9 +61,10 @@ def first_seen(seq: Column, pos: Column) -> Column:
     return F.shiftleft(seq.cast("bigint"), POSITION_BITS) + F.least(pos.cast("bigint"), F.lit(last))
 
 
-def deleted_at_label(deleted_at: Column, unknown="unknown") -> Column:
-    """Readable time of a trash stamp; unreadable stamps are shown as they are."""
-    shown = F.date_format(F.try_to_timestamp(deleted_at), "yyyy/M/d HH:mm:ss")
+def deleted_at_label(deleted_at: Column, unknown="unknown", zone="UTC") -> Column:
+    """Readable time of a trash stamp in a time zone; unreadable stamps are shown as they are."""
+    utc = F.to_utc_timestamp(F.try_to_timestamp(deleted_at), F.current_timezone())
+    shown = F.date_format(F.from_utc_timestamp(utc, zone), "yyyy/M/d HH:mm:ss")
     return F.when(F.coalesce(deleted_at, F.lit("")) == "", F.lit(unknown)).otherwise(F.coalesce(shown, deleted_at))
 
 

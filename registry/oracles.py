@@ -272,5 +272,141 @@ def read_oracles() -> dict[str, str]:
     }
 
 
+RAW = r"""
+raw AS (
+  SELECT t.seq, CASE WHEN l.quality IS NOT NULL THEN t.id END AS own_id, t.title, t.url, t.article_preview,
+         t.detected_language || ',' || t.source_file_id AS tags, l.quality, t.source_file_id AS list
+  FROM library t LEFT JOIN labels l ON l.doc_id = t.seq)"""
+
+INCOMING = r"""
+incoming AS (
+  SELECT CAST(page_id AS VARCHAR) AS id, page_id AS in_seq, 'page ' || url AS title, url,
+         CAST(NULL AS BOOLEAN) AS is_favorite FROM pages
+  UNION ALL
+  SELECT 'user' || user_id, event_id + 1000000000, event_type, 'https://users.example/' || user_id,
+         CASE event_type WHEN 'click' THEN true WHEN 'error' THEN false END FROM events),
+newest AS (
+  SELECT id, arg_max(title, in_seq) AS title, arg_max(url, in_seq) AS url, min(in_seq) AS first_in,
+         arg_max(is_favorite, in_seq) FILTER (WHERE is_favorite IS NOT NULL) AS star FROM incoming GROUP BY id)"""
+
+BAD = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0"
+GOOD = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1"
+
+
+def stable_id_sql(url: str, salt: str) -> str:
+    """64-bit FNV-1a of ASCII text, in 128-bit arithmetic."""
+    text = f"{salt} || chr(0) || {url}"
+    units = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(unicode(substr({text}, i, 1)) AS HUGEINT))"
+    step = "(xor(h, u) * 1099511628211) % 18446744073709551616"
+    state = f"list_reduce(list_concat([CAST(14695981039346656037 AS HUGEINT)], {units}), lambda h, u: {step})"
+    high, low = f"CAST(({state}) // 4294967296 AS BIGINT)", f"CAST(({state}) % 4294967296 AS BIGINT)"
+    return f"'gen_' || lpad(lower(to_hex({high})), 8, '0') || lpad(lower(to_hex({low})), 8, '0')"
+
+
+def harden_sql(text: str) -> str:
+    return rf"CASE WHEN regexp_matches({text}, '^[=+\-@\t\r]') THEN '''' || {text} ELSE {text} END"
+
+
+def round_trip_sql(harden: bool, columns: str) -> str:
+    cell = harden_sql if harden else str
+    joined = "array_to_string(tags, ',')"
+    return f"""WITH {LIBRARY}, placed AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS in_seq FROM active)
+      SELECT id, title, url, preview_md5, tags, is_favorite, detected_language, instapaper_url{columns} FROM (
+        SELECT id, in_seq, {cell("title")} AS title, url, md5({cell("article_preview")}) AS preview_md5,
+               replace({cell(joined)}, ',', '|') AS tags, is_favorite, source_file_id, source_file_name,
+               'en' AS detected_language, instapaper_url
+        FROM placed WHERE url <> '#')"""
+
+
+def write_oracles() -> dict[str, str]:
+    """Ingest rules, changes to the library, exports and round trips."""
+    changed = f"WITH {LIBRARY} SELECT id,"
+    normalized = f"""WITH {LIBRARY}, {RAW}
+      SELECT coalesce(own_id, gen) AS id, seq, title, url, md5(article_preview) AS preview_md5,
+             md5(article_preview) AS content_md5, list AS source_file_id, list || '.csv' AS source_file_name,
+             'en' AS detected_language, replace(tags, ',', '|') AS tags,
+             'https://www.instapaper.com/read/' || coalesce(own_id, gen) AS instapaper_url, 'instapaper' AS provider,
+             quality <> 0 AS is_favorite
+      FROM (SELECT r.*, {stable_id_sql("url", "list")} AS gen FROM raw r WHERE url <> '#')"""
+    merged = f"""WITH {LIBRARY}, {INCOMING}
+      SELECT l.id, l.seq, CASE WHEN n.id IS NULL THEN l.title ELSE n.title END AS title,
+             CASE WHEN n.id IS NULL THEN l.url ELSE n.url END AS url,
+             CASE WHEN n.id IS NULL THEN l.source_file_id ELSE 'import' END AS source_file_id,
+             CASE WHEN n.id IS NULL THEN l.deleted_at END AS deleted_at,
+             coalesce(n.star, l.is_favorite, false) AS is_favorite
+      FROM library l LEFT JOIN newest n ON n.id = l.id
+      UNION ALL
+      SELECT n.id, (SELECT max(seq) FROM library) + 1 + n.first_in, n.title, n.url, 'import', NULL,
+             coalesce(n.star, false)
+      FROM newest n WHERE n.id NOT IN (SELECT id FROM library)"""
+    return {
+        "stable_id": f"""SELECT CAST(page_id AS VARCHAR) AS id, {stable_id_sql("url", "'pages'")} AS stable_id
+                         FROM pages""",
+        "normalize_rows": normalized,
+        "url_less_counts": f"""WITH {LIBRARY} SELECT source_file_id, count(*) FILTER (WHERE url <> '#') AS imported,
+                               count(*) FILTER (WHERE url = '#') AS dropped_no_url FROM library
+                               GROUP BY source_file_id""",
+        "favorite_flag": "SELECT doc_id, quality <> 0 AS from_number, quality = 1 AS from_text FROM labels",
+        "reader_url": """SELECT CAST(page_id AS VARCHAR) AS id, 'https://www.instapaper.com/read/' || page_id AS reader,
+                         '' AS "none" FROM pages""",
+        "page_domain": f"""SELECT CAST(page_id AS VARCHAR) AS id, {domain_sql("url")} AS domain, 'web' AS shown
+                           FROM pages""",
+        "safe_url": f"""{changed} CASE WHEN regexp_matches(lower(url), '^https?:') THEN url ELSE '' END AS safe
+                        FROM library""",
+        "escape_html": """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'),
+                          '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages""",
+        "harden_cells": f"""{changed} md5({harden_sql("content")}) AS content_md5, '''=' || id AS formula,
+                            array_to_string(tags, ',') AS tags FROM library""",
+        "node_labels": f"""{changed} left(title, 10) || CASE WHEN length(title) > 10 THEN '...' ELSE '' END AS label
+                           FROM library""",
+        "deleted_labels": f"""{changed} CASE WHEN deleted_at IS NULL THEN 'unknown' ELSE '2024/1/' || (seq % 28 + 1)
+                              || ' 00:00:00' END AS label FROM library""",
+        "source_types": f"""{changed} 'csv' AS type, '' AS "none" FROM library""",
+        "merge_upsert": merged,
+        "displaced_count": f"""WITH {LIBRARY}, {INCOMING} SELECT count(*) AS displaced FROM library
+                               WHERE coalesce(deleted_at, '') <> '' AND id IN (SELECT id FROM incoming)""",
+        "trash_ids": f"""{changed} CASE WHEN id IN ({BAD}) AND deleted_at IS NULL THEN '2024-06-01T00:00:00.000Z'
+                         ELSE deleted_at END AS deleted_at FROM library""",
+        "restore_ids": f"{changed} CASE WHEN id NOT IN ({GOOD}) THEN deleted_at END AS deleted_at FROM library",
+        "purge_ids": f"{changed} seq FROM library WHERE id NOT IN ({BAD})",
+        "empty_trash": f"{changed} seq FROM active",
+        "set_favorite": f"{changed} is_favorite OR id IN ({BAD}) AS is_favorite FROM library",
+        "toggle_favorite": f"""{changed} CASE WHEN id = '{TARGET}' AND coalesce(deleted_at, '') = ''
+                               THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM library""",
+        "delete_source": f"{changed} source_file_id FROM library WHERE source_file_id <> 'src3'",
+        "replace_source": f"""WITH {LIBRARY}, {INCOMING}, kept AS (SELECT * FROM library WHERE source_file_id <> 'src3')
+          SELECT source_file_id, count(*) AS cnt FROM (
+            SELECT CASE WHEN n.id IS NULL THEN k.source_file_id ELSE 'import' END AS source_file_id
+            FROM kept k LEFT JOIN newest n ON n.id = k.id
+            UNION ALL SELECT 'import' FROM newest WHERE id NOT IN (SELECT id FROM kept)) GROUP BY source_file_id""",
+        "export_projection": f"""WITH {LIBRARY} SELECT id AS "ID", title AS "Title", md5(article_preview) AS preview,
+            CAST(NULL AS VARCHAR) AS "Unknown", array_to_string(tags, ',') AS tags,
+            CAST(is_favorite AS INTEGER) AS favorite FROM library""",
+        "exported_sources": f"""WITH {LIBRARY}, {SOURCES} SELECT id, name FROM sources
+                                WHERE id IN (SELECT source_file_id FROM active)""",
+        "unified_csv_rows": f"""{changed} md5({harden_sql("title")}) AS title_md5,
+            md5({harden_sql("article_preview")}) AS preview_md5, array_to_string(tags, ',') AS tags, is_favorite
+            FROM active""",
+        "unified_json_documents": f"""WITH {LIBRARY} SELECT count(DISTINCT source_file_id) AS sources,
+            count(*) AS bookmarks, 2 AS version, arg_min(id, seq) AS first_id FROM active GROUP BY seq // 400""",
+        "unmapped_columns": f"WITH {SOURCES} SELECT id, 1 AS unmapped FROM sources",
+        "csv_round_trip": round_trip_sql(True, ", in_seq, source_file_id, source_file_name"),
+        "json_round_trip": round_trip_sql(False, ", source_file_id, source_file_name"),
+        "sqlite_round_trip": round_trip_sql(False, ""),
+        "sqlite_databases": f"""WITH {LIBRARY} SELECT source_file_id, seq // 1000 AS part, true AS filled FROM active
+                                GROUP BY source_file_id, seq // 1000""",
+        "save_back_csv": f"""WITH {LIBRARY} SELECT source_file_id, count(*) AS cnt,
+            sum(length({harden_sql("content")})) AS content_chars, min(id) AS lowest_id FROM active
+            GROUP BY source_file_id""",
+        "store_round_trip": f"{changed} seq, title, md5(content) AS content_md5, is_favorite, deleted_at FROM library",
+        "import_report": f"""WITH {LIBRARY} SELECT count(*) FILTER (WHERE url <> '#') AS imported, 0 AS parse_errors,
+            count(*) FILTER (WHERE url = '#') AS dropped_no_url, 0 AS failed, 0 AS displaced FROM active""",
+        "header_verdicts": "SELECT DISTINCT 'mismatch' AS verdict, 'unified' AS suggested FROM documents",
+        "stream_import": """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS title, url,
+                            'file_stream' AS source_file_id,
+                            'https://www.instapaper.com/read/' || page_id AS instapaper_url FROM pages""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return read_oracles()
+    return read_oracles() | write_oracles()

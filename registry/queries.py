@@ -2,10 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marginalia.functions import ids, values, web
 from marginalia.functions import text as tx
-from marginalia.functions import values
-from marginalia.operators import counts, graph, search, similarity, terms
+from marginalia.operators import counts, graph, ingest, merge, search, similarity, terms
+from marginalia.plans import imports
+from marginalia.schema import SOURCES
+from marginalia.scratch import shared_folder
+from marginalia.sinks import columns, exports, store
+from marginalia.streaming import drop_folder
 
 from . import tables
 from .oracles import TARGET
@@ -149,5 +155,314 @@ def read_queries() -> dict:
     }
 
 
+def raw_list(spark: SparkSession, d: str) -> DataFrame:
+    """The articles as an unknown list: other names, ids for labelled ones only, numeric stars."""
+    rows = tables.library(spark, d)
+    labels = tables.table(spark, d, "labels").select(F.col("doc_id").alias("seq"), "quality")
+    return rows.join(labels, "seq", "left").select(
+        "seq",
+        F.when(F.col("quality").isNotNull(), F.col("id")).alias("Bookmark_ID"),
+        F.col("title").alias("Name"),
+        F.nullif("url", F.lit("#")).alias("Link"),
+        F.col("article_preview").alias("Excerpt"),
+        F.concat_ws(",", "detected_language", "source_file_id").alias("Tags"),
+        F.col("quality").alias("Starred"),
+        F.col("source_file_id").alias("list"),
+    )
+
+
+def _normalized(spark, d):
+    raw = raw_list(spark, d)
+    fields = {n: f for n, f in ingest.fields_of(raw).items() if n not in ("seq", "list")}
+    return ingest.normalize(raw, fields, F.col("list"), F.concat("list", F.lit(".csv")), F.lit(False), keep=("seq",))
+
+
+def _normalized_rows(spark, d):
+    rows = _normalized(spark, d).where(ingest.has_url())
+    return rows.select(
+        "id",
+        "seq",
+        "title",
+        "url",
+        F.md5("article_preview").alias("preview_md5"),
+        F.md5("content").alias("content_md5"),
+        "source_file_id",
+        "source_file_name",
+        "detected_language",
+        F.array_join("tags", "|").alias("tags"),
+        "instapaper_url",
+        "provider",
+        "is_favorite",
+    )
+
+
+def _url_less(spark, d):
+    rows = _normalized(spark, d).groupBy("source_file_id")
+    return rows.agg(
+        F.count_if(ingest.has_url()).alias("imported"), F.count_if(~ingest.has_url()).alias("dropped_no_url")
+    )
+
+
+def incoming(spark: SparkSession, d: str) -> DataFrame:
+    """An import made of ``pages`` (known ids) and ``events`` (one id per user, repeated many times)."""
+
+    def record(rows, record_id, in_seq, title, url, star):
+        return rows.select(
+            record_id.alias("id"),
+            in_seq.cast("bigint").alias("in_seq"),
+            title.alias("title"),
+            url.alias("url"),
+            F.lit("").alias("article_preview"),
+            F.lit("").alias("content"),
+            F.lit("import").alias("source_file_id"),
+            F.lit("import.csv").alias("source_file_name"),
+            F.lit("en").alias("detected_language"),
+            F.array().cast("array<string>").alias("tags"),
+            F.lit("").alias("instapaper_url"),
+            F.lit("instapaper").alias("provider"),
+            F.lit(None).cast("string").alias("deleted_at"),
+            star.alias("is_favorite"),
+        )
+
+    kind = F.col("event_type")
+    pages = record(
+        tables.table(spark, d, "pages"),
+        F.col("page_id").cast("string"),
+        F.col("page_id"),
+        F.concat(F.lit("page "), "url"),
+        F.col("url"),
+        F.lit(None).cast("boolean"),
+    )
+    events = record(
+        tables.table(spark, d, "events"),
+        F.concat(F.lit("user"), "user_id"),
+        F.col("event_id") + 1_000_000_000,
+        kind,
+        F.concat(F.lit("https://users.example/"), "user_id"),
+        F.when(kind == "click", True).when(kind == "error", False),
+    )
+    return pages.unionByName(events)
+
+
+def _merged(spark, d):
+    rows = merge.merge(tables.library(spark, d), incoming(spark, d))
+    star = F.coalesce("is_favorite", F.lit(False)).alias("is_favorite")
+    return rows.select("id", "seq", "title", "url", "source_file_id", "deleted_at", star)
+
+
+def _labelled(spark, d, quality):
+    rows = tables.table(spark, d, "labels").where(F.col("quality") == quality)
+    return rows.select(F.col("doc_id").cast("string").alias("id"))
+
+
+def _trashed(spark, d):
+    rows = merge.trash_rows(tables.library(spark, d), _labelled(spark, d, 0), "2024-06-01T00:00:00.000Z")
+    return rows.select("id", "deleted_at")
+
+
+def _replaced(spark, d):
+    rows, _ = merge.replace_source(tables.library(spark, d), tables.sources(spark, d), "src3", incoming(spark, d))
+    return rows.groupBy("source_file_id").agg(F.count("*").alias("cnt"))
+
+
+def _favorite_flags(spark, d):
+    labels = tables.table(spark, d, "labels")
+    quality = F.col("quality")
+    return labels.select(
+        "doc_id",
+        ingest.favorite_flag(quality, labels.schema["quality"].dataType).alias("from_number"),
+        ingest.favorite_flag(F.when(quality == 1, " Yes ").otherwise("no"), T.StringType()).alias("from_text"),
+    )
+
+
+PROJECTED = ("ID", "Title", "preview", "Unknown", "tags", "favorite")
+SQLITE_COLUMNS = ("id", "title", "url", "article_preview", "tags", "is_favorite", "note")
+
+
+def source_table(spark: SparkSession, d: str, kind: str = "csv", profile: str = "unified") -> DataFrame:
+    """The sources with all their columns, as CSV lists or as SQLite databases."""
+    rows = tables.sources(spark, d).withColumns({"type": F.lit(kind), "profile": F.lit(profile)})
+    if kind == "sqlite":
+        names = F.array(*[F.lit(c) for c in SQLITE_COLUMNS])
+        rows = rows.withColumn("sqlite_layout", F.struct(F.lit("articles").alias("table"), names.alias("columns")))
+        rows = rows.withColumn("name", F.concat("id", F.lit(".sqlite")))
+    for f in SOURCES.fields:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return rows.select(*SOURCES.names)
+
+
+def _prepared(spark, path, profile="unified"):
+    return imports.prepare(spark, [path], profile, source_id=lambda name: "file_fixed")
+
+
+def _imported(prepared):
+    return prepared.incoming.select(
+        "id",
+        "in_seq",
+        "title",
+        "url",
+        F.md5("article_preview").alias("preview_md5"),
+        F.array_join("tags", "|").alias("tags"),
+        "is_favorite",
+        "source_file_id",
+        "source_file_name",
+        "detected_language",
+        "instapaper_url",
+    )
+
+
+def _csv_export(spark, d):
+    folder = shared_folder(spark)
+    exports.write_unified_csv(tables.library(spark, d), folder)
+    return folder + "/*.csv"
+
+
+def _json_round_trip(spark, d):
+    folder = shared_folder(spark)
+    exports.write_unified_json(tables.library(spark, d), source_table(spark, d), folder, rows_per_file=5000)
+    return _imported(_prepared(spark, folder + "/*.json")).drop("in_seq")
+
+
+def _sqlite_round_trip(spark, d):
+    folder = shared_folder(spark)
+    made = exports.sqlite_databases(tables.library(spark, d), source_table(spark, d, "sqlite"), 5000)
+    exports.write_files(made, folder)
+    return _imported(_prepared(spark, folder, "scraper")).drop("in_seq", "source_file_id", "source_file_name")
+
+
+def _sqlite_databases(spark, d):
+    made = exports.sqlite_databases(tables.library(spark, d), source_table(spark, d, "sqlite"), 1000)
+    return made.select("source_file_id", "part", (F.octet_length("content") > 0).alias("filled"))
+
+
+def _save_back(spark, d):
+    (folder,) = exports.save_back(
+        tables.library(spark, d), source_table(spark, d, profile="scraper"), shared_folder(spark)
+    )
+    schema = "id string, title string, url string, article_preview string, content string, tags string"
+    rows = (
+        spark.read.options(header=True, multiLine=True, escape='"')
+        .schema(schema + ", source_file_id string")
+        .csv(folder)
+    )
+    return rows.groupBy("source_file_id").agg(
+        F.count("*").alias("cnt"), F.sum(F.length("content")).alias("content_chars"), F.min("id").alias("lowest_id")
+    )
+
+
+def _stored(spark, d):
+    root = shared_folder(spark)
+    store.save(tables.library(spark, d), source_table(spark, d), root)
+    rows, _ = store.load(spark, root)
+    return rows.select("id", "seq", "title", F.md5("content").alias("content_md5"), "is_favorite", "deleted_at")
+
+
+def _import_report(spark, d):
+    totals = imports.totals(tables.library(spark, d), _prepared(spark, _csv_export(spark, d)))
+    return totals.select("imported", "parse_errors", "dropped_no_url", "failed", "displaced")
+
+
+def _header_verdicts(spark, d):
+    return _prepared(spark, _csv_export(spark, d), "scraper").report.select("verdict", "suggested").distinct()
+
+
+def _streamed(spark, d):
+    root = shared_folder(spark)
+    pages = tables.table(spark, d, "pages")
+    rows = pages.select(F.col("page_id").alias("uid"), F.col("url").alias("link"), F.md5("html").alias("title"))
+    groups = rows.groupBy(F.floor(F.col("uid") / 100).alias("file")).agg(F.collect_list(F.struct("*")).alias("rows"))
+    groups.select(F.to_json("rows")).write.option("maxRecordsPerFile", 1).text(root + "/in")
+    drop_folder.import_folder(spark, root + "/in", root + "/library", root + "/log").awaitTermination()
+    rows, _ = store.load(spark, root + "/library")
+    return rows.select("id", "title", "url", "source_file_id", "instapaper_url")
+
+
+def write_queries() -> dict:
+    """Ingest rules, changes to the library, exports and round trips through files."""
+    t = tables
+
+    return {
+        "stable_id": lambda s, d: t.page_list(s, d).select(
+            "id", ids.stable_id(F.col("url"), F.lit("pages")).alias("stable_id")
+        ),
+        "normalize_rows": _normalized_rows,
+        "url_less_counts": _url_less,
+        "favorite_flag": _favorite_flags,
+        "reader_url": lambda s, d: t.page_list(s, d).select(
+            "id",
+            web.reader_url(F.lit("instapaper"), F.col("id")).alias("reader"),
+            web.reader_url(F.lit("other"), F.col("id")).alias("none"),
+        ),
+        "page_domain": lambda s, d: t.page_list(s, d).select(
+            "id",
+            web.domain(F.col("url")).alias("domain"),
+            web.display_domain(F.concat(F.lit("/"), "url")).alias("shown"),
+        ),
+        "safe_url": lambda s, d: t.library(s, d).select("id", web.safe_url(F.col("url")).alias("safe")),
+        "escape_html": lambda s, d: t.table(s, d, "pages").select(
+            "page_id", F.md5(web.escape_html(F.col("html"))).alias("escaped_md5")
+        ),
+        "harden_cells": lambda s, d: t.library(s, d).select(
+            "id",
+            F.md5(web.harden_cell(F.col("content"))).alias("content_md5"),
+            web.harden_cell(F.concat(F.lit("="), "id")).alias("formula"),
+            web.harden_cell(F.array_join("tags", ",")).alias("tags"),
+        ),
+        "node_labels": lambda s, d: t.library(s, d).select("id", values.node_label(F.col("title")).alias("label")),
+        "deleted_labels": lambda s, d: t.library(s, d).select(
+            "id", values.deleted_at_label(F.col("deleted_at")).alias("label")
+        ),
+        "source_types": lambda s, d: t.library(s, d).select(
+            "id",
+            ingest.type_from_name(F.col("source_file_name")).alias("type"),
+            ingest.type_from_name(F.col("url")).alias("none"),
+        ),
+        "merge_upsert": _merged,
+        "displaced_count": lambda s, d: merge.displaced(t.library(s, d), incoming(s, d)),
+        "trash_ids": _trashed,
+        "restore_ids": lambda s, d: merge.restore_rows(t.library(s, d), _labelled(s, d, 1)).select("id", "deleted_at"),
+        "purge_ids": lambda s, d: merge.purge_rows(t.library(s, d), _labelled(s, d, 0)).select("id", "seq"),
+        "empty_trash": lambda s, d: merge.empty_trash(t.library(s, d)).select("id", "seq"),
+        "set_favorite": lambda s, d: merge.set_favorite(t.library(s, d), _labelled(s, d, 0), True).select(
+            "id", "is_favorite"
+        ),
+        "toggle_favorite": lambda s, d: merge.toggle_favorite(t.library(s, d), TARGET).select("id", "is_favorite"),
+        "delete_source": lambda s, d: merge.delete_source(t.library(s, d), t.sources(s, d), "src3")[0].select(
+            "id", "source_file_id"
+        ),
+        "replace_source": _replaced,
+        "export_projection": lambda s, d: columns.project(t.library(s, d), PROJECTED).withColumn(
+            "preview", F.md5("preview")
+        ),
+        "exported_sources": lambda s, d: exports.exported_sources(t.library(s, d), t.sources(s, d)).select("id", "name"),
+        "unified_csv_rows": lambda s, d: exports.csv_rows(search.active(t.library(s, d))).select(
+            "id",
+            F.md5("title").alias("title_md5"),
+            F.md5("article_preview").alias("preview_md5"),
+            "tags",
+            "is_favorite",
+        ),
+        "unified_json_documents": lambda s, d: exports.unified_documents(
+            t.library(s, d), source_table(s, d), 400
+        ).select(
+            F.size("sources").alias("sources"),
+            F.size("bookmarks").alias("bookmarks"),
+            "version",
+            F.element_at("bookmarks", 1)["id"].alias("first_id"),
+        ),
+        "unmapped_columns": lambda s, d: exports.unmapped_report(source_table(s, d, "sqlite")).select("id", "unmapped"),
+        "csv_round_trip": lambda s, d: _imported(_prepared(s, _csv_export(s, d))),
+        "json_round_trip": _json_round_trip,
+        "sqlite_round_trip": _sqlite_round_trip,
+        "sqlite_databases": _sqlite_databases,
+        "save_back_csv": _save_back,
+        "store_round_trip": _stored,
+        "import_report": _import_report,
+        "header_verdicts": _header_verdicts,
+        "stream_import": _streamed,
+    }
+
+
 def all_queries() -> dict:
-    return read_queries()
+    return read_queries() | write_queries()
