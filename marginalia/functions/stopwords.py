@@ -25,8 +25,5 @@ CLOUD_EN = BASE_EN + CLOUD_ONLY_EN
 # Chinese function words.
 STOP_ZH = tuple("的 了 在 是 我 有 和 就 不 人 都 一 一個 上 也 很 到 說 要 去 你 會 著 沒有 看 好 自己 這 那 以 或 對".split())
 
-# Japanese function words.
+# Japanese function words; Japanese text shares the Chinese ones.
 STOP_JA = tuple("ので のに こと もの ため よう ところ という として について のように です ます でした ました でしょう".split())
-
-# Japanese text shares the Chinese list's characters.
-STOP_ZH_JA = STOP_ZH + STOP_JA

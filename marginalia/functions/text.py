@@ -9,7 +9,7 @@ their overlapping pairs of characters.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stopwords import BASE_EN, CLOUD_EN, STOP_ZH, STOP_ZH_JA
+from .stopwords import BASE_EN, CLOUD_EN, STOP_JA, STOP_ZH
 
 # Character ranges, and how many characters decide a language.
 HAN = "一-龥"
@@ -53,31 +53,39 @@ def detect_language(text: Column) -> Column:
     return F.when(has_cjk(text), decided).otherwise("en")
 
 
-def stem(word: Column) -> Column:
-    """Light English suffix cut; the first rule that fits wins."""
-    n = F.length(word)
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
 
-    def cut(k):
-        return F.left(word, n - k)
 
-    return (
-        F.when(n < 4, word)
-        .when(word.endswith("ing") & (n > 5), cut(3))
-        .when(word.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(word.endswith("es") & (n > 4), cut(2))
-        .when(word.endswith("s") & ~word.endswith("ss"), cut(1))
-        .when(word.endswith("ed") & (n > 4), cut(2))
-        .otherwise(word)
-    )
+def stem(word: str) -> Column:
+    """Light English suffix cut of a word column; the first rule that fits wins."""
+    return F.expr(_stem(word))
+
+
+def _stem(w: str) -> str:
+    return f"""CASE
+        WHEN length({w}) < 4 THEN {w}
+        WHEN endswith({w}, 'ing') AND length({w}) > 5 THEN left({w}, length({w}) - 3)
+        WHEN endswith({w}, 'ies') AND length({w}) > 4 THEN concat(left({w}, length({w}) - 3), 'y')
+        WHEN endswith({w}, 'es') AND length({w}) > 4 THEN left({w}, length({w}) - 2)
+        WHEN endswith({w}, 's') AND NOT endswith({w}, 'ss') THEN left({w}, length({w}) - 1)
+        WHEN endswith({w}, 'ed') AND length({w}) > 4 THEN left({w}, length({w}) - 2)
+        ELSE {w} END"""
+
+
+def without_possessive(word: str) -> Column:
+    return F.expr(f"if(endswith({word}, \"'s\"), left({word}, length({word}) - 2), {word})")
 
 
-def without_possessive(word: Column) -> Column:
-    return F.when(word.endswith("'s"), F.left(word, F.length(word) - 2)).otherwise(word)
+def _noise(w: str, stop_words) -> str:
+    # Only what starts with a digit can be a number; that is cheaper to see than to match.
+    number = f"({w} >= '0' AND {w} < ':' AND {w} RLIKE '{DIGITS}')"
+    return f"(length({w}) < {SHORTEST_TERM} OR {number} OR {w} IN ({quoted(stop_words)}))"
 
 
-def is_noise(word: Column, stop_words) -> Column:
-    starts_with_digit = (word >= "0") & (word < ":")
-    return (F.length(word) < SHORTEST_TERM) | (starts_with_digit & word.rlike(DIGITS)) | word.isin(*stop_words)
+def is_noise(word: str, stop_words) -> Column:
+    """Whether a word is too short, a number, or one of the stop words."""
+    return F.expr(_noise(word, stop_words))
 
 
 def pairs(run: Column) -> Column:
@@ -87,9 +95,8 @@ def pairs(run: Column) -> Column:
     return F.transform(starts, lambda i: F.substr(run, i, F.lit(2)))
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words in text order."""
-    lowered = F.lower(text)
+def words(lowered: Column) -> Column:
+    """Words of lower-cased text, in text order."""
     mixed = F.flatten(
         F.transform(
             F.regexp_extract_all(lowered, F.lit(f"({CJK_RUN}|{WORD})"), F.lit(1)),
@@ -99,31 +106,47 @@ def words(text: Column) -> Column:
     return F.when(has_cjk(lowered), mixed).otherwise(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(1)))
 
 
-def term(word: Column, language: Column, stop_words=BASE_EN) -> Column:
-    """Scoring term of a word, or null for noise.
+def term(base: str, language: str, stop_words=BASE_EN) -> Column:
+    """Scoring term of a word without its possessive, or null for noise.
 
-    Latin words lose a possessive, are filtered and stemmed; all others only need two characters
-    and must not be Chinese or Japanese function words.
+    Latin words are filtered and stemmed; all others only need two characters and must not be
+    Chinese or Japanese function words. ``base`` and ``language`` name columns: an expression in
+    their place would be worked out again at every mention.
     """
-    base = without_possessive(word)
-    other = (F.length(base) >= SHORTEST_TERM) & ~_cjk_stop(base, language)
-    return F.when(base.rlike(LATIN), F.when(~is_noise(base, stop_words), stem(base))).otherwise(F.when(other, base))
+    return F.expr(
+        f"""CASE
+        WHEN {base} RLIKE "{LATIN}" THEN CASE WHEN NOT {_noise(base, stop_words)} THEN {_stem(base)} END
+        WHEN length({base}) >= {SHORTEST_TERM} AND NOT {_cjk_stop(base, language)} THEN {base} END"""
+    )
 
 
-def cjk_keyword(word: Column, language: Column) -> Column:
+def cjk_keyword(word: str, language: str) -> Column:
     """Word of a Chinese or Japanese document as it is shown in a cloud, or null for noise."""
-    latin = word.rlike(LATIN)
-    kept = latin | ((F.length(word) >= SHORTEST_TERM) & ~_cjk_stop(word, language))
-    return F.when(kept & ~is_noise(word, CLOUD_EN), word)
+    kept = f"{word} RLIKE \"{LATIN}\" OR (length({word}) >= {SHORTEST_TERM} AND NOT {_cjk_stop(word, language)})"
+    return F.expr(f"CASE WHEN ({kept}) AND NOT {_noise(word, CLOUD_EN)} THEN {word} END")
 
 
-def cjk_keyword_key(word: Column) -> Column:
+def cjk_keyword_key(word: str) -> Column:
     """What such words are grouped by."""
-    return F.when(word.rlike(LATIN), stem(word)).otherwise(word)
+    return F.expr(f"CASE WHEN {word} RLIKE \"{LATIN}\" THEN {_stem(word)} ELSE {word} END")
+
+
+def _cjk_stop(word: str, language: str) -> str:
+    return f"({word} IN ({quoted(STOP_ZH)}) OR ({language} = 'ja' AND {word} IN ({quoted(STOP_JA)})))"
+
+
+def keyword_surfaces(words: str) -> Column:
+    """Content words of a document and pairs of different neighbours that are both content words."""
+    content = F.expr(f"transform({words}, w -> CASE WHEN w RLIKE \"{LATIN}\" AND NOT {_noise('w', CLOUD_EN)} THEN w END)")
+    following = F.slice(content, 2, F.greatest(F.size(words), F.lit(1)))
+    neighbours = F.zip_with(content, following, lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))
+    return F.array_compact(F.concat(content, neighbours))
 
 
-def _cjk_stop(word: Column, language: Column) -> Column:
-    return F.when(language == "ja", word.isin(*STOP_ZH_JA)).otherwise(word.isin(*STOP_ZH))
+def keyword_key(surface: str) -> Column:
+    """What a word or a pair is grouped by: its stems."""
+    first, second = f"split_part({surface}, ' ', 1)", f"split_part({surface}, ' ', 2)"
+    return F.expr(f"if(contains({surface}, ' '), concat_ws(' ', {_stem(first)}, {_stem(second)}), {_stem(surface)})")
 
 
 # The older tokenizer: every character outside ASCII words, Han and kana separates.
@@ -135,14 +158,14 @@ def legacy_pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SEPARATORS, " "), " ")
 
 
-def legacy_tokens(piece: Column) -> Column:
+def legacy_tokens(piece: str) -> Column:
     """Tokens of one piece: a stem, or the character pairs of a piece with Han or kana."""
     none = F.array().cast("array<string>")
-    latin = piece.rlike("^[a-z0-9]+$")
-    pair_list = F.filter(pairs(piece), lambda p: ~p.isin(*STOP_ZH))
+    latin = F.expr(f"{piece} RLIKE '^[a-z0-9]+$'")
+    pair_list = F.filter(pairs(F.col(piece)), lambda p: ~p.isin(*STOP_ZH))
     return (
         F.when(F.length(piece) < SHORTEST_TERM, none)
         .when(latin, F.when(is_noise(piece, CLOUD_EN), none).otherwise(F.array(stem(piece))))
-        .when(piece.rlike(f"[{HAN}{KANA}]"), pair_list)
+        .when(F.col(piece).rlike(f"[{HAN}{KANA}]"), pair_list)
         .otherwise(none)
     )

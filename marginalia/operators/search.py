@@ -169,7 +169,8 @@ def matches_per_word(library: DataFrame, words: DataFrame) -> DataFrame:
     )
     hits = active(library).select(text.alias("text")).withColumn("words", listed)
     return (
-        hits.select(F.explode(F.filter("words", lambda w: F.contains(F.col("text"), w))).alias("word"))
+        hits.select(F.explode_outer(F.filter("words", lambda w: F.contains(F.col("text"), w))).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count("*").alias("matches"))
     )

@@ -14,9 +14,15 @@ SMALLEST_SIZE, SIZE_RANGE = 0.75, 1.5
 
 
 def document_words(library: DataFrame) -> DataFrame:
-    """(seq, language, words): one row per document, words in text order."""
-    body = tx.analysis_text(F.col("title"), F.col("article_preview"))
-    return library.select("seq", tx.detect_language(body).alias("language"), tx.words(body).alias("words"))
+    """(seq, language, words): one row per document, words in text order.
+
+    Take the words apart with an outer ``explode``: for the plain one Spark adds a condition on the
+    list's size and pushes it to the scan, where every document would be split once more.
+    """
+    body = F.lower(tx.analysis_text(F.col("title"), F.col("article_preview")))
+    lowered = library.select("seq", body.alias("body"))
+    text = F.col("body")
+    return lowered.select("seq", tx.detect_language(text).alias("language"), tx.words(text).alias("words"))
 
 
 def postings(library: DataFrame, stop_words=BASE_EN) -> DataFrame:
@@ -30,9 +36,13 @@ def postings(library: DataFrame, stop_words=BASE_EN) -> DataFrame:
         document_words(library)
         .repartition("seq")
         .select("seq", "language", F.explode_outer("words").alias("word"))
-        .select("seq", tx.term(F.col("word"), F.col("language"), stop_words).alias("term"))
+        .select("seq", "language", tx.without_possessive("word").alias("base"))
+        .select("seq", tx.term("base", "language", stop_words).alias("term"))
         .groupBy("seq", "term")
         .agg(F.count("*").alias("tf"))
+        # Tied to the count, so that no condition on terms is pushed below it: there it would be
+        # checked, with all the work of finding the term, for every occurrence.
+        .select("seq", F.when(F.col("tf") > 0, F.col("term")).alias("term"), "tf")
     )
 
 
@@ -56,9 +66,10 @@ def legacy_tokens(library: DataFrame) -> DataFrame:
     """(seq, token) of the older tokenizer, one row per occurrence."""
     body = tx.analysis_text(F.col("title"), F.col("article_preview"))
     return (
-        library.select("seq", F.explode(tx.legacy_pieces(body)).alias("piece"))
+        library.select("seq", F.explode_outer(tx.legacy_pieces(body)).alias("piece"))
         .where(F.length("piece") >= tx.SHORTEST_TERM)
-        .select("seq", F.explode(tx.legacy_tokens(F.col("piece"))).alias("token"))
+        .select("seq", F.explode_outer(tx.legacy_tokens("piece")).alias("token"))
+        .where(F.col("token").isNotNull())
     )
 
 
@@ -66,23 +77,6 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("cnt"))
 
 
-def keyword_surfaces(words: Column) -> Column:
-    """Content words of a document and pairs of different neighbours that are both content words."""
-    content = F.transform(words, lambda w: F.when(w.rlike(tx.LATIN) & ~tx.is_noise(w, CLOUD_EN), w))
-    following = F.slice(content, 2, F.greatest(F.size(content), F.lit(1)))
-    pairs = F.zip_with(content, following, lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))
-    return F.array_compact(F.concat(content, pairs))
-
-
-def keyword_key(surface: Column) -> Column:
-    """What a word or a pair is grouped by: its stems."""
-    return F.concat_ws(
-        " ",
-        tx.stem(F.split_part(surface, F.lit(" "), F.lit(1))),
-        F.when(F.contains(surface, F.lit(" ")), tx.stem(F.split_part(surface, F.lit(" "), F.lit(2)))),
-    )
-
-
 def cloud_surfaces(library: DataFrame, mode: str = "plain") -> DataFrame:
     """(language, surface, cnt, seen): the words of all documents, counted as they are written.
 
@@ -90,10 +84,10 @@ def cloud_surfaces(library: DataFrame, mode: str = "plain") -> DataFrame:
     """
     surfaces = F.col("words")
     if mode == "grouped":
-        surfaces = F.when(F.col("language") == "en", keyword_surfaces(surfaces)).otherwise(surfaces)
+        surfaces = F.when(F.col("language") == "en", tx.keyword_surfaces("words")).otherwise(surfaces)
     return (
         document_words(library)
-        .select("seq", "language", F.posexplode(surfaces).alias("pos", "surface"))
+        .select("seq", "language", F.posexplode_outer(surfaces).alias("pos", "surface"))
         .groupBy("language", "surface")
         .agg(F.count("*").alias("cnt"), F.min(values.first_seen(F.col("seq"), F.col("pos"))).alias("seen"))
     )
@@ -105,18 +99,28 @@ def cloud_terms(surfaces: DataFrame, mode: str = "plain") -> DataFrame:
     English documents give stems (``plain``) or content words and pairs (``grouped``). Documents in
     Chinese or Japanese are always grouped.
     """
-    surface, language = F.col("surface"), F.col("language")
-    english = language == "en"
-    other = tx.cjk_keyword(surface, language)
+    english = F.col("language") == "en"
+    # A condition on words alone would be pushed below the counting, to every single occurrence; one
+    # that also names the count is not.
+    counted = F.col("cnt") > 0
+    rows = surfaces.select(
+        "language",
+        "surface",
+        "cnt",
+        "seen",
+        tx.without_possessive("surface").alias("base"),
+        F.when(~english, tx.cjk_keyword("surface", "language")).alias("other"),
+    )
     if mode == "plain":
-        stemmed = tx.term(surface, language, CLOUD_EN)
-        key, display, grouped = stemmed, stemmed, ~english
+        rows = rows.withColumn("key", F.when(english, tx.term("base", "language", CLOUD_EN)))
+        display, grouped = F.col("key"), ~english
     else:
-        key, display, grouped = keyword_key(surface), surface, F.lit(True)
-    return surfaces.select(
+        rows = rows.withColumn("key", F.when(english, tx.keyword_key("surface")))
+        display, grouped = F.col("surface"), F.lit(True)
+    return rows.select(
         grouped.alias("grouped"),
-        F.when(english, key).otherwise(tx.cjk_keyword_key(other)).alias("key"),
-        F.when(english, display).otherwise(other).alias("display"),
+        F.when(counted, F.when(english, F.col("key")).otherwise(tx.cjk_keyword_key("other"))).alias("key"),
+        F.when(english, display).otherwise(F.col("other")).alias("display"),
         "cnt",
         "seen",
     ).where(F.col("key").isNotNull())

@@ -387,8 +387,8 @@ def write_oracles() -> dict[str, str]:
         "unified_csv_rows": f"""{changed} md5({harden_sql("title")}) AS title_md5,
             md5({harden_sql("article_preview")}) AS preview_md5, array_to_string(tags, ',') AS tags, is_favorite
             FROM active""",
-        "unified_json_documents": f"""WITH {LIBRARY} SELECT count(DISTINCT source_file_id) AS sources,
-            count(*) AS bookmarks, 2 AS version, arg_min(id, seq) AS first_id FROM active GROUP BY seq // 400""",
+        "unified_json_documents": f"""WITH {LIBRARY} SELECT CAST(count(DISTINCT source_file_id) AS INTEGER) AS sources,
+            CAST(count(*) AS INTEGER) AS bookmarks, 2 AS version, arg_min(id, seq) AS first_id FROM active GROUP BY seq // 400""",
         "unmapped_columns": f"WITH {SOURCES} SELECT id, 1 AS unmapped FROM sources",
         "csv_round_trip": round_trip_sql(True, ", in_seq, source_file_id, source_file_name"),
         "json_round_trip": round_trip_sql(False, ", source_file_id, source_file_name"),
@@ -396,11 +396,12 @@ def write_oracles() -> dict[str, str]:
         "sqlite_databases": f"""WITH {LIBRARY} SELECT source_file_id, seq // 1000 AS part, true AS filled FROM active
                                 GROUP BY source_file_id, seq // 1000""",
         "save_back_csv": f"""WITH {LIBRARY} SELECT source_file_id, count(*) AS cnt,
-            sum(length({harden_sql("content")})) AS content_chars, min(id) AS lowest_id FROM active
+            CAST(sum(length({harden_sql("content")})) AS BIGINT) AS content_chars, min(id) AS lowest_id FROM active
             GROUP BY source_file_id""",
         "store_round_trip": f"{changed} seq, title, md5(content) AS content_md5, is_favorite, deleted_at FROM library",
-        "import_report": f"""WITH {LIBRARY} SELECT count(*) FILTER (WHERE url <> '#') AS imported, 0 AS parse_errors,
-            count(*) FILTER (WHERE url = '#') AS dropped_no_url, 0 AS failed, 0 AS displaced FROM active""",
+        "import_report": f"""WITH {LIBRARY} SELECT count(*) FILTER (WHERE url <> '#') AS imported,
+            CAST(0 AS BIGINT) AS parse_errors, count(*) FILTER (WHERE url = '#') AS dropped_no_url,
+            CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS displaced FROM active""",
         "header_verdicts": "SELECT DISTINCT 'mismatch' AS verdict, 'unified' AS suggested FROM documents",
         "stream_import": """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS title, url,
                             'file_stream' AS source_file_id,

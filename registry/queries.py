@@ -92,7 +92,8 @@ def _matches(spark, d):
 
 
 def _all_words(spark, d):
-    return terms.document_words(tables.texts(spark, d)).select(F.explode("words").alias("word"))
+    found = terms.document_words(tables.texts(spark, d)).select(F.explode_outer("words").alias("word"))
+    return found.where(F.col("word").isNotNull())
 
 
 def read_queries() -> dict:
@@ -128,7 +129,7 @@ def read_queries() -> dict:
         "all_selected": _all_selected,
         "select_all": _view(("id",), language="en", sort=None),
         "words": lambda s, d: _all_words(s, d).groupBy("word").agg(F.count("*").alias("cnt")),
-        "stems": lambda s, d: _all_words(s, d).distinct().select("word", tx.stem(F.col("word")).alias("stem")),
+        "stems": lambda s, d: _all_words(s, d).distinct().select("word", tx.stem("word").alias("stem")),
         "legacy_tokens": lambda s, d: terms.token_counts(terms.legacy_tokens(t.texts(s, d))),
         "detect_language": lambda s, d: t.texts(s, d).select(
             "id", tx.detect_language(tx.analysis_text(F.col("title"), F.col("article_preview"))).alias("language")

@@ -19,7 +19,7 @@ def spread(frame: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an article: the first line is its title, the rest its preview."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    title = F.substring_index("text", "\n", 1)
     return documents.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("doc_id").alias("seq"),

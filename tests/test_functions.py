@@ -20,20 +20,21 @@ def test_stem(spark):
         "running": "runn", "stories": "story", "boxes": "box", "shoes": "sho", "walked": "walk", "cats": "cat",
         "cat": "cat", "run": "run", "glass": "glass", "search": "search", "sing": "sing", "dies": "die", "bus": "bus",
     }
-    assert apply(spark, pairs, text.stem) == list(pairs.values())
+    assert apply(spark, pairs, lambda x: text.stem("x")) == list(pairs.values())
 
 
 def test_legacy_tokens(spark):
-    def tokens(x):
-        return F.flatten(F.transform(text.legacy_pieces(x), text.legacy_tokens))
-
-    found = apply(spark, ["the quick brown fox 123 a of it", "running studies", "說明一下", "hello,world!", "Don't stop", ""], tokens)
+    cases = ["the quick brown fox 123 a of it", "running studies", "說明一下", "hello,world!", "Don't stop", ""]
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, x string")
+    pieces = rows.select("n", F.posexplode(text.legacy_pieces(F.col("x"))).alias("p", "piece"))
+    tokens = pieces.select("n", "p", text.legacy_tokens("piece").alias("t")).orderBy("n", "p").collect()
+    found = [[t for r in tokens if r["n"] == n for t in r["t"]] for n in range(len(cases))]
     assert found == [["quick", "brown", "fox"], ["runn", "study"], ["說明", "明一", "一下"], ["hello", "world"], ["don", "stop"], []]
 
 
 def test_words(spark):
     cases = ["Don't stop state-of-the-art", "AI with Google's 3.14 a_b", "çà et là", "x1y2 example.com.", "深度學習AI", "日本語のテキスト", ""]
-    assert apply(spark, cases, text.words) == [
+    assert apply(spark, cases, lambda x: text.words(F.lower(x))) == [
         ["don't", "stop", "state", "of", "the", "art"],
         ["ai", "with", "google's", "3.14", "a_b"],
         ["çà", "et", "là"],
@@ -50,11 +51,15 @@ def test_very_long_words(spark):
 
 
 def test_terms(spark):
-    cases = ["google's", "don't", "time", "2024", "a", "running", "là", "的", "沒有", "深度", "です"]
-    assert apply(spark, cases, lambda x: text.term(x, F.lit("en"))) == [
+    cases = ["google", "don't", "time", "2024", "a", "running", "là", "的", "沒有", "深度", "です"]
+    assert apply(spark, cases, lambda x: text.term("x", "'en'")) == [
         "google", None, "time", None, None, "runn", "là", None, None, "深度", "です",
     ]
-    assert apply(spark, ["time", "です"], lambda x: text.term(x, F.lit("ja"), CLOUD_EN)) == [None, None]
+    assert apply(spark, ["time", "です", "沒有"], lambda x: text.term("x", "'ja'", CLOUD_EN)) == [None, None, None]
+
+
+def test_possessive(spark):
+    assert apply(spark, ["google's", "its", "'s"], lambda x: text.without_possessive("x")) == ["google", "its", ""]
 
 
 def test_language(spark):
