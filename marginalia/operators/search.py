@@ -59,7 +59,8 @@ def in_language(library: DataFrame, language: str | None) -> DataFrame:
     if language is None:
         return library
     if language == "other":
-        return library.where(~F.coalesce("detected_language", F.lit("")).isin(*KNOWN_LANGUAGES))
+        language = F.col("detected_language")
+        return library.where(language.isNull() | ~language.isin(*KNOWN_LANGUAGES))
     return library.where(F.col("detected_language") == language)
 
 
@@ -69,7 +70,7 @@ def with_tag(library: DataFrame, tag: str | None) -> DataFrame:
 
 
 def favorites(library: DataFrame) -> DataFrame:
-    return library.where(values.favorite())
+    return library.where(F.col("is_favorite"))
 
 
 def term_score(term: dict) -> Column:

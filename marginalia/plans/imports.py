@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import values
 from ..operators import envelope, ingest, merge
 from ..operators.ingest import BLOCK, FILE, PARSE_ERROR, ROW
 from ..schema import SOURCES
-from ..sources import csv_lists, files as file_lists, json_lists, sqlite_lists
+from ..scratch import shared_folder
+from ..sources import csv_lists, json_lists, sqlite_lists
+from ..sources import files as file_lists
 
 READERS = {"csv": csv_lists.scan, "json": json_lists.scan, "sqlite": sqlite_lists.scan, "db": sqlite_lists.scan}
 
@@ -45,7 +46,8 @@ def prepare(
     """Read files of any supported format as one import.
 
     Files of an unknown type, empty ones and official exports fail for themselves; the others go
-    on. Nothing is written.
+    on. The normalised rows are staged once in the shared folder; positions, counts, owners and
+    the later merge read that table instead of parsing the files again. The library is not touched.
     """
     sources = spark.createDataFrame([], SOURCES) if sources is None else sources
     listing = file_lists.listed(spark, paths, profile, source_id)
@@ -67,28 +69,27 @@ def prepare(
 
     manifests = [s.manifest for _, s in scans if s.manifest is not None]
     manifest = _union(manifests) if manifests else spark.createDataFrame([], MANIFEST)
-    staged, owner_rows = [], []
+    normalized = []
     for reader, scan in scans:
         for part in scan.parts:
             rows = part.rows.join(refused, FILE, "left_anti")
             rows = envelope.with_owner(rows, files, part.fields)
             if reader is sqlite_lists.scan:
                 rows = rows.withColumn("owner", F.lit(None).cast("string"))
-            owner_rows.append(rows.select(FILE, BLOCK, ROW, "owner", "_named"))
             own = files.select(F.col("file").alias(FILE), F.col("id").alias("_id"))
             rows = rows.join(own, FILE)
-            staged.append(
+            normalized.append(
                 ingest.normalize(
                     rows,
                     part.fields,
                     F.coalesce("owner", "_id"),
                     F.lit(None).cast("string"),
                     F.col("keep_meta"),
-                    keep=(FILE, BLOCK, ROW, PARSE_ERROR, "owner"),
+                    keep=(FILE, BLOCK, ROW, PARSE_ERROR, "owner", "_named"),
                 )
             )
-    rows = _union(staged)
-    owners = envelope.owners(_union(owner_rows), files, manifest, sources)
+    rows = _staged(spark, normalized)
+    owners = envelope.owners(rows, files, manifest, sources)
     own_names = files.select(F.col("file").alias(FILE), F.col("name").alias("_file_name"))
     owner_names = owners.select(F.col("file").alias(FILE), "owner", F.col("name").alias("_owner_name"))
     rows = (
@@ -123,6 +124,13 @@ def prepare(
     return Import(incoming, _added_sources(spark, files, report, owners, [s.layouts for _, s in scans]), report)
 
 
+def _staged(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """The rows of all files, written once."""
+    folder = shared_folder(spark)
+    _union(parts).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def _checked(spark, files: DataFrame, headers: list[DataFrame], manifests) -> DataFrame:
     """Files with the verdict on their column names."""
     empty = spark.createDataFrame([], "file string, headers array<string>")

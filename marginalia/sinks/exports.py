@@ -18,7 +18,7 @@ UNIFIED_FORMAT = "unified-library"
 EXPORTED = [f.name for f in LIBRARY.fields if f.name != "seq"]
 
 # Rows of one JSON document or database. An export has as many of them as it needs.
-ROWS_PER_FILE = 50_000
+ROWS_PER_FILE = 5_000
 
 
 def exported_sources(library: DataFrame, sources: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _quoted(name: str) -> str:
     return '"' + str(name).replace('"', '""') + '"'
 
 
-def _database(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _database(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One SQLite database with the rows of a group, every column as text."""
     table, columns = rows["table"].iloc[0], list(rows["columns"].iloc[0])
     db = sqlite3.connect(":memory:")
