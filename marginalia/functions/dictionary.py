@@ -1,0 +1,49 @@
+"""Chinese and Japanese words by a dictionary of the user's own."""
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .text import CJK_RUN, CJK_START, WORD, has_cjk
+
+# A dictionary travels to every task and may have no more words than this.
+LARGEST_DICTIONARY = 1_000_000
+
+
+def longest_match(run: str, known: frozenset, longest: int) -> list[str]:
+    """A run cut into the longest known words from its start; unknown characters stay single."""
+    found, at = [], 0
+    while at < len(run):
+        sizes = range(min(longest, len(run) - at), 1, -1)
+        size = next((n for n in sizes if run[at : at + n] in known), 1)
+        found.append(run[at : at + size])
+        at += size
+    return found
+
+
+def words_by(dictionary: DataFrame):
+    """A function like ``text.words`` that cuts Chinese and Japanese runs by a table of words (``word``)."""
+    listed = [r[0] for r in dictionary.select("word").distinct().limit(LARGEST_DICTIONARY + 1).collect()]
+    if len(listed) > LARGEST_DICTIONARY:
+        raise ValueError(f"a dictionary may have up to {LARGEST_DICTIONARY} words")
+    known, longest = frozenset(listed), max(map(len, listed), default=1)
+    starts_run = re.compile(CJK_START)
+
+    @F.pandas_udf("array<string>")
+    def cut(lists: pd.Series) -> pd.Series:
+        def whole(pieces):
+            cuts = (longest_match(p, known, longest) if starts_run.match(p) else [p] for p in pieces)
+            return [w for words in cuts for w in words]
+
+        return lists.map(whole, na_action="ignore")
+
+    def words(lowered: Column) -> Column:
+        # Only texts with such runs have their pieces sent to Python.
+        runs = F.regexp_extract_all(lowered, F.lit(f"({CJK_RUN}|{WORD})"), F.lit(1))
+        return F.coalesce(
+            cut(F.when(has_cjk(lowered), runs)), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(1))
+        )
+
+    return words

@@ -13,19 +13,21 @@ CLOUD_WORDS = 60
 SMALLEST_SIZE, SIZE_RANGE = 0.75, 1.5
 
 
-def document_words(library: DataFrame) -> DataFrame:
+def document_words(library: DataFrame, words=tx.words) -> DataFrame:
     """(seq, language, words): one row per document, words in text order.
 
+    ``words`` may be ``functions.dictionary.words_by(...)`` to cut Chinese and Japanese by a dictionary.
+
     Take the words apart with an outer ``explode``: for the plain one Spark adds a condition on the
     list's size and pushes it to the scan, where every document would be split once more.
     """
     body = F.lower(tx.analysis_text(F.col("title"), F.col("article_preview")))
     lowered = library.select("seq", body.alias("body"))
     text = F.col("body")
-    return lowered.select("seq", tx.detect_language(text).alias("language"), tx.words(text).alias("words"))
+    return lowered.select("seq", tx.detect_language(text).alias("language"), words(text).alias("words"))
 
 
-def postings(library: DataFrame, stop_words=BASE_EN) -> DataFrame:
+def postings(library: DataFrame, stop_words=BASE_EN, words=tx.words) -> DataFrame:
     """(seq, term, tf) of every document, keyed by its position.
 
     Noise words share one row with a null term, so a document without terms stays visible. The
@@ -33,7 +35,7 @@ def postings(library: DataFrame, stop_words=BASE_EN) -> DataFrame:
     needs no further exchange.
     """
     return (
-        document_words(library)
+        document_words(library, words)
         .repartition("seq")
         .select("seq", "language", F.explode_outer("words").alias("word"))
         .select("seq", "language", tx.without_possessive("word").alias("base"))
@@ -77,7 +79,7 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("cnt"))
 
 
-def cloud_surfaces(library: DataFrame, mode: str = "plain") -> DataFrame:
+def cloud_surfaces(library: DataFrame, mode: str = "plain", words=tx.words) -> DataFrame:
     """(language, surface, cnt, seen): the words of all documents, counted as they are written.
 
     Whatever a word costs to filter and stem is then paid once per distinct word.
@@ -86,7 +88,7 @@ def cloud_surfaces(library: DataFrame, mode: str = "plain") -> DataFrame:
     if mode == "grouped":
         surfaces = F.when(F.col("language") == "en", tx.keyword_surfaces("words")).otherwise(surfaces)
     return (
-        document_words(library)
+        document_words(library, words)
         .select("seq", "language", F.posexplode_outer(surfaces).alias("pos", "surface"))
         .groupBy("language", "surface")
         .agg(F.count("*").alias("cnt"), F.min(values.first_seen(F.col("seq"), F.col("pos"))).alias("seen"))
@@ -149,9 +151,9 @@ def cloud_counts(terms: DataFrame) -> DataFrame:
     )
 
 
-def word_cloud(library: DataFrame, mode: str = "plain", limit: int = CLOUD_WORDS) -> DataFrame:
+def word_cloud(library: DataFrame, mode: str = "plain", limit: int = CLOUD_WORDS, words=tx.words) -> DataFrame:
     """The most frequent words with their display size."""
-    counted = cloud_counts(cloud_terms(cloud_surfaces(library, mode), mode))
+    counted = cloud_counts(cloud_terms(cloud_surfaces(library, mode, words), mode))
     top = counted.orderBy(F.desc("cnt"), "seen").limit(limit)
     largest = F.max("cnt").over(W.partitionBy())
     size = F.lit(SMALLEST_SIZE) + F.col("cnt") / largest * SIZE_RANGE

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import envelope, ingest, merge
 from ..operators.ingest import BLOCK, FILE, PARSE_ERROR, ROW
 from ..schema import SOURCES
-from ..scratch import shared_folder
+from ..scratch import written_once
 from ..sources import csv_lists, json_lists, sqlite_lists
 from ..sources import files as file_lists
 
@@ -88,7 +88,7 @@ def prepare(
                     keep=(FILE, BLOCK, ROW, PARSE_ERROR, "owner", "_named"),
                 )
             )
-    rows = _staged(spark, normalized)
+    rows = written_once(_union(normalized))
     owners = envelope.owners(rows, files, manifest, sources)
     own_names = files.select(F.col("file").alias(FILE), F.col("name").alias("_file_name"))
     owner_names = owners.select(F.col("file").alias(FILE), "owner", F.col("name").alias("_owner_name"))
@@ -124,13 +124,6 @@ def prepare(
     return Import(incoming, _added_sources(spark, files, report, owners, [s.layouts for _, s in scans]), report)
 
 
-def _staged(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    """The rows of all files, written once."""
-    folder = shared_folder(spark)
-    _union(parts).write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
 def _checked(spark, files: DataFrame, headers: list[DataFrame], manifests) -> DataFrame:
     """Files with the verdict on their column names."""
     empty = spark.createDataFrame([], "file string, headers array<string>")

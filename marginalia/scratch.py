@@ -2,14 +2,24 @@
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="marginalia-")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+
+
+def written_once(frame: DataFrame) -> DataFrame:
+    """The frame's rows as a table in the shared folder, for steps that use them several times."""
+    folder = shared_folder(frame.sparkSession)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.parquet(folder)

@@ -7,10 +7,10 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import ingest, merge
+from marginalia.operators import ingest
 from marginalia.plans import imports
 from marginalia.schema import LIBRARY, SOURCES
-from marginalia.sinks import columns, exports, store
+from marginalia.sinks import exports, store
 from marginalia.sources import csv_lists
 from marginalia.streaming import drop_folder
 
