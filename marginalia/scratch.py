@@ -13,8 +13,12 @@ def _local_root() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    """A fresh folder under ``spark.checkpoint.dir``; a local one only where the session names none and has no executors elsewhere."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
 
 
