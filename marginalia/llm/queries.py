@@ -2,20 +2,29 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import exact_dedup
+from marginalia.llm import exact_dedup, packing, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).read()
+
+
+def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_patricia_owners,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_files, op8_hierarchical_packing, op10_patricia_owners)}
 
 ORACLES: dict[str, str] = {
     "op10_patricia_owners": r"""
