@@ -4,14 +4,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, packing, token_files
+from marginalia.llm import exact_dedup, language_id, packing, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).read()
 
@@ -24,7 +32,7 @@ def op10_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_files, op8_hierarchical_packing, op10_patricia_owners)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op4_token_files, op8_hierarchical_packing, op10_patricia_owners)}
 
 ORACLES: dict[str, str] = {
     "op10_patricia_owners": r"""
