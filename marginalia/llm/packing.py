@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from marginalia.llm.common import buffers, documents, units
-from marginalia.llm.tokens import Encoder
+from marginalia.llm.tokens import encoder as worker_encoder
 
 #: Context sizes, the longest last.
 TIERS = (256, 512, 1024, 2048)
@@ -123,7 +123,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         block, held = [], 0
         sequence = step = TaskContext.get().partitionId() << 36
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import buffers, documents, longs, shuffle_partitions, units
-from marginalia.llm.tokens import Encoder
+from marginalia.llm.tokens import encoder as worker_encoder
 from marginalia.scratch import shared_folder
 
 #: How a null doc_id stands in the file of doc_ids; such documents come last.
@@ -41,7 +41,7 @@ def _writer(root: str, tokenizer: str, end_id: int):
         fs, folder = _place(root)
         fs.create_dir(folder, recursive=True)
         part, name = TaskContext.get().partitionId(), uuid4().hex
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         bits = 16 if max(encoder.size, end_id + 1) <= 1 << 16 else 32
         end, n_docs, n_ids = np.array([end_id], "<u4").tobytes(), 0, 0
         at = f"{folder}/{part:06d}-{name}"

@@ -5,11 +5,12 @@ repeat; their ids are kept in a cache of bounded size, and words of letters alon
 """
 
 import re
+from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words whose ids a task keeps, and the longest that are kept.
+#: Words whose ids a Python worker keeps, and the longest that are kept.
 CACHED_WORDS, CACHED_LENGTH = 500_000, 64
 
 #: Words of letters that the tokenizer gets as one text.
@@ -82,3 +83,9 @@ class Encoder:
         for word in long:
             del self.cache[word]
         return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder: its words serve all the tasks that run here, one after the other."""
+    return Encoder(path)
