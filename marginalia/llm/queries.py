@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, language_id, packing, token_files
+from marginalia.llm import exact_dedup, language_id, packing, token_files, top_k
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,27 @@ def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op10_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op4_token_files, op8_hierarchical_packing, op10_patricia_owners)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op4_token_files, op8_hierarchical_packing, op9_branch_and_bound, op10_patricia_owners)}
 
 ORACLES: dict[str, str] = {
+    "op9_branch_and_bound": """
+        WITH whole AS (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+                   row_number() OVER (PARTITION BY q.row ORDER BY score DESC, c.vec_id)::INTEGER AS rank
+            FROM whole q JOIN whole c ON q.row <> c.row WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM scored WHERE rank <= 20""",
     "op10_patricia_owners": r"""
         WITH bare AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
