@@ -5,17 +5,22 @@ repeat; their ids are kept in a cache of bounded size, and words of letters alon
 """
 
 import re
+from array import array
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words whose ids a Python worker keeps, and the longest that are kept.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 700_000, 64
 
 #: Words of letters that the tokenizer gets as one text.
 JOINED = 200
 
+#: A token of the vocabulary that the tokenizer finds before anything else, so it cuts a text without a trace.
+SPECIAL = "<|endoftext|>"
+
 #: What Python's split() takes for white space beside the tokenizer.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -30,26 +35,29 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.ends[at] = token.endswith("</w>")
+        self.special = np.zeros(self.size, bool)
+        self.special[self.tokenizer.token_to_id(SPECIAL)] = True
+        self.stops = self._each([".", ","])
         self.cache: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, found, strict=True)}
 
-    def _joined(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters: each ends with the first id that ends a word."""
+    def _joined(self, words: list[str], between: str, is_end: np.ndarray, keep_end: bool) -> dict[str, bytes]:
+        """Many words in one text, cut behind the ids that end a word, or at those that stand between two."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)
+        texts = [between.join(x) + between for x in groups]
         found: dict[str, bytes] = {}
-        for group, e in zip(groups, encoded, strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(group):
+            ends = np.flatnonzero(is_end[ids]) * 4
+            if len(ends) != len(group):
                 found |= self._each(group)
                 continue
             data, at = ids.tobytes(), 0
-            for word, end in zip(group, (last * 4).tolist(), strict=True):
-                found[word], at = data[at:end], end
+            for word, end in zip(group, ends.tolist(), strict=True):
+                found[word], at = data[at : end + 4 * keep_end], end + 4
         return found
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
@@ -62,16 +70,22 @@ class Encoder:
             else:
                 odd.append(word)
         bodies = {w[:-1] for w in stopped}
-        found = self._joined(list(plain | {w for w in bodies if w not in self.cache}))
-        stops = self._each([".", ","])
+        found = self._joined(list(plain | bodies - self.cache.keys()), " ", self.ends, True)
         for word in stopped:
             body = word[:-1]
-            found[word] = (found[body] if body in found else self.cache[body]) + stops[word[-1]]
-        return found | self._each(odd)
+            found[word] = (found[body] if body in found else self.cache[body]) + self.stops[word[-1]]
+        special = [w for w in odd if "<" in w]
+        return found | self._each(special) | self._joined([w for w in odd if "<" not in w], SPECIAL, self.special, False)
+
+    def _words(self, text: str) -> list[str]:
+        # The tokenizer lowers letters one by one; Python alone knows a last sigma.
+        if "<" not in text and "\u03a3" not in text and is_normalized("NFC", text):
+            text = text.lower()
+        return _BLANK.split(text) if any(c in text for c in _SEPARATORS) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [_BLANK.split(x) if any(c in x for c in _SEPARATORS) else x.split() for x in texts]
+        split = list(map(self._words, texts))
         new = set().union(*split) - self.cache.keys() - {""}
         if len(self.cache) + len(new) > CACHED_WORDS:
             self.cache = {}
