@@ -41,9 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLES: dict[str, str] = {
     "op9_branch_and_bound": """
         WITH whole AS (
-            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
                    row_number() OVER (PARTITION BY q.row ORDER BY score DESC, c.vec_id)::INTEGER AS rank

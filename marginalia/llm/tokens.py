@@ -7,6 +7,7 @@ repeat; their ids are kept in a cache of bounded size, and words of letters alon
 import re
 from array import array
 from functools import cache
+from itertools import filterfalse
 from unicodedata import is_normalized
 
 import numpy as np
@@ -70,7 +71,7 @@ class Encoder:
             else:
                 odd.append(word)
         bodies = {w[:-1] for w in stopped}
-        found = self._joined(list(plain | bodies - self.cache.keys()), " ", self.ends, True)
+        found = self._joined(list(plain.union(filterfalse(self.cache.__contains__, bodies))), " ", self.ends, True)
         for word in stopped:
             body = word[:-1]
             found[word] = (found[body] if body in found else self.cache[body]) + self.stops[word[-1]]
@@ -86,17 +87,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = list(map(self._words, texts))
-        new = set().union(*split) - self.cache.keys() - {""}
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache = {}
-            new = set().union(*split) - {""}
-        learnt = self._learn(new) | {"": b""}
-        long = {w: x for w, x in learnt.items() if len(w) > CACHED_LENGTH}
-        self.cache |= learnt
-        out = [b"".join(map(self.cache.__getitem__, words)) for words in split]
-        for word in long:
-            del self.cache[word]
-        return out
+        found = [list(map(self.cache.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        learnt = self._learn({words[i] for words, at in zip(split, gaps, strict=True) for i in at} - {""})
+        learnt[""] = b""
+        for words, ids, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                ids[i] = learnt[words[i]]
+        if len(self.cache) + len(learnt) > CACHED_WORDS:
+            self.cache.clear()
+        self.cache.update((w, x) for w, x in learnt.items() if len(w) <= CACHED_LENGTH)
+        return [b"".join(ids) for ids in found]
 
 
 @cache
