@@ -25,6 +25,9 @@ from marginalia.llm.tokens import encoder as worker_encoder
 #: Context sizes, the longest last.
 TIERS = (256, 512, 1024, 2048)
 
+#: Bytes of text encoded at a time.
+TEXT_BYTES = 4 << 20
+
 #: Tokens that are packed together.
 BLOCK_TOKENS = 4_000_000
 
@@ -93,8 +96,8 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return sequences
 
 
-def _rows(docs: list[tuple[int | None, bytes]], first_sequence: int, first_step: int) -> tuple[pa.RecordBatch, int, int]:
-    sequences = sorted(pack([len(ids) // 4 for _, ids in docs]), key=lambda s: s[0])
+def _rows(docs: list[tuple[int | None, np.ndarray]], first_sequence: int, first_step: int) -> tuple[pa.RecordBatch, int, int]:
+    sequences = sorted(pack([len(ids) for _, ids in docs]), key=lambda s: s[0])
     columns: list[list] = [[] for _ in range(9)]
     step, filled, size = first_step, 0, 0
     for k, (tier, pieces) in enumerate(sequences):
@@ -103,8 +106,8 @@ def _rows(docs: list[tuple[int | None, bytes]], first_sequence: int, first_step:
         filled, offset = filled + tier, 0
         for doc, start, length in pieces:
             doc_id, ids = docs[doc]
-            crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-            row = (doc_id, start, length, crc, len(ids) // 4, first_sequence + k, offset, tier, step)
+            crc = zlib.crc32(ids[start : start + length])
+            row = (doc_id, start, length, crc, len(ids), first_sequence + k, offset, tier, step)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
             offset += length
@@ -120,19 +123,17 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     each block of BLOCK_TOKENS. Null and empty texts are the end id alone. Repeated rows are packed once each. An
     empty table has no pieces; other columns are ignored. Sequence and step numbers begin anew, far apart, in each task.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
         block, held = [], 0
         sequence = step = TaskContext.get().partitionId() << 36
         for batch in batches:
             column = batch.column("text")
-            for first, last in units(np.diff(buffers(column)[1])):
-                ids = encoder.encode(column.slice(first, last - first).to_pylist())
-                for doc_id, x in zip(batch.column("doc_id").slice(first, last - first).to_pylist(), ids, strict=True):
-                    block.append((doc_id, x + end))
-                    held += len(x) // 4 + 1
+            for first, last in units(np.diff(buffers(column)[1]), TEXT_BYTES):
+                ids, at = encoder.encode(column.slice(first, last - first), end_id)
+                doc_ids = batch.column("doc_id").slice(first, last - first).to_pylist()
+                block += [(doc_id, ids[a:b]) for doc_id, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                held += len(ids)
                 if held >= BLOCK_TOKENS:
                     rows, sequence, step = _rows(block, sequence, step)
                     block, held = [], 0

@@ -26,6 +26,9 @@ from marginalia.scratch import shared_folder
 #: How a null doc_id stands in the file of doc_ids; such documents come last.
 NO_ID = -(2**63)
 
+#: Bytes of text encoded at a time.
+TEXT_BYTES = 4 << 20
+
 #: Documents that a reader hands on at a time.
 READ_DOCUMENTS = 20_000
 
@@ -43,19 +46,18 @@ def _writer(root: str, tokenizer: str, end_id: int):
         part, name = TaskContext.get().partitionId(), uuid4().hex
         encoder = worker_encoder(tokenizer)
         bits = 16 if max(encoder.size, end_id + 1) <= 1 << 16 else 32
-        end, n_docs, n_ids = np.array([end_id], "<u4").tobytes(), 0, 0
+        n_docs = n_ids = 0
         at = f"{folder}/{part:06d}-{name}"
         with fs.open_output_stream(f"{at}.tokens") as tokens, fs.open_output_stream(f"{at}.offsets") as offsets, fs.open_output_stream(f"{at}.docs") as docs:
             offsets.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 column = batch.column("text")
                 _, sizes = buffers(column)
-                for first, last in units(np.diff(sizes)):
-                    ids = [x + end for x in encoder.encode(column.slice(first, last - first).to_pylist())]
-                    tokens.write(np.frombuffer(b"".join(ids), "<u4").astype(f"<u{bits // 8}").tobytes())
-                    ends = n_ids + np.cumsum([len(x) // 4 for x in ids])
-                    offsets.write(ends.astype("<i8").tobytes())
-                    n_ids, n_docs = int(ends[-1]), n_docs + len(ids)
+                for first, last in units(np.diff(sizes), TEXT_BYTES):
+                    ids, ends = encoder.encode(column.slice(first, last - first), end_id)
+                    tokens.write(ids.astype(f"<u{bits // 8}").tobytes())
+                    offsets.write((n_ids + ends[1:]).astype("<i8").tobytes())
+                    n_ids, n_docs = n_ids + len(ids), n_docs + last - first
                 docs.write(longs(batch.column("doc_id"), NO_ID).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array([part], pa.int64()), "path": [f"{root}/{part:06d}-{name}"], "bits": pa.array([bits], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())}

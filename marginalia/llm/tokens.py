@@ -1,20 +1,22 @@
 """Token ids of whole texts by a public tokenizer's file, word by word.
 
-The tokenizer cuts texts at white space and never merges across it, so a text's ids are its words' ids in order. Words
-repeat; their ids are kept in a cache of bounded size, and words of letters alone go through the tokenizer many at a time.
+The tokenizer cuts texts at white space and never merges across it, so a text's ids are its words' ids in order. Only a
+unit's distinct words are looked at one by one. Their ids are kept in a cache of bounded size, and new words go through the
+tokenizer many at a time.
 """
 
-import re
-from array import array
 from functools import cache
-from itertools import filterfalse
-from unicodedata import is_normalized
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Words whose ids a Python worker keeps, and the longest that are kept.
-CACHED_WORDS, CACHED_LENGTH = 700_000, 64
+from marginalia.llm.common import ranges
+
+#: Words, and ids of words, that a Python worker keeps beside those of the unit in hand.
+CACHED_WORDS, CACHED_IDS = 1_000_000, 8_000_000
 
 #: Words of letters that the tokenizer gets as one text.
 JOINED = 200
@@ -22,10 +24,6 @@ JOINED = 200
 #: A token of the vocabulary that the tokenizer finds before anything else, so it cuts a text without a trace.
 SPECIAL = "<|endoftext|>"
 
-#: What Python's split() takes for white space beside the tokenizer.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
-
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers; no special tokens are added."""
@@ -38,66 +36,82 @@ class Encoder:
             self.ends[at] = token.endswith("</w>")
         self.special = np.zeros(self.size, bool)
         self.special[self.tokenizer.token_to_id(SPECIAL)] = True
-        self.stops = self._each([".", ","])
-        self.cache: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Known words by number; where each begins in the ids, and how many it has.
+        self.words: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def _each(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: array("I", e.ids).tobytes() for w, e in zip(words, found, strict=True)}
+    def _each(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return ids, [np.array([0, len(x)]) for x in ids]
 
-    def _joined(self, words: list[str], between: str, is_end: np.ndarray, keep_end: bool) -> dict[str, bytes]:
-        """Many words in one text, cut behind the ids that end a word, or at those that stand between two."""
+    def _joined(self, words: list[str], between: str, is_end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Texts of many words each; their ids, and the ends of the words in them after a 0."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        texts = [between.join(x) + between for x in groups]
-        found: dict[str, bytes] = {}
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(is_end[ids]) * 4
-            if len(ends) != len(group):
-                found |= self._each(group)
-                continue
-            data, at = ids.tobytes(), 0
-            for word, end in zip(group, ends.tolist(), strict=True):
-                found[word], at = data[at : end + 4 * keep_end], end + 4
-        return found
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        plain, stopped, odd = set(), [], []
-        for word in words:
-            if word.isalpha():
-                plain.add(word)
-            elif word[-1] in ".," and word[:-1].isalpha():
-                stopped.append(word)
+        ids, bounds = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(x) + between for x in groups], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(is_end[found]) + 1
+            if len(ends) == len(group):
+                ids.append(found)
+                bounds.append(np.concatenate(([0], ends)))
             else:
-                odd.append(word)
-        bodies = {w[:-1] for w in stopped}
-        found = self._joined(list(plain.union(filterfalse(self.cache.__contains__, bodies))), " ", self.ends, True)
-        for word in stopped:
-            body = word[:-1]
-            found[word] = (found[body] if body in found else self.cache[body]) + self.stops[word[-1]]
-        special = [w for w in odd if "<" in w]
-        return found | self._each(special) | self._joined([w for w in odd if "<" not in w], SPECIAL, self.special, False)
-
-    def _words(self, text: str) -> list[str]:
-        # The tokenizer lowers letters one by one; Python alone knows a last sigma.
-        if "<" not in text and "\u03a3" not in text and is_normalized("NFC", text):
-            text = text.lower()
-        return _BLANK.split(text) if any(c in text for c in _SEPARATORS) else text.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = list(map(self._words, texts))
-        found = [list(map(self.cache.get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        learnt = self._learn({words[i] for words, at in zip(split, gaps, strict=True) for i in at} - {""})
-        learnt[""] = b""
-        for words, ids, at in zip(split, found, gaps, strict=True):
-            for i in at:
-                ids[i] = learnt[words[i]]
-        if len(self.cache) + len(learnt) > CACHED_WORDS:
-            self.cache.clear()
-        self.cache.update((w, x) for w, x in learnt.items() if len(w) <= CACHED_LENGTH)
-        return [b"".join(ids) for ids in found]
+                alone = self._each(group)
+                ids += alone[0]
+                bounds += alone[1]
+        return ids, bounds
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        special = [w for w in words if "<" in w]
+        odd = [w for w in words if w and not w.isalpha() and "<" not in w]
+        parts = [(plain, 0, *self._joined(plain, " ", self.ends)), (odd, 1, *self._joined(odd, SPECIAL, self.special)), (special, 0, *self._each(special))]
+        ids, starts, sizes = [self.ids], [self.starts], [self.sizes]
+        base = len(self.ids)
+        for names, between, found, bounds in parts:
+            self.words.update(zip(names, range(len(self.words), len(self.words) + len(names)), strict=True))
+            for x, b in zip(found, bounds, strict=True):
+                # A word of the odd ones ends before the token that follows it.
+                starts.append(base + b[:-1])
+                sizes.append(np.diff(b) - between * (len(b) - 1 == np.count_nonzero(self.special[x])))
+                ids.append(x)
+                base += len(x)
+        if "" in words:
+            self.words[""] = len(self.words)
+            starts.append(np.zeros(1, np.int64))
+            sizes.append(np.zeros(1, np.int64))
+        self.ids, self.starts, self.sizes = (np.concatenate(x) for x in (ids, starts, sizes))
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words."""
+        find = lambda some: np.fromiter(map(self.words.get, some, repeat(-1)), np.int64, len(some))
+        at = find(words)
+        missing = np.flatnonzero(at < 0)
+        if len(self.words) + len(missing) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+            self._forget()
+            missing = np.arange(len(words))
+        new = [words[i] for i in missing.tolist()]
+        if new:
+            self._learn(new)
+            at[missing] = find(new)
+        return at
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each with ``end_id`` behind it, and the texts' offsets in them."""
+        texts = texts.fill_null("")
+        # The vocabulary is in lower case; a special token is one only as it is written.
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        at = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        of_words, bounds = self.sizes[at], words.offsets.to_numpy() - words.offsets[0].as_py()
+        tokens = self.ids[ranges(self.starts[at], of_words)]
+        offsets = np.concatenate(([0], np.cumsum(of_words)))[bounds]
+        if end_id is not None:
+            tokens = np.insert(tokens, offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))
+        return tokens.astype("<u4", copy=False), offsets
 
 
 @cache
