@@ -93,15 +93,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+#: A well-spread 64-bit number for each byte.
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+
+
 def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of the values (bytes or 64-bit numbers), ranges may overlap."""
+    """A 64-bit hash of each range of the values, which are well-spread 64-bit numbers; ranges may overlap."""
     up, down = _powers(len(values) + 1)
-    spread = mixed(values.astype(np.uint64) + np.uint64(_BASE))
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(spread * up[: len(values)], out=sums[1:])
+    np.cumsum(values * up[: len(values)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def shard_keys(frame: DataFrame, n: int) -> list[int]:
+    """A number for each of n partitions that Spark's hash partitioning puts there."""
+    spark, found, size = frame.sparkSession, {}, 16 * n
+    while len(found) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("id"))
+        found = {r[0]: r[1] for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id")).collect()}
+        size *= 4
+    return [found[i] for i in range(n)]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after the other."""
     total = int(lengths.sum())
