@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +60,19 @@ class Pieces(NamedTuple):
     anchor: np.ndarray
 
 
-def _row(shard: int, block: int, kind: int, *arrays) -> dict:
-    return {"shard": shard, "block": block, "kind": kind} | {n: (x if isinstance(x, bytes) else x.tobytes()) for n, x in zip("abcde", arrays, strict=False)}
+def _planes(x: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on: the exchanges' compression finds more in them."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def _array(row: dict, name: str, kind) -> np.ndarray:
-    return np.frombuffer(row[name] or b"", kind)
+    data = np.frombuffer(row[name] or b"", np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(data.T).view(kind).ravel()
+
+
+def _row(shard: int, block: int, kind: int, *arrays) -> dict:
+    """Arrays as planes; bytes stay as they are."""
+    return {"shard": shard, "block": block, "kind": kind} | {n: x if isinstance(x, bytes) else _planes(x) for n, x in zip("abcde", arrays, strict=False)}
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -173,7 +181,8 @@ def _anchors(read: Reader, window: int, k: int, shards: list[int]):
                 mine = anchors[at]
                 head = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
                 twice = np.diff(np.append(head, len(mine))) > 1
-                rows.append(_row(shard, block, ASKING, mine[head], twice, np.diff(np.append(head, len(mine))).astype(np.uint32), docs[at].astype(np.uint16 if len(batch) < 1 << 16 else np.uint32)))
+                steps = np.diff(mine[head], prepend=np.uint64(0))
+                rows.append(_row(shard, block, ASKING, steps, twice, np.diff(np.append(head, len(mine))).astype(np.uint32), docs[at].astype(np.uint16 if len(batch) < 1 << 16 else np.uint32)))
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     return task
@@ -189,7 +198,8 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asking.append(row)
     if not asking:
         return
-    anchors = np.concatenate([_array(r, "a", np.uint64) for r in asking])
+    own = [np.cumsum(_array(r, "a", np.uint64), dtype=np.uint64) for r in asking]
+    anchors = np.concatenate(own)
     twice = np.concatenate([_array(r, "b", bool) for r in asking])
     order = np.argsort(anchors, kind="stable")
     ordered = anchors[order]
@@ -199,12 +209,11 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again, hot = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
     again[order], hot[order] = shared, np.repeat(blocks >= HOT_BLOCKS, blocks)
     at = 0
-    for row in asking:
-        mine = _array(row, "a", np.uint64)
+    for row, mine in zip(asking, own, strict=True):
         keep, heat = again[at : at + len(mine)], hot[at : at + len(mine)]
         at += len(mine)
         counts = _array(row, "c", np.uint32).astype(np.int64)
-        docs = np.frombuffer(row["d"], np.uint16 if len(row["d"]) == 2 * counts.sum() else np.uint32).astype(np.uint32)[ranges((np.cumsum(counts) - counts)[keep], counts[keep])]
+        docs = _array(row, "d", np.uint16 if len(row["d"]) == 2 * counts.sum() else np.uint32).astype(np.uint32)[ranges((np.cumsum(counts) - counts)[keep], counts[keep])]
         yield pa.RecordBatch.from_pylist([_row(row["shard"], row["block"], ANSWER, docs, np.repeat(mine[keep], counts[keep]), np.repeat(heat[keep], counts[keep]))], _SCHEMA)
 
 
@@ -295,7 +304,7 @@ def _found(read: Reader, window: int, k: int, shards: list[int]):
                 at_ = head[mine]
                 sizes = b[at_] - a[at_]
                 text = data[ranges(a[at_], sizes)]
-                rows.append(_row(shard, block, ASKING, ids[doc[at_]], windows[at_].astype(np.uint16), column[at_].astype(np.uint16), sizes.astype(np.uint32), text))
+                rows.append(_row(shard, block, ASKING, ids[doc[at_]], windows[at_].astype(np.uint16), column[at_].astype(np.uint16), sizes.astype(np.uint32), zstandard.compress(text.tobytes(), 1)))
             used, row = np.unique(doc, return_inverse=True)
             rows.insert(0, _row(_any_shard(block, shards), block, PARKED, ids[used], keys[used], row.astype(np.uint32), at.astype(np.uint32), place[piece]))
             for x in rows:
@@ -330,7 +339,8 @@ def _solved(solve: Solver):
             return
         join = lambda name, kind: np.concatenate([_array(r, name, kind) for r in asking])
         windows, sizes = join("b", np.uint16).astype(np.int64), join("d", np.uint32).astype(np.int64)
-        least = solve(Asked(join("e", np.uint8), np.concatenate(([0], np.cumsum(sizes))), join("a", np.int64), windows, join("c", np.uint16).astype(np.int64)))
+        text = np.frombuffer(b"".join(zstandard.decompress(r["e"]) for r in asking), np.uint8)
+        least = solve(Asked(text, np.concatenate(([0], np.cumsum(sizes))), join("a", np.int64), windows, join("c", np.uint16).astype(np.int64)))
         ends = np.cumsum(windows)
         at = 0
         for row in asking:
