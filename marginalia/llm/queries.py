@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, language_id, packing, phrase_dedup, pii, suffix_dedup, token_files, top_k
+from marginalia.llm import exact_dedup, language_id, near_dedup, packing, phrase_dedup, pii, suffix_dedup, token_files, top_k
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classified(_documents(spark, sf_dir)).drop("key")
+
+
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.digests(_documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op3_phrase_automata, op4_token_files, op6_column_suffixes, op7_disclosure, op8_hierarchical_packing, op9_branch_and_bound, op10_patricia_owners)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op2_bayesian_minhash, op3_phrase_automata, op4_token_files, op6_column_suffixes, op7_disclosure, op8_hierarchical_packing, op9_branch_and_bound, op10_patricia_owners)}
 
 ORACLES: dict[str, str] = {
     "op9_branch_and_bound": """
