@@ -7,7 +7,7 @@ under a uniform prior is Beta(1 + m, 1 + n - m); when its mass above the thresho
 are verified on their full sets.
 
 Only components are asked for, so pairs inside one component need no second look. First each class is compared with one
-other, the leader it shares most bands with. Buckets that then still hold several components are compared in full
+other: each bucket is led by the member that shares most with others, and a class follows the leader it meets in most buckets. Buckets that then still hold several components are compared in full
 between components, in blocks of bounded size within tasks, and only survivors leave a task. So the buckets of a
 large group of near copies fall silent after the first step, and no link between different components is lost.
 """
@@ -223,8 +223,12 @@ def classified(docs: DataFrame) -> DataFrame:
     classes = written_once(linked.groupBy("class").agg(first.alias("x")).select(F.xxhash64("class").alias("rep"), "class", "x.*"))
     reps = classes.select("rep", "signature")
     banded = reps.mapInArrow(_bands, "bucket long, rep long")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).filter("members > 1")
-    buckets = written_once(banded.join(sizes, "bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    crowded = written_once(banded.join(sizes, "bucket"))
+    # Among near copies of one text the least altered shares most buckets with the others, and it is like most of them.
+    known = crowded.groupBy("rep").agg(F.sum("members").alias("known"))
+    leaders = crowded.join(known, "rep").groupBy("bucket").agg(F.max(F.struct("known", "rep")).alias("x")).select("bucket", F.col("x.rep").alias("leader"))
+    buckets = written_once(crowded.join(leaders, "bucket"))
     shared = buckets.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
     lead = shared.groupBy("rep").agg(F.max(F.struct("n", "leader")).alias("x")).select(F.col("x.leader").alias("a"), F.col("rep").alias("b"))
     signed_pairs = lead.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
