@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, language_id, near_dedup, packing, phrase_dedup, pii, suffix_dedup, token_files, top_k
+from marginalia.llm import exact_dedup, language_id, near_dedup, packing, phrase_dedup, pieces, pii, suffix_dedup, token_files, top_k
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).read()
 
 
+def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op2_bayesian_minhash, op3_phrase_automata, op4_token_files, op6_column_suffixes, op7_disclosure, op8_hierarchical_packing, op9_branch_and_bound, op10_patricia_owners)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partial_matching, op2_bayesian_minhash, op3_phrase_automata, op4_token_files, op5_suffix_array_pieces, op6_column_suffixes, op7_disclosure, op8_hierarchical_packing, op9_branch_and_bound, op10_patricia_owners)}
 
 ORACLES: dict[str, str] = {
     "op9_branch_and_bound": """
