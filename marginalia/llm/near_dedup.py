@@ -8,7 +8,7 @@ are verified on their full sets.
 
 Only components are asked for, so pairs inside one component need no second look. First each class is compared with one
 other: each bucket is led by the member that shares most with others, and a class follows the leader it meets in most buckets. Buckets that then still hold several components are compared in full
-between components, in blocks of bounded size within tasks, and only survivors leave a task. So the buckets of a
+between components, in blocks of bounded size within tasks, and only links that join components leave a task. So the buckets of a
 large group of near copies fall silent after the first step, and no link between different components is lost.
 """
 
@@ -130,28 +130,56 @@ def _pair_survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).take(pa.array(surviving(left, right)))
 
 
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with each of the others."""
+    flat, sizes = np.concatenate(others), np.array([len(o) for o in others])
+    same = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
+def _enough(both: np.ndarray, size: int, others: np.ndarray) -> np.ndarray:
+    return 100 * both >= PERCENT * (size + others - both)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of two blocks of a bucket, sorted by (bucket, x, y): survivors between components."""
+    """Members of two blocks of a bucket, sorted by (bucket, x, y): links that join its components, verified on full sets.
 
-    def told(reps: list, components: list, blocks: list, signed: list, x: int, y: int) -> pa.RecordBatch:
+    A pair is looked at in the first band that it shares. Of links between the same two components one is enough.
+    """
+
+    def told(reps: list, components: list, blocks: list, signed: list, sets: list, x: int, y: int) -> pa.RecordBatch:
         rep, component, block = np.array(reps, np.int64), np.array(components, np.int64), np.array(blocks)
         values = np.frombuffer(b"".join(signed), np.uint32).reshape(-1, VALUES)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        members = [np.frombuffer(s, np.uint64) for s in sets]
+        sizes = np.array([len(m) for m in members])
+        bands = values.reshape(-1, BANDS, BAND)
+        # The bucket is a band that all members share; hashes of other bands may meet here only by chance.
+        own = int((bands == bands[0]).all(axis=(0, 2)).argmax())
+        found = ([], [])
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         for i in left.tolist():
             others = right[(component[right] != component[i]) & ((rep[right] > rep[i]) if x == y else True)]
-            at = others[surviving(np.broadcast_to(values[i], (len(others), VALUES)), values[others])]
-            a.append(np.minimum(rep[i], rep[at]))
-            b.append(np.maximum(rep[i], rep[at]))
-        return pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    key, held = None, ([], [], [], [])
+            if own:
+                others = others[~(bands[others, :own] == bands[i, :own]).all(axis=2).any(axis=1)]
+            others = others[surviving(np.broadcast_to(values[i], (len(others), VALUES)), values[others])]
+            if not len(others):
+                continue
+            linked = others[_enough(_shared(members[i], [members[j] for j in others]), sizes[i], sizes[others])]
+            for j in linked.tolist():
+                if component[i] != component[j]:
+                    found[0].append(min(rep[i], rep[j]))
+                    found[1].append(max(rep[i], rep[j]))
+                    component[component == component[j]] = component[i]
+        return pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    key, held = None, ([], [], [], [], [])
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "rep", "component", "block", "signature")), strict=True)
-        for bucket, x, y, *rest in rows:
+        names = ("bucket", "x", "y", "rep", "component", "block", "signature", "set")
+        for i in range(len(batch)):
+            bucket, x, y, *rest = (batch.column(c)[i].as_py() for c in names)
             if key is not None and key != (bucket, x, y):
                 yield told(*held, *key[1:])
-                held = ([], [], [], [])
+                held = ([], [], [], [], [])
             key = (bucket, x, y)
             for column, value in zip(held, rest, strict=True):
                 column.append(value)
@@ -174,9 +202,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
             x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[at] == y).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(bool(_enough(_shared(x, [y])[0], len(x), len(y))))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -243,9 +269,10 @@ def classified(docs: DataFrame) -> DataFrame:
     left = named.join(mixed_buckets, "bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "component", "block").join(reps, "rep")
-    dealt = left.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").select("bucket", "x", "y", "rep", "component", "block", "signature")
-    more = written_once(_exact(dealt.mapInArrow(_compared, "a long, b long").distinct(), sets))
+    left = left.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "component", "block")
+    left = left.join(reps, "rep").join(sets, "rep")
+    dealt = left.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").select("bucket", "x", "y", "rep", "component", "block", "signature", "set")
+    more = written_once(dealt.mapInArrow(_compared, "a long, b long"))
     joined = components(links.union(more))
     ids = classes.select("class", "rep", "doc_id").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     ids = ids.select("class", "doc_id", F.coalesce("component", "rep").alias("component"))
