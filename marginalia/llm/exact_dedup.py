@@ -18,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BLANKS, UNIT_BYTES, documents, shuffle_partitions
+from marginalia.llm.common import BLANKS, UNIT_BYTES, documents, rows_with, shuffle_partitions, text_key
 from marginalia.scratch import written_once
 
 #: Bytes of text that a task's own trie may hold; then it starts a new one.
 TRIE_BYTES = 64 << 20
 
-_STAGED = "task long, row long, place long, doc_id long, n_chars long, length long, hash long, n long, body binary, text_sha256 string"
+_STAGED = "task long, row long, place long, doc_id long, key long, n_chars long, length long, hash long, n long, body binary, text_sha256 string"
 _ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]]) for x in _STAGED.split(", ")])
 
 
@@ -100,7 +100,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for body, best in trie:
             chars, _, doc_id, _, at = best.rank
             digest = hashlib.sha256(body).digest()
-            values = (task, at, best.copies[0], None if best.rank[1] else doc_id, -chars, len(body), int.from_bytes(digest[:8], "little", signed=True), best.n, body, None)
+            values = (task, at, best.copies[0], None if best.rank[1] else doc_id, None, -chars, len(body), int.from_bytes(digest[:8], "little", signed=True), best.n, body, None)
             for f, value in zip(_ARROW, values, strict=True):
                 columns[f.name].append(value)
             size += len(body)
@@ -129,7 +129,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [None] * len(batch)
         yield _batch(
             {
-                "task": [task] * len(batch), "row": range(row - len(batch), row), "place": places, "doc_id": batch.column("doc_id").to_pylist(),
+                "task": [task] * len(batch), "row": range(row - len(batch), row), "place": places, "doc_id": batch.column("doc_id").to_pylist(), "key": batch.column("key").to_pylist(),
                 "n_chars": chars, "length": empty, "hash": empty, "n": empty, "body": empty, "text_sha256": digests,
             }
         )
@@ -173,12 +173,12 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): which row of its group of equal texts stays.
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256, and task and row, which together tell rows apart. A null
+    Returns doc_id, keep_id, group_size, kept, text_sha256, key (hash of the text), and task and row, which together tell rows apart. A null
     text is empty; empty texts equal each other. The row with most code points in its original text stays, then the
     smallest doc_id, null ids last; of wholly repeated rows exactly one is ``kept``. Other columns are ignored, empty
     tables give empty results.
     """
-    staged = written_once(documents(docs).mapInArrow(_local, _STAGED))
+    staged = written_once(documents(docs).withColumn("key", text_key()).mapInArrow(_local, _STAGED))
     decided = (
         staged.filter(F.col("body").isNotNull())
         .select("task", "row", "place", "doc_id", "n_chars", "n", "length", "hash", "body")
@@ -186,9 +186,14 @@ def owners(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("body")
         .mapInArrow(_owners, "task long, place long, keep_id long, keep_task long, keep_row long, group_size long")
     )
-    members = staged.filter(F.col("body").isNull()).select("task", "row", "place", "doc_id", "text_sha256")
+    members = staged.filter(F.col("body").isNull()).select("task", "row", "place", "doc_id", "key", "text_sha256")
     return members.join(decided, ["task", "place"]).select(
         "doc_id", "keep_id", "group_size",
         ((F.col("keep_task") == F.col("task")) & (F.col("keep_row") == F.col("row"))).alias("kept"),
-        "text_sha256", "task", "row",
+        "text_sha256", "task", "row", "key",
     )
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    return rows_with(docs, owners(docs).filter("kept").select("doc_id", "key"), once=True)

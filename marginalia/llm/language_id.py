@@ -208,6 +208,28 @@ def train(labelled: DataFrame) -> Model | None:
     return Model.fit(languages, counts) if languages else None
 
 
+def judged(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of the rows of a batch (text, lettered)."""
+    names = np.array([*(model.languages if model else []), UNDECIDED], object)
+    data, offsets = buffers(batch.column("text"))
+    best = np.full(len(batch), len(names) - 1)
+    score, rate = np.zeros(len(batch)), np.zeros(len(batch))
+    for first, last in units(np.diff(offsets)) if model else ():
+        part = offsets[first : last + 1]
+        costs = model.lengths(data[part[0] : part[-1]], part - part[0])
+        least = costs.min(axis=1)
+        best[first:last] = costs.argmin(axis=1)
+        score[first:last] = 1 / np.exp2(np.maximum((least[:, None] - costs) / UNIT, -1000)).sum(axis=1)
+        rate[first:last] = least / UNIT / np.maximum(np.diff(part), 1)
+    silent = ~batch.column("lettered").to_numpy(zero_copy_only=False)
+    best[silent], score[silent] = len(names) - 1, 0
+    return names[best], score, rate
+
+
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}")
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte of every row of ``docs`` (doc_id, text).
 
@@ -218,26 +240,32 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*(model.languages if model else []), UNDECIDED], object)
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            best = np.full(len(batch), len(names) - 1)
-            score, rate = np.zeros(len(batch)), np.zeros(len(batch))
-            for first, last in units(np.diff(offsets)) if model else ():
-                part = offsets[first : last + 1]
-                costs = model.lengths(data[part[0] : part[-1]], part - part[0])
-                least = costs.min(axis=1)
-                best[first:last] = costs.argmin(axis=1)
-                score[first:last] = 1 / np.exp2(np.maximum((least[:, None] - costs) / UNIT, -1000)).sum(axis=1)
-                rate[first:last] = least / UNIT / np.maximum(np.diff(part), 1)
-            silent = ~batch.column("lettered").to_numpy(zero_copy_only=False)
-            best[silent], score[silent] = len(names) - 1, 0
-            none = best == len(names) - 1
+            name, score, rate = judged(batch, shared.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rate, mask=none)],
+                [batch.column("doc_id"), pa.array(name, pa.string()), pa.array(score), pa.array(rate, mask=name == UNDECIDED)],
                 names=["doc_id", "lang_pred", "score", "bits_per_byte"],
             )
 
-    rows = documents(docs).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
+    rows = documents(docs).withColumn("lettered", _lettered())
     return rows.mapInArrow(task, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are text in a learnt language, with all their columns.
+
+    Rejected are null texts, texts without a letter, and texts that no language's model codes in less than the 8 bits a
+    byte has anyway. Without a model only the first two go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.select(["_text", "_lettered"]).rename_columns(["text", "lettered"])
+            name, _, rate = judged(texts, shared.value)
+            stays = (name != UNDECIDED) & (rate < 8) if shared.value else texts.column("lettered").to_numpy(zero_copy_only=False)
+            yield batch.select(columns).filter(pa.array(np.asarray(stays, bool)))
+
+    marked = docs.withColumns({"_text": F.coalesce(F.col("text").cast("string"), F.lit("")), "_lettered": _lettered()})
+    return marked.mapInArrow(task, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, mixed, ranges, shuffle_partitions, spans_of_words, text_key, units
+from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, mixed, ranges, rows_with, shuffle_partitions, spans_of_words, text_key, units
 from marginalia.scratch import written_once
 
 WORDS = 5
@@ -281,3 +281,8 @@ def classified(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "key", "n_shingles", "class").join(answer, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    return rows_with(docs, classified(docs).filter("kept").select("doc_id", "key"))
