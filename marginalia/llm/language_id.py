@@ -27,6 +27,9 @@ from marginalia.llm.common import buffers, documents, units
 #: Bytes of text in the training sample, expected.
 TRAINING_BYTES = 12 << 20
 
+#: Bytes of text scored at a time.
+SCORED_BYTES = 1 << 19
+
 #: Units of a bit that code lengths are counted in.
 UNIT = 1 << 16
 
@@ -214,7 +217,7 @@ def judged(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.n
     data, offsets = buffers(batch.column("text"))
     best = np.full(len(batch), len(names) - 1)
     score, rate = np.zeros(len(batch)), np.zeros(len(batch))
-    for first, last in units(np.diff(offsets)) if model else ():
+    for first, last in units(np.diff(offsets), SCORED_BYTES) if model else ():
         part = offsets[first : last + 1]
         costs = model.lengths(data[part[0] : part[-1]], part - part[0])
         least = costs.min(axis=1)

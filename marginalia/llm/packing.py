@@ -26,10 +26,10 @@ from marginalia.llm.tokens import encoder as worker_encoder
 TIERS = (256, 512, 1024, 2048)
 
 #: Bytes of text encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 #: Tokens that are packed together.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 #: Tokens of a step group.
 STEP_TOKENS = 32 * 2048
@@ -140,5 +140,6 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                     yield rows
         if block:
             yield _rows(block, sequence, step)[0]
+        pa.default_memory_pool().release_unused()
 
     return documents(docs).mapInArrow(task, PIECES)

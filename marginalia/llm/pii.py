@@ -91,8 +91,12 @@ _FOUND = """doc_id long, key long, n_email long, n_ip long, n_card long, n_phone
     near array<struct<entity: long, term: long, around: long, start: int, stop: int>>"""
 
 
+#: Rows whose spans are sought at a time.
+ROWS = 1000
+
+
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(first, ROWS) for b in batches for first in range(0, len(b), ROWS)):
         columns: dict[str, list] = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near")}
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
@@ -124,7 +128,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, last in units(np.diff(offsets)):
+        for first, last in units(np.diff(offsets), 1 << 19):
             words = [set(_WORD.findall(t.lower())) for t in batch.column("text").slice(first, last - first).to_pylist()]
             flat = [w for x in words for w in x]
             if flat:

@@ -27,7 +27,7 @@ from marginalia.scratch import shared_folder
 NO_ID = -(2**63)
 
 #: Bytes of text encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 #: Documents that a reader hands on at a time.
 READ_DOCUMENTS = 20_000

@@ -5,6 +5,7 @@ unit's distinct words are looked at one by one. Their ids are kept in a cache of
 tokenizer many at a time.
 """
 
+from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
 
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 from marginalia.llm.common import ranges
 
 #: Words, and ids of words, that a Python worker keeps beside those of the unit in hand.
-CACHED_WORDS, CACHED_IDS = 1_000_000, 8_000_000
+CACHED_WORDS, CACHED_IDS = 300_000, 3_000_000
 
 #: Words of letters that the tokenizer gets as one text.
 JOINED = 200
@@ -43,16 +44,21 @@ class Encoder:
         self.words: dict[str, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Few at a time: the tokenizer's answers are many times as large as the ids."""
+        for first in range(0, len(texts), 32):
+            for e in self.tokenizer.encode_batch_fast(texts[first : first + 32], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
+
     def _each(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = list(self._encoded(words))
         return ids, [np.array([0, len(x)]) for x in ids]
 
     def _joined(self, words: list[str], between: str, is_end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Texts of many words each; their ids, and the ends of the words in them after a 0."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         ids, bounds = [], []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(x) + between for x in groups], add_special_tokens=False), strict=True):
-            found = np.array(e.ids, "<u4")
+        for group, found in zip(groups, self._encoded([between.join(x) + between for x in groups]), strict=True):
             ends = np.flatnonzero(is_end[found]) + 1
             if len(ends) == len(group):
                 ids.append(found)
