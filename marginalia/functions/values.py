@@ -56,12 +56,17 @@ def favorite(is_favorite="is_favorite") -> Column:
     return F.coalesce(F.col(is_favorite), F.lit(False))
 
 
-def first_seen(seq: Column, pos: Column) -> Column:
-    """(row, position in the row) as one sortable long; see ``schema.POSITION_BITS``."""
-    from ..schema import POSITION_BITS
+#: More positions than an array can have.
+POSITIONS = 1 << 31
 
-    last = (1 << POSITION_BITS) - 1
-    return F.shiftleft(seq.cast("bigint"), POSITION_BITS) + F.least(pos.cast("bigint"), F.lit(last))
+
+def first_seen(seq, pos) -> Column:
+    """(row, position in the row) as one sortable number, wide enough for any of both.
+
+    A decimal and no struct: Spark takes its minimum in the hash map of an aggregation, a struct's only after a sort.
+    """
+    row = F.col(seq).cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(10,0)")
+    return row + F.col(pos).cast("decimal(10,0)")
 
 
 def deleted_at_label(deleted_at: Column, unknown="unknown", zone="UTC") -> Column:

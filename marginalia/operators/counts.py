@@ -51,7 +51,7 @@ def tag_counts(library: DataFrame) -> DataFrame:
     """Trimmed tags over all rows, trashed ones too, with the place each was first seen."""
     return (
         library.select("seq", F.posexplode("tags").alias("pos", "tag"))
-        .select(F.trim("tag").alias("tag"), values.first_seen(F.col("seq"), F.col("pos")).alias("seen"))
+        .select(F.trim("tag").alias("tag"), values.first_seen("seq", "pos").alias("seen"))
         .where(F.col("tag") != "")
         .groupBy("tag")
         .agg(F.count("*").alias("cnt"), F.min("seen").alias("first_seen"))

@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..schema import LIBRARY, SOURCES
 
-# Id lists up to this length become a literal filter; longer ones are joined.
-LITERAL_IDS = 1000
-
 RECORD_COLUMNS = [f.name for f in LIBRARY.fields if f.name not in ("id", "seq", "is_favorite")]
 
 
@@ -62,13 +59,10 @@ def displaced(library: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def _with_hit(library: DataFrame, ids) -> tuple[DataFrame, Column]:
-    """The library and a column telling the rows named by ``ids`` (a DataFrame or a list)."""
+    """The library and a column telling the rows named by ``ids``, a DataFrame or a list; null names no row."""
     if not isinstance(ids, DataFrame):
-        ids = list(ids)
-        if len(ids) <= LITERAL_IDS:
-            return library, F.col("id").isin(ids) if ids else F.lit(False)
         ids = library.sparkSession.createDataFrame([(i,) for i in ids], "id string")
-    marks = ids.select("id").distinct().withColumn("hit", F.lit(True))
+    marks = ids.select("id").where(F.col("id").isNotNull()).distinct().withColumn("hit", F.lit(True))
     return library.join(marks, "id", "left"), F.coalesce("hit", F.lit(False))
 
 

@@ -1,7 +1,5 @@
 """Filter, search, rank and order the library."""
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,33 +9,47 @@ from ..schema import KNOWN_LANGUAGES
 # Points for a term found in a title, preview, address or tag.
 TITLE_POINTS, PREVIEW_POINTS, URL_POINTS, TAG_POINTS = 10, 5, 3, 8
 
-# The forms of a search word, tried from left to right.
-QUERY_FORMS = re.compile(
-    r"""is:(?P<fav>fav|♥)|link:(?:"(?P<link_phrase>[^"]*)"|(?P<link>\S+))|"(?P<phrase>[^"]*)"|(?P<word>\S+)""",
-    re.IGNORECASE,
-)
+# The operators of the search box and the marks of a favourite.
+LINK, IS, FAVORITE_MARKS = "link:", "is:", ("fav", "♥")
+
+
+def _take(text: str) -> tuple[str, bool, str]:
+    """(value, quoted, what follows): a value in quotes where a second quote closes it, or all up to white space."""
+    if text.startswith('"') and '"' in text[1:]:
+        value, _, rest = text[1:].partition('"')
+        return value, True, rest
+    value = text.split(maxsplit=1)[0] if text and not text[0].isspace() else ""
+    return value, False, text[len(value) :]
+
+
+def _term(text: str, exact=False, url_only=False, favorite=False) -> dict:
+    return {"text": text, "exact": exact, "url_only": url_only, "favorite": favorite}
 
 
 def search_terms(query: str | None) -> list[dict]:
-    """The words of a search box: ``is:fav``, ``link:...``, ``"a phrase"`` and plain words."""
-    found = []
-    for match in QUERY_FORMS.finditer((query or "").strip()):
-        kind = match.lastgroup
-        text = match.group(kind).lower()
-        if kind in ("link", "link_phrase"):
-            text = text.strip()
-            # An empty link phrase is searched as the literal text.
-            found.append(
-                {"text": text, "exact": kind == "link_phrase", "url_only": True, "favorite": False}
-                if text
-                else {"text": "link:", "exact": False, "url_only": False, "favorite": False}
-            )
-        elif kind == "phrase":
-            text = text.strip()
-            if text:
-                found.append({"text": text, "exact": True, "url_only": False, "favorite": False})
+    """The words of a search box: ``is:fav``, ``link:...``, ``"a phrase"`` and plain words, in any case.
+
+    A favourite mark ends where it ends, whatever follows it. An operator without a value is a plain word; an empty
+    phrase is nothing, but an empty link phrase is looked for as it stands.
+    """
+    found, rest = [], (query or "").strip()
+    while rest:
+        start = rest[: len(LINK)].lower()
+        mark = next((m for m in FAVORITE_MARKS if start.startswith(IS) and rest[len(IS) :].lower().startswith(m)), None)
+        if mark:
+            found.append(_term(mark, favorite=True))
+            rest = rest[len(IS) + len(mark) :].lstrip()
+            continue
+        value, quoted, after = _take(rest[len(LINK) :]) if start == LINK else ("", False, "")
+        if value or quoted:
+            value = value.strip().lower()
+            found.append(_term(value, quoted, True) if value else _term(LINK))
         else:
-            found.append({"text": text, "exact": False, "url_only": False, "favorite": kind == "fav"})
+            value, quoted, after = _take(rest)
+            value = value.strip().lower() if quoted else value.lower()
+            if value:
+                found.append(_term(value, exact=quoted))
+        rest = after.lstrip()
     return found
 
 

@@ -16,7 +16,6 @@ SMALLEST_SIZE, SIZE_RANGE = 0.75, 1.5
 def document_words(library: DataFrame, words=tx.words) -> DataFrame:
     """(seq, language, words): one row per document, words in text order.
 
-    ``words`` may be ``functions.dictionary.words_by(...)`` to cut Chinese and Japanese by a dictionary.
 
     Take the words apart with an outer ``explode``: for the plain one Spark adds a condition on the
     list's size and pushes it to the scan, where every document would be split once more.
@@ -91,7 +90,7 @@ def cloud_surfaces(library: DataFrame, mode: str = "plain", words=tx.words) -> D
         document_words(library, words)
         .select("seq", "language", F.posexplode_outer(surfaces).alias("pos", "surface"))
         .groupBy("language", "surface")
-        .agg(F.count("*").alias("cnt"), F.min(values.first_seen(F.col("seq"), F.col("pos"))).alias("seen"))
+        .agg(F.count("*").alias("cnt"), F.min(values.first_seen("seq", "pos")).alias("seen"))
     )
 
 
@@ -140,12 +139,12 @@ def cloud_counts(terms: DataFrame) -> DataFrame:
         .agg(F.sum("cnt").alias("cnt"), F.min("seen").alias("seen"))
         .groupBy("grouped", "key")
         .agg(
-            F.max_by("display", F.struct("cnt", -F.col("seen"))).alias("display"),
+            F.min_by("display", F.struct((-F.col("cnt")).alias("less"), "seen")).alias("display"),
             F.sum("cnt").alias("cnt"),
             F.min("seen").alias("seen"),
         )
     )
-    earlier = F.when(F.col("grouped"), F.col("seen") + F.lit(-(2**63))).otherwise(F.col("seen"))
+    earlier = F.struct((~F.col("grouped")).alias("plain"), "seen")
     return groups.groupBy(F.lower("display").alias("word")).agg(
         F.sum("cnt").alias("cnt"), F.min(earlier).alias("seen")
     )

@@ -105,6 +105,7 @@ def prepare(
         F.count_if(ingest.has_url()).alias("imported"),
         F.count_if(F.col(PARSE_ERROR)).alias("parse_errors"),
         F.count_if(~ingest.has_url()).alias("dropped_no_url"),
+        F.count_if(ingest.has_url() | ~F.col(PARSE_ERROR)).alias("rows"),
         F.count_if(F.col("owner").isNull()).alias("own_rows"),
     )
     report = (
@@ -118,7 +119,12 @@ def prepare(
             *[F.coalesce(c, F.lit(0)).alias(c) for c in ("imported", "parse_errors", "dropped_no_url", "own_rows")],
             F.coalesce("verdict", F.lit("ok")).alias("verdict"),
             "suggested",
-            F.coalesce("failure", F.when(F.col("verdict") == "unsupported", "unsupported source")).alias("failure"),
+            F.coalesce(
+                "failure",
+                F.when(F.col("verdict") == "unsupported", "unsupported source"),
+                # Nothing but errors in it.
+                F.when((F.col("rows") == 0) & (F.col("parse_errors") > 0), "malformed"),
+            ).alias("failure"),
         )
     )
     return Import(incoming, _added_sources(spark, files, report, owners, [s.layouts for _, s in scans]), report)

@@ -48,8 +48,3 @@ SOURCES = T.StructType(
         T.StructField("sqlite_layout", SQLITE_LAYOUT),
     ]
 )
-
-# ``seq`` stays below 2**40 (a trillion rows), which leaves 23 bits of one long
-# for a position inside the row. First-seen order is then a single ``min`` over
-# a long, which Spark aggregates in its hash map; a struct would need a sort.
-POSITION_BITS = 23

@@ -12,6 +12,7 @@ SCRAPER_COLUMNS = ("id", "title", "url", "article_preview", "content", "tags")
 
 def known_columns() -> dict[str, Column]:
     """What each known column name is filled with."""
+    # The names of the columns.
     star = values.favorite().cast("int")
     return {
         "id": F.col("id"),

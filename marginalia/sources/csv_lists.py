@@ -1,6 +1,7 @@
 """CSV files with any header and dialect."""
 
 import csv
+import re
 from collections import defaultdict
 
 from pyspark.sql import SparkSession
@@ -18,11 +19,12 @@ LINE_ENDS = ("\r\n", "\n", "\r")
 DEFAULT_LINE_END = "\r\n"
 
 
+# One character that a file may be cut at: a tab, or anything printable but quotes, DEL and the byte order mark.
+CUTTING = re.compile('\t|[^\\x00-\\x1f\\x7f"\ufeff]')
+
+
 def usable_delimiter(value) -> bool:
-    """One printable character or a tab, and nothing a CSV file uses otherwise."""
-    if not isinstance(value, str) or len(value) != 1:
-        return False
-    return value == "\t" or (value >= " " and value not in '\x7f"﻿')
+    return isinstance(value, str) and CUTTING.fullmatch(value) is not None
 
 
 def writer_dialect(delimiter, linebreak) -> tuple[str, str]:
@@ -82,12 +84,14 @@ def scan(spark: SparkSession, files: list[dict]) -> Scan:
     for (delimiter, columns, spans), paths in groups.items():
         names = [f"c{i}" for i in range(len(columns))]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, PARSE_ERROR)])
+        # A value is read along, or else a file none of whose columns is wanted would be read for its errors alone.
+        wrong = F.col(PARSE_ERROR).isNotNull() & (F.length(F.coalesce(names[0], F.lit(""))) >= 0)
         rows = (
             spark.read.schema(schema)
             .options(header=True, sep=delimiter, quote='"', escape='"', multiLine=spans, mode="PERMISSIVE")
             .option("columnNameOfCorruptRecord", PARSE_ERROR)
             .csv(paths)
-            .select(*names, F.col(PARSE_ERROR).isNotNull().alias(PARSE_ERROR), *bookkeeping())
+            .select(*names, wrong.alias(PARSE_ERROR), *bookkeeping())
         )
         # An empty cell is an empty text, not a missing value.
         fields = {c.lower(): (F.coalesce(n, F.lit("")), T.StringType()) for c, n in zip(columns, names)}

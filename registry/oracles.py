@@ -189,7 +189,7 @@ def read_oracles() -> dict[str, str]:
         "source_count": f"WITH {SOURCES} SELECT count(*) AS sources FROM sources",
         "tag_counts": f"""WITH {LIBRARY}, tags AS (
                             SELECT seq, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM library)
-                          SELECT trim(tag) AS tag, count(*) AS cnt, min(seq * 8388608 + pos) AS first_seen
+                          SELECT trim(tag) AS tag, count(*) AS cnt, min(seq * 8388608 + pos) // 8388608 AS first_seq, min(seq * 8388608 + pos) % 8388608 AS first_pos
                           FROM tags WHERE trim(tag) <> '' GROUP BY trim(tag)""",
         "folder_name": f"WITH {SOURCES} SELECT coalesce(max(name), 'unknown') AS name FROM sources WHERE id = 'src3'",
         "view_active": select("id, title, url"),

@@ -106,7 +106,10 @@ def read_queries() -> dict:
         "trash_split": lambda s, d: counts.trash_split(t.library(s, d)),
         "folder_counts": lambda s, d: counts.folder_counts(t.library(s, d), t.sources(s, d)),
         "source_count": lambda s, d: counts.source_count(t.sources(s, d)),
-        "tag_counts": lambda s, d: counts.tag_counts(t.library(s, d)),
+        "tag_counts": lambda s, d: counts.tag_counts(t.library(s, d)).select(
+            "tag", "cnt", F.expr(f"first_seen div {values.POSITIONS}").alias("first_seq"),
+            F.expr(f"cast(first_seen % {values.POSITIONS} as bigint)").alias("first_pos"),
+        ),
         "folder_name": lambda s, d: counts.folder_name(t.sources(s, d), "src3"),
         "view_active": _view(("id", "title", "url"), sort=None),
         "view_folder": _view(("id", "title", "url"), folder="src3"),

@@ -10,15 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """A table in fewer splits than there are cores, spread over the cores; others as they are."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an article: the first line is its title, the rest its preview."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     title = F.substring_index("text", "\n", 1)
     return documents.select(
         F.col("doc_id").cast("string").alias("id"),

@@ -3,7 +3,6 @@ from collections import Counter
 
 import pytest
 
-from marginalia.functions import dictionary
 from marginalia.operators import graph, similarity, terms
 
 
@@ -36,15 +35,6 @@ def test_grouped_cloud(library):
     assert "models models" not in found and "learning and" not in found
 
 
-def test_dictionary(library, spark):
-    table = spark.createDataFrame([("如何",), ("學好",), ("英文",), ("寫作",), ("英文寫",)], "word string")
-    cut = dictionary.words_by(table)
-    rows = library({"title": "如何學好英文寫作 with AI", "article_preview": "的英文"}, {"title": "plain words", "article_preview": ""})
-    found = {r["seq"]: r["words"] for r in terms.document_words(rows, cut).collect()}
-    assert found == {0: ["如何", "學好", "英文寫", "作", "with", "ai", "的", "英文"], 1: ["plain", "words"]}
-    assert dict(cloud(rows, words=cut)) == {"如何": 1, "學好": 1, "英文寫": 1, "英文": 1, "ai": 1, "plain": 1, "word": 1}
-
-
 def test_statistics(library):
     rows = library({"title": "rare common common"}, {"title": "common"}, {"title": ""})
     found = {r["term"]: (r["df"], r["idf"]) for r in terms.idf_table(rows).collect()}
