@@ -22,12 +22,15 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def rows_with(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, hash of the text) is among ``keys``; ``once``: one of wholly repeated rows."""
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    wanted = keys.select(F.col("doc_id").alias("_wanted_id"), F.col("key").alias("_wanted_key"))
-    same = F.col("_id").eqNullSafe(F.col("_wanted_id")) & (F.col("_key") == F.col("_wanted_key"))
-    found = marked.join(wanted, same, "left_semi")
-    return (found.dropDuplicates(["_id", "_key"]) if once else found).select(*docs.columns)
+    """The rows of ``docs`` whose (doc_id, hash of the text) is among ``keys``; ``once``: one of wholly repeated rows.
+
+    Plain equality on columns without nulls, so that the rows' one exchange serves both steps.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    identity = {"_id": F.coalesce(doc_id, F.lit(0)), "_no_id": doc_id.isNull()}
+    marked = docs.withColumns(identity | {"_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    found = marked.join(keys.withColumns(identity).withColumnRenamed("key", "_key"), ["_id", "_no_id", "_key"], "left_semi")
+    return (found.dropDuplicates(["_id", "_no_id", "_key"]) if once else found).select(*docs.columns)
 
 
 def shuffle_partitions(frame: DataFrame) -> int:
