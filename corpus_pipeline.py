@@ -12,6 +12,9 @@ from marginalia.scratch import written_once
 
 TOKENIZER = "word_bpe_49k.json"
 
+#: Words a Python worker remembers: fewer than packing alone would, as the workers served all stages before.
+CACHED_WORDS = 300_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach."""
@@ -35,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
-    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
+    return packing.packed(docs, public_tokenizers.path(TOKENIZER), cached_words=CACHED_WORDS)
 
 
 STAGES = [

@@ -116,15 +116,16 @@ def _rows(docs: list[tuple[int | None, np.ndarray]], first_sequence: int, first_
     return pa.RecordBatch.from_arrays(arrays, names=list(names)), first_sequence + len(sequences), step + 1
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, cached_words: int | None = None) -> DataFrame:
     """Every document (doc_id, text), with ``end_id`` behind it, in pieces of sequences; see ``PIECES``.
 
     A sequence has its pieces at gapless offsets from 0 and is as long as a tier's context size, except for at most one in
     each block of BLOCK_TOKENS. Null and empty texts are the end id alone. Repeated rows are packed once each. An
-    empty table has no pieces; other columns are ignored. Sequence and step numbers begin anew, far apart, in each task.
+    empty table has no pieces; other columns are ignored. Sequence and step numbers begin anew, far apart, in each task. ``cached_words`` bounds what a Python
+    worker remembers, and changes nothing else.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, cached_words)
         block, held = [], 0
         sequence = step = TaskContext.get().partitionId() << 36
         for batch in batches:

@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from marginalia.llm.common import ranges
 
-#: Words, and ids of words, that a Python worker keeps beside those of the unit in hand.
-CACHED_WORDS, CACHED_IDS = 1_000_000, 8_000_000
+#: Words that a Python worker keeps beside those of the unit in hand, and ids for each of them.
+CACHED_WORDS, CACHED_IDS = 1_000_000, 8
 
 #: Words of letters that the tokenizer gets as one text.
 JOINED = 200
@@ -29,7 +29,8 @@ SPECIAL = "<|endoftext|>"
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers; no special tokens are added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
+        self.most = words or CACHED_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
@@ -95,7 +96,7 @@ class Encoder:
         find = lambda some: np.fromiter(map(self.words.get, some, repeat(-1)), np.int64, len(some))
         at = find(words)
         missing = np.flatnonzero(at < 0)
-        if len(self.words) + len(missing) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+        if len(self.words) + len(missing) > self.most or len(self.ids) > CACHED_IDS * self.most:
             self._forget()
             missing = np.arange(len(words))
         new = [words[i] for i in missing.tolist()]
@@ -121,6 +122,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int | None = None) -> Encoder:
     """This Python worker's encoder: its words serve all the tasks that run here, one after the other."""
-    return Encoder(path)
+    return Encoder(path, words)
