@@ -5,8 +5,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# What counts as missing in a loosely typed record, as JSON.
+NOTHING = ("null", "false", '""', "0", "0.0", "-0", "-0.0")
+
+
 def truthy_or_null(column: Column, data_type: T.DataType) -> Column:
-    """The value, or null where a loosely typed input counts as missing: ``''``, ``0``, ``false``."""
+    """The value, or null where a loosely typed input counts as missing: ``''``, ``0``, ``false``.
+
+    A variant is judged by the type its own row gives it.
+    """
+    if isinstance(data_type, T.VariantType):
+        return F.when(~F.to_json(column).isin(*NOTHING), column)
     if isinstance(data_type, T.StringType):
         return F.nullif(column, F.lit(""))
     if isinstance(data_type, T.BooleanType):
@@ -16,8 +25,21 @@ def truthy_or_null(column: Column, data_type: T.DataType) -> Column:
     return column
 
 
+def loose_text(column: Column, data_type: T.DataType) -> Column:
+    """Text of a value, null where it counts as missing."""
+    if isinstance(data_type, T.VariantType):
+        # The same as below, but the test is written once instead of in every branch of ``as_text``.
+        return F.when(truthy_or_null(column, data_type).isNotNull(), as_text(column, data_type))
+    return as_text(truthy_or_null(column, data_type), data_type)
+
+
 def as_text(column: Column, data_type: T.DataType) -> Column:
     """Text of a scalar; whole numbers are written without a fraction."""
+    if isinstance(data_type, T.VariantType):
+        decimal = F.try_variant_get(column, "$", "decimal(38,10)").cast("string")
+        return F.when(
+            F.schema_of_variant(column) == "DOUBLE", F.regexp_replace(decimal, r"\.?0+$", "")
+        ).otherwise(F.try_variant_get(column, "$", "string"))
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         whole = (F.abs(column) < 1e15) & (column == F.floor(column))
         return F.when(whole, column.cast("bigint").cast("string")).otherwise(column.cast("string"))

@@ -59,7 +59,7 @@ def lower_keys(entries: Column) -> Column:
 
 def first_of(fields: dict, names, default: Column | None = None) -> Column:
     """The first field of ``names`` that holds something, as text."""
-    found = [values.as_text(values.truthy_or_null(*fields[n]), fields[n][1]) for n in names if n in fields]
+    found = [values.loose_text(*fields[n]) for n in names if n in fields]
     if default is not None:
         found.append(default)
     return F.coalesce(*found) if found else F.lit(None).cast("string")
@@ -73,8 +73,12 @@ def tags(fields: dict) -> Column:
     column, kind = fields["tags"]
     if isinstance(kind, T.ArrayType):
         return F.coalesce(column.cast("array<string>"), none)
-    written = values.as_text(values.truthy_or_null(column, kind), kind)
-    return F.coalesce(F.split(written, ","), none)
+    if isinstance(kind, T.VariantType):
+        listed = F.schema_of_variant(column).startswith("ARRAY")
+        text = F.split(values.loose_text(column, kind), ",")
+        given = F.when(listed, F.try_variant_get(column, "$", "array<string>")).otherwise(text)
+        return F.coalesce(given, none)
+    return F.coalesce(F.split(values.loose_text(column, kind), ","), none)
 
 
 def favorite_flag(column: Column, kind: T.DataType) -> Column:
@@ -82,6 +86,11 @@ def favorite_flag(column: Column, kind: T.DataType) -> Column:
         return column
     if isinstance(kind, T.NumericType):
         return column != 0
+    if isinstance(kind, T.VariantType):
+        # Numbers and flags are what they are; as JSON, only text is in quotes.
+        written = F.to_json(column)
+        text = favorite_flag(F.try_variant_get(column, "$", "string"), T.StringType())
+        return F.when(F.startswith(written, F.lit('"')), text).when(written != "null", ~written.isin(*values.NOTHING))
     return F.lower(F.trim(column)).isin(*YES)
 
 

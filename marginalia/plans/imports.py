@@ -104,12 +104,16 @@ def prepare(
     counted = rows.groupBy(F.col(FILE).alias("file")).agg(
         F.count_if(ingest.has_url()).alias("imported"),
         F.count_if(F.col(PARSE_ERROR)).alias("parse_errors"),
-        F.count_if(~ingest.has_url()).alias("dropped_no_url"),
+        F.count_if(~ingest.has_url()).alias("dropped"),
+        F.count_if(~ingest.has_url() & F.col(PARSE_ERROR)).alias("broken"),
         F.count_if(ingest.has_url() | ~F.col(PARSE_ERROR)).alias("rows"),
         F.count_if(F.col("owner").isNull()).alias("own_rows"),
     )
+    # A broken JSON document holds no record that could lack an address; a ragged line does.
+    no_url = F.when(F.col("type") == "json", F.col("dropped") - F.col("broken")).otherwise(F.col("dropped"))
     report = (
         files.join(counted, "file", "left")
+        .withColumn("dropped_no_url", no_url)
         .join(verdicts.select("file", "verdict", "suggested"), "file", "left")
         .join(failures, "file", "left")
         .select(

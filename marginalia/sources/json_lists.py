@@ -29,16 +29,39 @@ def _with_keys(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("file").agg(F.min_by("headers", F.struct(BLOCK, ROW)).alias("headers"))
 
 
+def record_schema(names) -> T.StructType:
+    """Fields whose values keep the type each record gives them."""
+    return T.StructType([T.StructField(n, T.VariantType()) for n in names])
+
+
+def _document_schema(found: T.StructType) -> T.StructType:
+    """The names Spark found; only lists of records and of sources have a type of their own."""
+    schema = T.StructType()
+    for f in found.fields:
+        if f.name == LIST and _records(f.dataType):
+            schema.add(LIST, T.ArrayType(record_schema(f.dataType.elementType.names)))
+        elif f.name == SOURCES and _records(f.dataType):
+            entries = [T.StructField(n, T.StringType()) for n in f.dataType.elementType.names]
+            schema.add(SOURCES, T.ArrayType(T.StructType(entries)))
+        elif f.name != PARSE_ERROR:
+            schema.add(f.name, T.VariantType())
+    # A reader needs a field besides the malformed text, and every row is asked for its address.
+    if not {LIST, "url"} & set(schema.names):
+        schema.add("url", T.VariantType())
+    return schema.add(PARSE_ERROR, T.StringType())
+
+
 def scan(spark: SparkSession, files: list[dict]) -> Scan:
-    """Records with the types Spark finds in the files; numbers and flags stay what they are.
+    """Records whose values keep their own types: one file's list of tags is another file's text.
 
     A JSON document is read by one task, because it has no places to split it at.
     """
     paths = [f["file"] for f in files]
-    read = spark.read.options(multiLine=True, columnNameOfCorruptRecord=PARSE_ERROR).json(paths)
-    broken = F.col(PARSE_ERROR).isNotNull() if PARSE_ERROR in read.columns else F.lit(False)
+    options = {"multiLine": True, "columnNameOfCorruptRecord": PARSE_ERROR}
+    schema = _document_schema(spark.read.options(**options).json(paths).schema)
+    read = spark.read.options(**options).schema(schema).json(paths)
     own = [f"`{c}`" for c in read.columns if c != PARSE_ERROR]
-    documents = read.select(*own, broken.alias(PARSE_ERROR), *bookkeeping())
+    documents = read.select(*own, F.col(PARSE_ERROR).isNotNull().alias(PARSE_ERROR), *bookkeeping())
     kinds = {f.name: f.dataType for f in documents.schema.fields}
     manifest = _manifest(documents) if SOURCES in kinds and _records(kinds[SOURCES]) else None
     pieces = []

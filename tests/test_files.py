@@ -153,6 +153,34 @@ def test_json_field_clash(spark):
     assert raw.select(ingest.lower_keys(F.col("e"))).first()[0] == {"id": "2", "url": "u"}
 
 
+def test_json_values_by_record(spark, tmp_path):
+    """One import of files that disagree on types, with an empty, a broken and an odd one."""
+    write(tmp_path, "a.json", json.dumps([{"id": 1, "url": "a", "tags": ["x", "y"], "is_favorite": 2, "title": None}, {"id": 2.5, "url": "b", "tags": [], "starred": True, "title": 0}]))
+    write(tmp_path, "b.json", json.dumps({"bookmarks": [{"id": "x", "url": "c", "tags": "x,y", "is_favorite": "yes", "title": {"a": 1}}, {"id": "0", "url": "d", "tags": 5, "is_favorite": "0"}]}))
+    write(tmp_path, "c.json", '{"bookmarks":[{"id"')
+    write(tmp_path, "d.json", "[]")
+    write(tmp_path, "e.json", '{"id": 1e5, "url": "e", "tags": false, "is_favorite": false}')
+    prepared = prepare(spark, tmp_path)
+    assert [(r["id"], r["title"], r["tags"], r["is_favorite"]) for r in incoming(prepared)] == [
+        ("1", "Untitled Article", ["x", "y"], True),
+        ("2.5", "Untitled Article", [], True),
+        ("x", '{"a":1}', ["x", "y"], True),
+        ("0", "Untitled Article", ["5"], False),
+        ("100000", "Untitled Article", [], False),
+    ]
+    found = report(prepared)
+    assert (found["c.json"]["failure"], found["c.json"]["dropped_no_url"], found["c.json"]["parse_errors"]) == ("malformed", 0, 1)
+    assert [found[n]["failure"] for n in ("a.json", "b.json", "d.json", "e.json")] == [None] * 4
+    assert "file_c.json" not in {r["id"] for r in prepared.sources.collect()}
+    drop, root, log = (str(tmp_path / n) for n in ("in", "library", "log"))
+    os.makedirs(drop)
+    for name in "abcde":
+        os.link(tmp_path / f"{name}.json", os.path.join(drop, f"{name}.json"))
+    drop_folder.import_folder(spark, drop, root, log).awaitTermination()
+    streamed = {r["id"]: (r["tags"], r["is_favorite"]) for r in store.load(spark, root)[0].collect()}
+    assert streamed == {r["id"]: (r["tags"], r["is_favorite"]) for r in incoming(prepared)}
+
+
 def test_save_back(spark, tmp_path, library):
     rows = library(
         {"id": "1", "title": 'a "b"', "article_preview": "=x", "tags": ["ok", "=1"], "source_file_id": "s1"},
