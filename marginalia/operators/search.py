@@ -1,10 +1,11 @@
 """Filter, search, rank and order the library."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..schema import KNOWN_LANGUAGES
+from ..scratch import written_once
 
 # Points for a term found in a title, preview, address or tag.
 TITLE_POINTS, PREVIEW_POINTS, URL_POINTS, TAG_POINTS = 10, 5, 3, 8
@@ -159,6 +160,24 @@ def view(
     return rows if limit is None else rows.limit(limit)
 
 
+def ranked(ordered: DataFrame) -> DataFrame:
+    """Sorted rows with ``rank``, from 1.
+
+    Sorted partitions hold consecutive stretches, so their sizes, one small row each, place every row. The rows are
+    written once, because partitions sorted anew may be cut elsewhere.
+    """
+    placed = ordered.withColumn("_place", F.monotonically_increasing_id())
+    rows = written_once(placed).withColumn("_part", F.shiftright("_place", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.min("_place").alias("first"), F.count("*").alias("rows")).select(
+        "_part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")
+    )
+    # One row per task of the sort.
+    return rows.join(F.broadcast(starts), "_part").select(
+        *ordered.columns, (F.col("_place") + F.col("shift")).alias("rank")
+    )
+
+
 def domain_query(host: str) -> str:
     """The search a click on a domain starts."""
     return f"link:{host}"

@@ -206,11 +206,17 @@ def read_oracles() -> dict[str, str]:
         "search_link": search_sql(("example.com", True)),
         "search_favorites": search_sql(("tion",), favorites=True),
         "search_favorites_only": search_sql(favorites=True),
-        "sort_newer": select("id, seq"),
-        "sort_older": select("id, seq"),
+        "sort_newer": select("id, seq, row_number() OVER (ORDER BY CAST(id AS DOUBLE) DESC, seq) AS rank"),
+        "sort_older": select("id, seq, row_number() OVER (ORDER BY CAST(id AS DOUBLE), seq) AS rank"),
+        "sort_relevance": f"""SELECT s.id, s.score, row_number() OVER (ORDER BY s.score DESC, CAST(s.id AS BIGINT)) AS rank
+                              FROM ({search_sql(("tion",), ("the",))}) s""",
         "sort_title": select("id, title"),
         "sort_random": select("id"),
-        "trash_list": select("id, deleted_at", "library", "coalesce(deleted_at, '') <> ''"),
+        "trash_list": select(
+            "id, deleted_at, row_number() OVER (ORDER BY deleted_at DESC, seq) AS rank",
+            "library",
+            "coalesce(deleted_at, '') <> ''",
+        ),
         "point_lookup": select("id, title", "library", "id = '7'"),
         "all_selected": f"""WITH {LIBRARY} SELECT count(*) > 0 AND bool_and(a.source_file_id = 'src3') AS all_selected
                             FROM active a WHERE a.source_file_id = 'src3'""",
@@ -289,6 +295,9 @@ newest AS (
   SELECT id, arg_max(title, in_seq) AS title, arg_max(url, in_seq) AS url, min(in_seq) AS first_in,
          arg_max(is_favorite, in_seq) FILTER (WHERE is_favorite IS NOT NULL) AS star FROM incoming GROUP BY id)"""
 
+MIXED = """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS title, url,
+    'page|' || left(md5(url), 8) AS tags, page_id % 2 = 1 AS is_favorite FROM pages"""
+
 BAD = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0"
 GOOD = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1"
 
@@ -406,6 +415,8 @@ def write_oracles() -> dict[str, str]:
         "stream_import": """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS title, url,
                             'file_stream' AS source_file_id,
                             'https://www.instapaper.com/read/' || page_id AS instapaper_url FROM pages""",
+        "json_mixed_types": MIXED,
+        "stream_mixed": MIXED,
     }
 
 

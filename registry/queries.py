@@ -31,6 +31,10 @@ def _view(columns, **arguments):
     return lambda spark, d: search.view(tables.library(spark, d), **arguments).select(*columns)
 
 
+def _ranked_view(columns, **arguments):
+    return lambda spark, d: search.ranked(search.view(tables.library(spark, d), **arguments).select(*columns))
+
+
 def _similar(frame: DataFrame, *extra: str) -> DataFrame:
     return rounded(frame, "score", *[c for c in extra if c == "share"]).select("id", "seq", "score", *extra)
 
@@ -123,11 +127,12 @@ def read_queries() -> dict:
         "search_link": _view(("id", "score"), query=search.domain_query("example.com")),
         "search_favorites": _view(("id", "score"), query="is:fav tion"),
         "search_favorites_only": _view(("id", "score"), query="is:♥"),
-        "sort_newer": _view(("id", "seq"), sort="newer"),
-        "sort_older": _view(("id", "seq"), sort="older"),
+        "sort_newer": _ranked_view(("id", "seq"), sort="newer"),
+        "sort_older": _ranked_view(("id", "seq"), sort="older"),
+        "sort_relevance": _ranked_view(("id", "score"), query="tion the"),
         "sort_title": _view(("id", "title"), sort="title_asc"),
         "sort_random": _view(("id",), sort="random", seed=7),
-        "trash_list": lambda s, d: search.trash(t.library(s, d)).select("id", "deleted_at"),
+        "trash_list": lambda s, d: search.ranked(search.trash(t.library(s, d)).select("id", "deleted_at")),
         "point_lookup": lambda s, d: t.library(s, d).where(F.col("id") == TARGET).select("id", "title"),
         "all_selected": _all_selected,
         "select_all": _view(("id",), language="en", sort=None),
@@ -374,14 +379,49 @@ def _header_verdicts(spark, d):
 def _streamed(spark, d):
     root = shared_folder(spark)
     pages = tables.table(spark, d, "pages")
-    rows = pages.select(F.col("page_id").alias("uid"), F.col("url").alias("link"), F.md5("html").alias("title"))
-    groups = rows.groupBy(F.floor(F.col("uid") / 100).alias("file")).agg(F.collect_list(F.struct("*")).alias("rows"))
+    # A number 0 would count as no id.
+    uid = F.col("page_id").cast("string").alias("uid")
+    rows = pages.select(uid, F.col("url").alias("link"), F.md5("html").alias("title"))
+    groups = rows.groupBy(F.floor(F.col("uid").cast("bigint") / 100).alias("file")).agg(F.collect_list(F.struct("*")).alias("rows"))
     groups.select(F.to_json("rows")).write.option("maxRecordsPerFile", 1).text(root + "/in")
     drop_folder.import_folder(spark, root + "/in", root + "/library", root + "/log").awaitTermination()
     rows, _ = store.load(spark, root + "/library")
     return rows.select("id", "title", "url", "source_file_id", "instapaper_url")
 
 
+def _mixed_files(spark, d):
+    """The pages as JSON documents that disagree: tags as list or text, stars as number, text or flag."""
+    pages = tables.table(spark, d, "pages").withColumn("file", F.floor(F.col("page_id") / 100))
+    tag, odd = F.substr(F.md5("url"), F.lit(1), F.lit(8)), F.col("page_id") % 2
+    listed, text = F.array(F.lit("page"), tag).alias("tags"), F.concat(F.lit("page,"), tag).alias("tags")
+    kinds = [
+        (listed, odd.alias("is_favorite")),
+        (text, F.when(odd == 1, "Yes").otherwise("0").alias("starred")),
+        (listed, (odd == 1).alias("favorite")),
+    ]
+    folder = shared_folder(spark)
+    for n, kind in enumerate(kinds):
+        record = F.struct(F.col("page_id").cast("string").alias("id"), "url", F.md5("html").alias("title"), *kind)
+        files = pages.where(F.col("file") % len(kinds) == n).groupBy("file")
+        made = files.agg(F.sort_array(F.collect_list(record)).alias("bookmarks")).select("bookmarks")
+        made.write.option("maxRecordsPerFile", 1).json(f"{folder}/{n}")
+    return folder
+
+
+def _record_values(rows):
+    return rows.select("id", "title", "url", F.array_join("tags", "|").alias("tags"), "is_favorite")
+
+
+def _mixed_import(spark, d):
+    return _record_values(_prepared(spark, _mixed_files(spark, d) + "/*/*.json").incoming)
+
+
+def _mixed_stream(spark, d):
+    root = shared_folder(spark)
+    drop_folder.import_folder(spark, _mixed_files(spark, d) + "/*", root + "/library", root + "/log").awaitTermination()
+    return _record_values(store.load(spark, root + "/library")[0])
+
+
 def write_queries() -> dict:
     """Ingest rules, changes to the library, exports and round trips through files."""
     t = tables
@@ -465,6 +505,8 @@ def write_queries() -> dict:
         "import_report": _import_report,
         "header_verdicts": _header_verdicts,
         "stream_import": _streamed,
+        "json_mixed_types": _mixed_import,
+        "stream_mixed": _mixed_stream,
     }
 
 
