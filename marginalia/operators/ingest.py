@@ -208,6 +208,37 @@ def same_name(files: DataFrame, sources: DataFrame) -> DataFrame:
     return files.join(sources.select(F.col("id").alias("source_id"), "name"), "name").select("file", "name", "source_id")
 
 
+def unique_names(files: DataFrame, sources: DataFrame, stamp: int) -> DataFrame:
+    """Files with ``name`` changed where a source has it already: stamped, then counted up until it is free.
+
+    Several files of one name take the free names in turn.
+    """
+    taken = sources.select("name").where(F.col("name").isNotNull()).distinct()
+    stem, extension = F.regexp_extract("name", r"^(.+)\.[^.]+$", 1), F.regexp_extract("name", r"^.+(\.[^.]+)$", 1)
+    whole = stem == ""
+    start = F.concat(F.when(whole, F.col("name")).otherwise(stem), F.lit(f"_{stamp}"))
+    turn = F.row_number().over(W.partitionBy("name").orderBy("pos"))
+    clashing = (
+        files.join(taken, "name", "left_semi")
+        .select("file", "name", start.alias("start"), F.when(whole, "").otherwise(extension).alias("end"), turn.alias("turn"))
+    )
+    # A name can be taken by as many sources as begin like it; one more than these and the files in turn is enough.
+    used = clashing.select("name", "start").distinct().join(
+        taken.withColumnRenamed("name", "other"), F.startswith("other", "start")
+    ).groupBy("name").agg(F.count("*").alias("used"))
+    tried = (
+        clashing.groupBy("name", "start", "end").agg(F.max("turn").alias("turns"))
+        .join(used, "name", "left")
+        .withColumn("n", F.explode(F.sequence(F.lit(0), F.col("turns") + F.coalesce("used", F.lit(0)))))
+        .select("name", "n", F.concat("start", F.when(F.col("n") > 0, F.concat(F.lit("_"), "n")).otherwise(""), "end").alias("free"))
+    )
+    free = tried.join(taken.withColumnRenamed("name", "free"), "free", "left_anti").select(
+        "name", "free", F.row_number().over(W.partitionBy("name").orderBy("n")).alias("turn")
+    )
+    renamed = clashing.join(free, ["name", "turn"]).select("file", "free")
+    return files.join(renamed, "file", "left").withColumn("name", F.coalesce("free", "name")).drop("free")
+
+
 def header_verdicts(files: DataFrame) -> DataFrame:
     """Files (profile, headers, unified) with ``verdict`` and ``suggested`` profile.
 

@@ -1,5 +1,6 @@
 """Importing files: scan, check, normalise, place, and merge into the library."""
 
+import time
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 
 from ..operators import envelope, ingest, merge
 from ..operators.ingest import BLOCK, FILE, PARSE_ERROR, ROW
-from ..schema import SOURCES
+from ..schema import LIBRARY, SOURCES
 from ..scratch import written_once
 from ..sources import csv_lists, json_lists, sqlite_lists
 from ..sources import files as file_lists
 
 READERS = {"csv": csv_lists.scan, "json": json_lists.scan, "sqlite": sqlite_lists.scan, "db": sqlite_lists.scan}
 
+# What becomes of a file called like a source already there.
+REFUSE, OVERWRITE, KEEP_BOTH = "refuse", "overwrite", "keep"
+
 MANIFEST = "file string, entry int, id string, name string, type string, profile string"
 
 
@@ -30,6 +34,8 @@ class Import:
     sources: DataFrame
     # (file, name, imported, parse_errors, dropped_no_url, verdict, suggested, failure) per file.
     report: DataFrame
+    # Ids of the sources given up for new files of their names.
+    replaced: DataFrame
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -42,13 +48,19 @@ def prepare(
     profile: str = ingest.DEFAULT_PROFILE,
     sources: DataFrame | None = None,
     source_id: Callable[[str], str] | None = None,
+    on_collision: str = KEEP_BOTH,
 ) -> Import:
     """Read files of any supported format as one import.
 
     Files of an unknown type, empty ones and official exports fail for themselves; the others go
     on. The normalised rows are staged once in the shared folder; positions, counts, owners and
     the later merge read that table instead of parsing the files again. The library is not touched.
+
+    A file called like one of ``sources`` is kept beside it under a name of its own (``keep``), fails
+    (``refuse``), or takes its place with all its rows (``overwrite``) if it holds a record at all.
     """
+    if on_collision not in (REFUSE, OVERWRITE, KEEP_BOTH):
+        raise ValueError(f"unknown on_collision: {on_collision}")
     sources = spark.createDataFrame([], SOURCES) if sources is None else sources
     listing = file_lists.listed(spark, paths, profile, source_id)
     failed = {f["file"]: "unsupported type" for f in listing if not f["type"]}
@@ -62,10 +74,19 @@ def prepare(
     names = ("file", "pos", "name", "type", "profile", "id")
     files = spark.createDataFrame([tuple(f[n] for n in names) for f in listing], file_lists.FILES)
     failures = spark.createDataFrame(list(failed.items()), "file string, failure string")
+    clashes = written_once(ingest.same_name(files, sources))
+    if on_collision == KEEP_BOTH:
+        files = written_once(ingest.unique_names(files, sources, time.time_ns() // 1_000_000))
+    clashing = clashes.select("file").distinct()
+    if on_collision == REFUSE:
+        named = clashing.join(failures, "file", "left_anti").withColumn("failure", F.lit("name already present"))
+        failures = failures.unionByName(named)
 
     headers = [s.headers for _, s in scans]
     verdicts = _checked(spark, files, headers, [s.manifest for _, s in scans])
     refused = verdicts.where(F.col("verdict") == "unsupported").select(F.col("file").alias(FILE))
+    if on_collision == REFUSE:
+        refused = refused.unionByName(clashing.select(F.col("file").alias(FILE))).distinct()
 
     manifests = [s.manifest for _, s in scans if s.manifest is not None]
     manifest = _union(manifests) if manifests else spark.createDataFrame([], MANIFEST)
@@ -116,6 +137,7 @@ def prepare(
         .withColumn("dropped_no_url", no_url)
         .join(verdicts.select("file", "verdict", "suggested"), "file", "left")
         .join(failures, "file", "left")
+        .join(clashing.withColumn("clashes", F.lit(on_collision == OVERWRITE)), "file", "left")
         .select(
             "file",
             "pos",
@@ -128,10 +150,14 @@ def prepare(
                 F.when(F.col("verdict") == "unsupported", "unsupported source"),
                 # Nothing but errors in it.
                 F.when((F.col("rows") == 0) & (F.col("parse_errors") > 0), "malformed"),
+                F.when(F.col("clashes") & (F.coalesce("imported", F.lit(0)) == 0), "no record to replace the source with"),
             ).alias("failure"),
         )
     )
-    return Import(incoming, _added_sources(spark, files, report, owners, [s.layouts for _, s in scans]), report)
+    good = report.where(F.col("failure").isNull()).select("file") if on_collision == OVERWRITE else clashing.limit(0)
+    replaced = clashes.join(good, "file", "left_semi").select(F.col("source_id").alias("id")).distinct()
+    added = _added_sources(spark, files, report, owners, [s.layouts for _, s in scans])
+    return Import(incoming, added, report, replaced)
 
 
 def _checked(spark, files: DataFrame, headers: list[DataFrame], manifests) -> DataFrame:
@@ -175,6 +201,9 @@ def _added_sources(spark, files, report, owners, layouts) -> DataFrame:
 
 def apply(library: DataFrame, sources: DataFrame, prepared: Import) -> tuple[DataFrame, DataFrame]:
     """Library and sources after an import; write both once, and the import is all or nothing."""
+    library = library.join(prepared.replaced.select(F.col("id").alias("source_file_id")), "source_file_id", "left_anti")
+    library = library.select(*LIBRARY.names)
+    sources = sources.join(prepared.replaced, "id", "left_anti").select(*sources.columns)
     fresh = prepared.sources.join(sources.select("id"), "id", "left_anti")
     following = F.coalesce(sources.agg(F.max("pos")).scalar(), F.lit(-1)) + 1
     added = fresh.withColumn("pos", F.col("pos") + following)

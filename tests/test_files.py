@@ -104,6 +104,42 @@ def test_known_source_keeps_its_name(spark, tmp_path):
     assert incoming(prepare(spark, tmp_path))[0]["source_file_id"] == "file_x.csv"
 
 
+def test_name_collisions(spark, tmp_path, library):
+    write(tmp_path, "a.csv", "id,title,url\n1,new,https://a.com\n")
+    write(tmp_path, "b.csv", "id,title,url\n5,none,\n")
+    write(tmp_path, "c.csv", "id,title,url\n6,other,https://c.com\n")
+    before = library(*[{"id": i, "title": "old", "source_file_id": s} for i, s in (("1", "sa"), ("2", "sa"), ("3", "sb"))])
+    known = [("sa", 0, "a.csv"), ("sb", 1, "b.csv"), ("sx", 2, None)]
+    sources = spark.createDataFrame([(*k, "csv", "scraper", None, None, None) for k in known], SOURCES)
+
+    def run(choice):
+        prepared = prepare(spark, tmp_path, sources=sources, on_collision=choice)
+        rows, listed = imports.apply(before, sources, prepared)
+        failed = {n: r["failure"] for n, r in report(prepared).items() if r["failure"]}
+        return {(r["id"], r["title"], r["source_file_id"]) for r in rows.collect()}, {r["id"]: r["name"] for r in listed.collect()}, failed
+
+    kept = {("3", "old", "sb"), ("6", "other", "file_c.csv")}
+    rows, listed, failed = run("refuse")
+    assert rows == kept | {("1", "old", "sa"), ("2", "old", "sa")} and set(listed) == {"sa", "sb", "sx", "file_c.csv"}
+    assert set(failed) == {"a.csv", "b.csv"}
+    # The old source goes with all its rows, but not for a file without a record.
+    rows, listed, failed = run("overwrite")
+    assert rows == kept | {("1", "new", "file_a.csv")} and set(listed) == {"file_a.csv", "sb", "sx", "file_c.csv"}
+    assert set(failed) == {"b.csv"}
+    rows, listed, failed = run("keep")
+    assert rows == kept | {("1", "new", "file_a.csv"), ("2", "old", "sa")} and not failed
+    assert listed["sa"] == "a.csv" and listed["file_a.csv"].startswith("a_") and listed["file_a.csv"].endswith(".csv")
+    with pytest.raises(ValueError):
+        run("ask")
+
+
+def test_unique_names(spark):
+    files = spark.createDataFrame([("f1", 0, "a.csv"), ("f2", 1, "a.csv"), ("f3", 2, ".hidden"), ("f4", 3, "new.csv")], "file string, pos long, name string")
+    sources = spark.createDataFrame([("a.csv",), ("a_5_1.csv",), (".hidden",), (None,)], "name string")
+    named = {r["file"]: r["name"] for r in ingest.unique_names(files, sources, 5).collect()}
+    assert named == {"f1": "a_5.csv", "f2": "a_5_2.csv", "f3": ".hidden_5", "f4": "new.csv"}
+
+
 def test_apply_and_totals(spark, mixed, library):
     before = library({"id": "1", "title": "old", "deleted_at": "2024", "is_favorite": True})
     totals = imports.totals(before, mixed).first()
