@@ -1,15 +1,17 @@
 """Personal data, and terms that give away whom it belongs to.
 
 Base kinds are found by pattern: e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected
-entity. A term near a mention may identify the entity even when the value is gone. How much a term says of an entity is their
-pointwise mutual information over the corpus, log2(p(t, e) / (p(t) p(e))); all that can be said of the entity is its
-information content -log2 p(e). Terms that tell at least DISCLOSED of it are disclosing (information-theoretic sanitisation):
-they become spans of kind ``term`` wherever they stand near a mention of that entity.
-
-Probabilities are shares of documents, counted over all documents. A pair counts only in differing surroundings, at least
-SUPPORT of them: copies of one document are one surrounding, and a single mention is no evidence that a term belongs to it.
+entity. A term in a document that mentions it may identify the entity even when the value is gone. How much a term says of an
+entity is their pointwise mutual information over the corpus, log2(p(t, e) / (p(t) p(e))); all that can be said of the entity is
+its information content -log2 p(e). Terms that tell at least DISCLOSED of it are disclosing (information-theoretic
+sanitisation): they become spans of kind ``term`` wherever they stand in a document that mentions that entity, outside of mentions.
+
+Probabilities are shares of documents, counted over all documents; a document that mentions an entity or holds a term many
+times counts once. A pair counts only in differing surroundings, at least SUPPORT of them. A surrounding is a document's words
+without its mentions: copies of one document are one, and a single document is no evidence that a term belongs to an entity.
 """
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, spans_of_words, text_key, units
+from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, text_key, units
 from marginalia.scratch import written_once
 
-#: Share of an entity's information from which on a term discloses it; differing surroundings needed; words looked at either side.
-DISCLOSED, SUPPORT, NEAR = 0.9, 2, 5
+#: Share of an entity's information from which on a term discloses it; differing surroundings needed.
+DISCLOSED, SUPPORT = 0.9, 2
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -87,8 +89,23 @@ def _hash(words: list[str]) -> np.ndarray:
     return hashes(BYTE_VALUES[joined], ends - [len(w) for w in data], ends).view(np.int64)
 
 
-_FOUND = """doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>,
-    near array<struct<entity: long, term: long, around: long, start: int, stop: int>>"""
+def _outside(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], np.ndarray]:
+    """The words of a text that overlap no span, in lower case, and their starts and ends."""
+    words = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    inner = np.array(sorted((a, b) for _, a, b in spans), np.int64).reshape(-1, 2)
+    reach = np.concatenate(([0], np.maximum.accumulate(inner[:, 1])))
+    words = words[reach[np.searchsorted(inner[:, 0], words[:, 1])] <= words[:, 0]]
+    return [text[x:y].lower() for x, y in words.tolist()], words
+
+
+def _terms(text: str) -> set[str]:
+    """The distinct words of a text in lower case, those of its mentions too."""
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+#: ``around`` stands for a document's words without its mentions; only rows with spans have a text.
+_FOUND = """doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, around long,
+    text string"""
 
 
 #: Rows whose spans are sought at a time.
@@ -97,29 +114,23 @@ ROWS = 1000
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(first, ROWS) for b in batches for first in range(0, len(b), ROWS)):
-        columns: dict[str, list] = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near")}
+        columns: dict[str, list] = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base", "entities", "around", "text")}
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
             for kind in KINDS:
                 columns[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
             columns["base"].append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
-            near, entities = [], []
+            entities, around = [], None
             if spans:
-                entities = _hash([f"{kind} {text[a:b].lower()}" for kind, a, b in spans]).tolist()
-                inner = [(a, b) for _, a, b in spans]
-                for (_, a, b), entity in zip(spans, entities, strict=True):
-                    before = [m.span() for m in _WORD.finditer(text, max(0, a - 40 * NEAR), a)][-NEAR:]
-                    after = [m.span() for m in _WORD.finditer(text, b, b + 40 * NEAR)][:NEAR]
-                    words = [w for w in before + after if not any(x < w[1] and w[0] < y for x, y in inner)]
-                    if words:
-                        terms = [text[x:y].lower() for x, y in words]
-                        around = int(_hash([" ".join(terms)])[0])
-                        near += [(entity, t, around, x, y) for t, (x, y) in zip(_hash(terms).tolist(), words, strict=True)]
+                entities = np.unique(_hash([f"{kind} {text[a:b].lower()}" for kind, a, b in spans])).tolist()
+                digest = hashlib.blake2b(" ".join(_outside(text, spans)[0]).encode(), digest_size=8).digest()
+                around = int.from_bytes(digest, "big", signed=True)
             columns["entities"].append(entities)
-            columns["near"].append([dict(zip(("entity", "term", "around", "start", "stop"), x, strict=True)) for x in near])
-        kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("around", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+            columns["around"].append(around)
+            columns["text"].append(text if spans else None)
         arrays = [pa.array(columns[f"n_{k}"], pa.int64()) for k in KINDS]
-        arrays += [pa.array(columns["base"], pa.string()), pa.array(columns["entities"], pa.list_(pa.int64())), pa.array(columns["near"], kind)]
+        arrays += [pa.array(columns["base"], pa.string()), pa.array(columns["entities"], pa.list_(pa.int64()))]
+        arrays += [pa.array(columns["around"], pa.int64()), pa.array(columns["text"], pa.string())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *arrays], names=["doc_id", "key", *columns])
 
 
@@ -129,7 +140,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column("text"))
         found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first, last in units(np.diff(offsets), 1 << 19):
-            words = [set(_WORD.findall(t.lower())) for t in batch.column("text").slice(first, last - first).to_pylist()]
+            words = [_terms(t) for t in batch.column("text").slice(first, last - first).to_pylist()]
             flat = [w for x in words for w in x]
             if flat:
                 terms, n = np.unique(_hash(flat), return_counts=True)
@@ -139,22 +150,71 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"term": terms, "n": np.bincount(at, np.concatenate(counts), len(terms)).astype(np.int64)})
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row (row, text) with each of its distinct terms."""
+    for batch in batches:
+        _, offsets = buffers(batch.column("text"))
+        for first, last in units(np.diff(offsets), 1 << 19):
+            words = [_terms(t) for t in batch.column("text").slice(first, last - first).to_pylist()]
+            flat = [w for x in words for w in x]
+            if flat:
+                rows = np.repeat(batch.column("row").slice(first, last - first).to_numpy(), list(map(len, words)))
+                yield pa.RecordBatch.from_pydict({"row": rows, "term": _hash(flat)})
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the terms in ``hits`` stand in the rows (row, text, base, hits), outside of mentions."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in (b.slice(first, ROWS) for b in batches for first in range(0, len(b), ROWS)):
+        added = []
+        for text, base, hits in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "hits")), strict=True):
+            words, at = _outside(text, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(","))])
+            told = at[np.isin(_hash(words), hits)] if words else at
+            added.append([{"start": a, "stop": b} for a, b in told.tolist()] or None)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(added, kind)], names=["row", "added"])
+
+
+#: Keys with more than one part in COMMON of all rows are at most as many, so they are broadcast; all others are no hot groups.
+COMMON = 200_000
+
+
+def _joined(rows: DataFrame, known: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has each key once and in ``n`` about how many rows have it."""
+    total = known.agg(F.sum(n)).first()[0] or 0
+    many = F.col(n) * COMMON > total
+    common = F.broadcast(known.filter(many))
+    rest = rows.join(F.broadcast(known.filter(many).select(*keys)), keys, "left_anti").join(known.filter(~many), keys)
+    return rows.join(common, keys).unionByName(rest)
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (entity, term) that disclose, from the scanned rows and the documents they come from."""
+    """doc_id, key, term of terms in documents that mention an entity they disclose, from the scanned rows and their documents."""
     total = docs.count()
-    mentions = found.select(F.explode(F.array_distinct("entities")).alias("entity"))
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = found.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.entity", "x.term", "x.around")
+    # Repeated rows are one document.
+    holders = found.filter(F.size("entities") > 0)
+    firsts = holders.groupBy("doc_id", "key").agg(F.min("row").alias("row"), F.first("around").alias("around"), F.first("entities").alias("entities"))
+    mentions = firsts.select("doc_id", "key", "row", "around", F.explode("entities").alias("entity"))
+    counted = mentions.groupBy("entity", "around").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("arounds"), F.sum("n").alias("n_entity"))
+    entities = written_once(counted.filter(F.col("arounds") >= SUPPORT).select("entity", "n_entity"))
+    # As n_pair <= n_entity, only terms in at most this many documents can disclose an entity; the last digits are left to the sums below.
+    most = F.lit(float(total)) ** (1 - DISCLOSED) * F.col("n_entity") ** DISCLOSED * (1 + 1e-9)
+    highest = entities.agg(F.max(most)).first()[0]
+    if highest is None:
+        return mentions.select("doc_id", "key", F.col("entity").alias("term")).limit(0)
+    counts = docs.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    terms = written_once(counts.filter(F.col("n_term") >= SUPPORT))
+    listed = _joined(holders.select("row", "text").mapInArrow(_listed, "row long, term long"), terms, ["term"], "n_term")
+    pairs = _joined(mentions, entities, ["entity"], "n_entity").join(listed.filter(F.col("n_term") <= highest), "row")
+    pairs = written_once(pairs.filter(F.col("n_term") <= most).select("doc_id", "key", "around", "entity", "term", "n_entity", "n_term"))
     # One row for each surrounding first: copies are no evidence.
-    pairs = near.select("entity", "term", "around", "doc_id", "key").distinct()
-    pairs = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.count("*").alias("arounds"), F.sum("n").alias("n_pair")
+    both = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    both = both.groupBy("entity", "term").agg(
+        F.count("*").alias("arounds"), F.sum("n").alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
     ).filter(F.col("arounds") >= SUPPORT)
-    terms = docs.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     told = F.log2(F.col("n_pair") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     whole = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    known = pairs.join(entities, "entity").join(terms, "term")
-    return known.filter((whole > 0) & (told >= DISCLOSED * whole)).select("entity", "term")
+    told = written_once(both.filter((whole > 0) & (told >= DISCLOSED * whole)).select("entity", "term", "n_pair"))
+    return _joined(pairs.select("doc_id", "key", "entity", "term"), told, ["entity", "term"], "n_pair").select("doc_id", "key", "term")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -166,10 +226,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     """
     rows = documents(docs).withColumn("key", text_key())
     found = written_once(rows.mapInArrow(_scanned, _FOUND).withColumn("row", F.monotonically_increasing_id()))
-    told = disclosing(found, rows)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    spans = near.join(told, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("added"))
-    return found.drop("near", "entities").join(spans, "row", "left")
+    told = disclosing(found, rows).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("term").alias("hits"))
+    hit = found.filter(F.col("base") != "").join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    spans = hit.select("row", "text", "base", "hits").mapInArrow(_located, "row long, added array<struct<start: int, stop: int>>")
+    return found.drop("entities", "around", "text").join(spans, "row", "left")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -68,3 +68,22 @@ def test_disclosing_terms(spark):
     clean = {r["doc_id"]: r for r in pii.sanitised(table).collect()}
     assert "Quillfeather" not in clean[100]["text"] and "[EMAIL]" in clean[100]["text"] and clean[100]["n_chars"] == len(clean[100]["text"])
     assert clean[200]["text"] == "only Copperfield once [EMAIL] here" and clean[5]["text"] == dict(filler)[5]
+
+
+def test_terms_far_from_a_mention(spark):
+    filler = [(k, f"plain words about thing {k} and the weather") for k in range(60)]
+    gap = "one two three four five six seven eight nine ten eleven " * 5
+    told = [(100 + k, f"Quillfeather {gap} {w} x.q@mail.org {w} {gap} quillfeather") for k, w in enumerate(("alpha", "beta", "gamma"))]
+    near = [(200, "y.z@mail.org met Marrowgate today"), (201, f"y.z@mail.org {gap} Marrowgate")]
+    long = [(300 + k, f"{w} z.z@mail.org {'\u4e00\u4e8c' * 150} end{k}") for k, w in enumerate(("first", "second"))]
+    table = spark.createDataFrame(filler + told + near + long, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.digests(table).collect()}
+    for d, text in told:
+        last = text.rindex("quillfeather")
+        assert "term:0:12" in spans[d] and f"term:{last}:{last + 12}" in spans[d]
+    for d, text in near:
+        assert f"term:{text.index('Marrowgate')}:{text.index('Marrowgate') + 10}" in spans[d]
+    for d, text in long:
+        start = text.index("\u4e00")
+        assert f"term:{start}:{start + 300}" in spans[d]
+    assert all(spans[d] == "" for d, _ in filler)
