@@ -135,17 +135,18 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of a batch's documents and in how many of them they stand."""
+    """Terms of a batch's documents and in how many of them they stand; a document counts its ``weight`` times if it has one."""
     for batch in batches:
-        data, offsets = buffers(batch.column("text"))
+        _, offsets = buffers(batch.column("text"))
+        weights = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(len(batch), np.int64)
         found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first, last in units(np.diff(offsets), 1 << 19):
             words = [_terms(t) for t in batch.column("text").slice(first, last - first).to_pylist()]
             flat = [w for x in words for w in x]
             if flat:
-                terms, n = np.unique(_hash(flat), return_counts=True)
+                terms, at = np.unique(_hash(flat), return_inverse=True)
                 found.append(terms)
-                counts.append(n)
+                counts.append(np.bincount(at, np.repeat(weights[first:last], list(map(len, words)))))
         terms, at = np.unique(np.concatenate(found), return_inverse=True)
         yield pa.RecordBatch.from_pydict({"term": terms, "n": np.bincount(at, np.concatenate(counts), len(terms)).astype(np.int64)})
 
@@ -189,8 +190,9 @@ def _joined(rows: DataFrame, known: DataFrame, keys: list[str], n: str) -> DataF
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, key, term of terms in documents that mention an entity they disclose, from the scanned rows and their documents."""
-    total = docs.count()
     # Repeated rows are one document.
+    distinct = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    total, repeated = distinct.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
     holders = found.filter(F.size("entities") > 0)
     firsts = holders.groupBy("doc_id", "key").agg(F.min("row").alias("row"), F.first("around").alias("around"), F.first("entities").alias("entities"))
     mentions = firsts.select("doc_id", "key", "row", "around", F.explode("entities").alias("entity"))
@@ -201,7 +203,14 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     highest = entities.agg(F.max(most)).first()[0]
     if highest is None:
         return mentions.select("doc_id", "key", F.col("entity").alias("term")).limit(0)
-    counts = docs.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counts = docs.mapInArrow(_frequencies, "term long, n long")
+    if repeated:
+        twice = distinct.filter(F.col("n") > 1).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n")
+        twice = F.broadcast(twice) if repeated <= COMMON else twice
+        again = docs.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+        once = again.dropDuplicates(["doc_id", "key"]).select("text", (1 - F.col("n")).alias("weight"))
+        counts = counts.unionByName(once.mapInArrow(_frequencies, "term long, n long"))
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n_term"))
     terms = written_once(counts.filter(F.col("n_term") >= SUPPORT))
     listed = _joined(holders.select("row", "text").mapInArrow(_listed, "row long, term long"), terms, ["term"], "n_term")
     pairs = _joined(mentions, entities, ["entity"], "n_entity").join(listed.filter(F.col("n_term") <= highest), "row")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from math import log2
 
 from marginalia.llm import pii
 
@@ -87,3 +88,45 @@ def test_terms_far_from_a_mention(spark):
         start = text.index("\u4e00")
         assert f"term:{start}:{start + 300}" in spans[d]
     assert all(spans[d] == "" for d, _ in filler)
+
+
+def test_documents_count_once(spark):
+    filler = [(k, f"plain words about thing {k} and the weather") for k in range(200)]
+    # One long document with an address in many surroundings: no evidence, and no more than one document.
+    long = [(500, " ".join(f"word{k} Thornbury l.l@mail.org next{k}" for k in range(50)))]
+    # Pennywhistle stands in two of four documents with the address; one of them repeats it.
+    half = [(600, " ".join(f"a{k} Pennywhistle h.h@mail.org b{k}" for k in range(9))), (601, "see Pennywhistle at h.h@mail.org")]
+    half += [(602, "write h.h@mail.org"), (603, "ask h.h@mail.org"), *((610 + k, f"Pennywhistle thing {k}") for k in range(3))]
+    # Repeated rows are one document: Larkspur stands in one without the address, not in nine.
+    rows = [(700, "r.r@mail.org knows Larkspur"), (701, "Larkspur was at r.r@mail.org")]
+    rows += [rows[0]] * 7
+    for extra in (long + half, rows + [(710, "Larkspur alone")] * 9):
+        table = spark.createDataFrame(filler + extra, "doc_id long, text string")
+        spans = {r["doc_id"]: r["spans"] for r in pii.digests(table).collect()}
+        told = {d: [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[d].split(",") if s) if k == "term"] for d, t in extra}
+        assert all("Thornbury" not in x and "Pennywhistle" not in x for x in told.values())
+        assert 700 not in told or "Larkspur" in told[700] and "Larkspur" in told[701]
+
+
+def test_frequencies_of_repeated_rows(spark):
+    """Against a recount over distinct documents, with rows repeated and ids missing."""
+    words = [f"w{k}" for k in range(12)]
+    texts = [f"{' '.join(words[j] for j in range(12) if (k * 7 + j * j) % 5 == 0)} e{k % 4}@x.org own{k % 4} n{k // 3}" for k in range(24)]
+    rows = [(k, t) for k, t in enumerate(texts)] * 2 + [(None, texts[0] + " more")] * 3 + [(100 + k, f"only {k}") for k in range(80)] + [(50, "own1")] * 20
+    distinct = set(rows)
+    terms = {r: {w.lower() for w in re.findall(r"\w+", r[1])} for r in distinct}
+    held = {r: {r[1][a:b].lower() for _, a, b in brute(r[1])} for r in distinct}
+    docs_of = lambda sets, x: {r for r in distinct if x in sets[r]}
+    expected = set()
+    for e in set().union(*held.values()):
+        for t in set().union(*terms.values()):
+            n_e, n_t, both = len(docs_of(held, e)), len(docs_of(terms, t)), docs_of(held, e) & docs_of(terms, t)
+            around = {" ".join(w for w in re.findall(r"\w+", re.sub(r"\S+@\S+", " ", r[1]))) for r in both}
+            if len(around) >= 2 and log2(len(both) * len(distinct) / n_t / n_e) >= 0.9 * log2(len(distinct) / n_e):
+                expected |= {(*r, t) for r in both}
+    got = set()
+    for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = texts[0] + " more" if r["doc_id"] is None else dict(x for x in rows if x[0] is not None)[r["doc_id"]]
+        got |= {(r["doc_id"], text, text[int(a) : int(b)].lower()) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"}
+    outside = {(d, x, t) for d, x, t in expected if t in re.findall(r"\w+", re.sub(r"\S+@\S+", " ", x))}
+    assert got == outside and got
