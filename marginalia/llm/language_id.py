@@ -10,8 +10,9 @@ worked out once; a document's code length is a sum of whole numbers, 2^-16 bits
 The language with the shortest code is predicted; ties go to the first name. The score is its share in the sum of 2^-length
 over all languages: the posterior under equal priors.
 
-Training takes labelled documents at random by a hash of doc_id, TRAINING_BYTES in expectation over all languages, shared
-alike: a bounded sample, so that model and driver stay small whatever the table's size.
+Training takes the labelled documents of each language in the order of a hash of doc_id until its share of TRAINING_BYTES is
+reached, at least one, and cuts the last one to the share: a bounded sample, so that model and driver stay small whatever the
+table's size, and no labelled language is without text.
 """
 
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import buffers, documents, units
 
-#: Bytes of text in the training sample, expected.
+#: Bytes of text in the training sample, at most, but for a byte of each language's last document.
 TRAINING_BYTES = 12 << 20
 
 #: Bytes of text scored at a time.
@@ -188,19 +189,55 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "gram": keys.astype(np.int64), "n": c.astype(np.int64)})
 
 
+def _taken(rows: DataFrame) -> list[tuple[str, int, int, int]]:
+    """For each language (place, tie) of the last row of its sample and to how many bytes its text is cut.
+
+    The bytes by the length of the place tell which places hold a share; only those rows' places come to the driver.
+    """
+    held: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("lang", "bits").agg(F.sum("size").alias("n")).collect():
+        held.setdefault(r["lang"], {})[r["bits"]] = r["n"]
+    if not held:
+        return []
+    share, bounds = max(1, TRAINING_BYTES // len(held)), []
+    for lang, n in held.items():
+        bits = sorted(n)
+        sums = np.cumsum([n[x] for x in bits])
+        bounds.append((lang, bits[min(int(np.searchsorted(sums, share)), len(bits) - 1)]))
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, most int"))
+    table = rows.join(bounds, "lang").filter(F.col("bits") <= F.col("most")).select("lang", "place", "tie", "size").toArrow()
+    names, place, tie, size = np.array(table["lang"].to_pylist(), object), *(table[c].to_numpy() for c in ("place", "tie", "size"))
+    taken = []
+    for lang in held:
+        mine = np.flatnonzero(names == lang)
+        mine = mine[np.lexsort((tie[mine], place[mine]))]
+        before = np.cumsum(size[mine]) - size[mine]
+        end = mine[np.searchsorted(before, share) - 1]
+        # Repeated rows share what is left.
+        same = np.flatnonzero((place[mine] == place[end]) & (tie[mine] == tie[end]))
+        cut = min(int(size[end]), max(1, (share - int(before[same[0]])) // len(same)))
+        taken.append((lang, int(place[end]), int(tie[end]), cut))
+    return taken
+
+
 def train(labelled: DataFrame) -> Model | None:
     """The model of documents (doc_id, text, lang); None if no language has text. Rows without text or lang are not used."""
     columns = (("doc_id", "long"), ("text", "string"), ("lang", "string"))
     rows = labelled.select(*(F.col(name).cast(kind).alias(name) for name, kind in columns))
     rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not sizes:
+    # A place from the hash of the id, or of the text where there is none.
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("size", F.octet_length("text").cast("long"))
+    place = F.xxhash64(F.coalesce("doc_id", "tie"), F.lit("training"))
+    rows = rows.withColumn("place", F.shiftrightunsigned(place, 1)).withColumn("bits", F.length(F.bin("place")))
+    taken = _taken(rows)
+    if not taken:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, TRAINING_BYTES / len(sizes) / n).otherwise(share)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("training")), F.lit(1 << 20)) / float(1 << 20)
-    found = rows.filter(chance < share).select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ends = F.broadcast(labelled.sparkSession.createDataFrame(taken, "lang string, last_place long, last_tie long, cut long"))
+    last = (F.col("place") == F.col("last_place")) & (F.col("tie") == F.col("last_tie"))
+    before = (F.col("place") < F.col("last_place")) | ((F.col("place") == F.col("last_place")) & (F.col("tie") < F.col("last_tie")))
+    text = F.substr(F.col("text").cast("binary"), F.lit(1), F.when(last, F.col("cut")).otherwise(F.col("size")).cast("int"))
+    sample = rows.join(ends, "lang").filter(before | last).select(text.alias("text"), "lang")
+    found = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = found.toArrow()
     names, keys, n = np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy().astype(np.uint32), table["n"].to_numpy()
     languages, counts = sorted(set(names)), []

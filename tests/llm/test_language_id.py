@@ -80,3 +80,16 @@ def test_odd_rows(spark, empty):
     got = language_id.predict(spark.createDataFrame(odd, "doc_id long, text string, score int"), model).collect()
     kinds = ["und", "und", "und"] + (["und"] * 3 if empty else ["en", "fr", "fr"])
     assert [r["lang_pred"] for r in got] == kinds and got[0]["score"] == 0
+
+
+def test_every_language_has_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAINING_BYTES", 4000)
+    rows = [(k, "the cat and the dog " * 2, "en") for k in range(1000)]
+    rows += [(2000 + k, "le chat et le chien de la ville " * 1000, f"f{k % 20}") for k in range(40)] + [(None, "der Hund und die Katze " * 9, "de")] * 3
+    rows += [(3000, "x", "xx")]
+    seen = {}
+    monkeypatch.setattr(language_id.Model, "fit", lambda languages, counts: seen.update({x: n.sum() for x, (_, n) in zip(languages, counts, strict=True)}))
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    share = 4000 // 23
+    assert set(seen) == {"en", "de", "xx"} | {f"f{k}" for k in range(20)}
+    assert seen.pop("xx") == 1 and all(share - 3 < n <= share for n in seen.values())
