@@ -1,9 +1,10 @@
 """Repeated passages of words: sharded Aho-Corasick automata over recurring phrases.
 
 Every word covered by a window of WINDOW words that also starts in a document with a smaller doc_id goes. A passage recurs
-only where its anchor phrase of ANCHOR words does. Each shard compiles the phrases that recur (see ``passages``) into one
-automaton, streams the pieces of all documents with such phrases through it, and lays the pieces side by side at the places it
-finds. There passages are confirmed word by word: only equal windows, not equal hashes, lead to a removal.
+only where its anchor phrase of ANCHOR words does. Recurring phrases and their places are found by hashes (see ``passages``). Each
+shard compiles the phrases into one automaton and streams the pieces cut around them through it. That is only a check that each
+piece holds its phrase at its place; it locates nothing. The pieces are then laid side by side at those places and compared word
+by word in column-wise suffix order: only equal windows, not equal hashes, lead to a removal.
 """
 
 import hashlib
@@ -38,7 +39,8 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
 
 
 def solve(asked: passages.Asked) -> np.ndarray:
-    least = np.zeros(int(asked.windows.sum()), np.int64)
+    # A piece that is not confirmed takes nothing out.
+    least = np.full(int(asked.windows.sum()), np.iinfo(np.int64).max)
     begin, span = np.cumsum(asked.windows) - asked.windows, WINDOW - ANCHOR + 1
     # One character for each byte, so that offsets agree.
     texts = [[x.decode("latin-1") for x in asked.data[a:b].tobytes().split()] for a, b in zip(asked.offsets[:-1], asked.offsets[1:], strict=True)]

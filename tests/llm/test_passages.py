@@ -69,3 +69,12 @@ def test_documents(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.digests(table).count() == 0 and phrase_dedup.digests(table).count() == 0
+
+
+def test_unconfirmed_pieces_take_nothing_out(monkeypatch):
+    words = b" ".join(b"w%d" % k for k in range(60))
+    offsets, two = np.array([0, len(words), 2 * len(words)]), np.array([5, 9])
+    asked = passages.Asked(np.frombuffer(words * 2, np.uint8), offsets, two, np.array([11, 11]), np.array([20, 20]))
+    assert (phrase_dedup.solve(asked) == 5).all()
+    monkeypatch.setattr(phrase_dedup, "automaton", lambda phrases: type("None_", (), {"iter": lambda self, text: iter(())})())
+    assert (phrase_dedup.solve(asked) > two.max()).all()
