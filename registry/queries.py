@@ -379,18 +379,19 @@ def _header_verdicts(spark, d):
 def _streamed(spark, d):
     root = shared_folder(spark)
     pages = tables.table(spark, d, "pages")
-    # A number 0 would count as no id.
-    uid = F.col("page_id").cast("string").alias("uid")
-    rows = pages.select(uid, F.col("url").alias("link"), F.md5("html").alias("title"))
-    groups = rows.groupBy(F.floor(F.col("uid").cast("bigint") / 100).alias("file")).agg(F.collect_list(F.struct("*")).alias("rows"))
-    groups.select(F.to_json("rows")).write.option("maxRecordsPerFile", 1).text(root + "/in")
+    # Every other file has its ids as numbers; the first does not, as a number 0 counts as no id.
+    values = F.col("url").alias("link"), F.md5("html").alias("title")
+    text, number = F.struct(F.col("page_id").cast("string").alias("uid"), *values), F.struct(F.col("page_id").alias("uid"), *values)
+    rows = pages.select(F.floor(F.col("page_id") / 100).alias("file"), text.alias("text"), number.alias("number"))
+    groups = rows.groupBy("file").agg(F.collect_list("text").alias("texts"), F.collect_list("number").alias("numbers"))
+    groups.select(F.when(F.col("file") % 2 == 1, F.to_json("numbers")).otherwise(F.to_json("texts"))).write.option("maxRecordsPerFile", 1).text(root + "/in")
     drop_folder.import_folder(spark, root + "/in", root + "/library", root + "/log").awaitTermination()
     rows, _ = store.load(spark, root + "/library")
     return rows.select("id", "title", "url", "source_file_id", "instapaper_url")
 
 
 def _mixed_files(spark, d):
-    """The pages as JSON documents that disagree: tags as list or text, stars as number, text or flag."""
+    """The pages as JSON documents that disagree: ids as number or text, tags as list or text, stars as number, text or flag."""
     pages = tables.table(spark, d, "pages").withColumn("file", F.floor(F.col("page_id") / 100))
     tag, odd = F.substr(F.md5("url"), F.lit(1), F.lit(8)), F.col("page_id") % 2
     listed, text = F.array(F.lit("page"), tag).alias("tags"), F.concat(F.lit("page,"), tag).alias("tags")
@@ -401,7 +402,9 @@ def _mixed_files(spark, d):
     ]
     folder = shared_folder(spark)
     for n, kind in enumerate(kinds):
-        record = F.struct(F.col("page_id").cast("string").alias("id"), "url", F.md5("html").alias("title"), *kind)
+        # The kind with page 0 has text: a number 0 counts as no id.
+        uid = F.col("page_id").cast("bigint" if n == 1 else "string").alias("id")
+        record = F.struct(uid, "url", F.md5("html").alias("title"), *kind)
         files = pages.where(F.col("file") % len(kinds) == n).groupBy("file")
         made = files.agg(F.sort_array(F.collect_list(record)).alias("bookmarks")).select("bookmarks")
         made.write.option("maxRecordsPerFile", 1).json(f"{folder}/{n}")
