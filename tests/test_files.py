@@ -289,3 +289,11 @@ def test_stream(spark, tmp_path):
     assert found["2"] == ("new", 1) and len(found) == 3
     assert run() == found
     assert store.latest(spark, root)["number"] == 1 and store.load(spark, root)[1].count() == 1
+
+
+def test_queries_read_numeric_ids(spark):
+    from registry import queries
+
+    folder = queries._mixed_files(spark, "/root/testdata/sf0.01")
+    kinds = [dict(spark.read.json(f"{folder}/{n}").selectExpr("bookmarks[0].id").dtypes) for n in range(2)]
+    assert [list(k.values()) for k in kinds] == [["string"], ["bigint"]]
