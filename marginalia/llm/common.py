@@ -110,13 +110,46 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of the values, which are well-spread 64-bit numbers; ranges may overlap."""
+    """A 64-bit hash of each range of the values, which are well-spread 64-bit numbers; ranges may overlap.
+
+    For finding candidates only: a polynomial modulo 2^64 gives long unequal ranges of a regular kind one hash whatever its base.
+    """
     up, down = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Set the two lanes of the hashes below apart.
+_LANES = mixed(np.arange(7001, 7003, dtype=np.uint64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range; ranges are not empty. Two lanes together are 128 bits.
+
+    The sum of a well-spread number for every (place in the range, byte), so no arithmetic relation between places makes
+    unequal ranges equal.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    at = ranges(starts, sizes)
+    values = (at - np.repeat(starts, sizes)).astype(np.uint64) << np.uint64(8)
+    values |= data[at]
+    values += _LANES[lane]
+    return mixed(np.add.reduceat(mixed(values), np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int, lane: int = 0) -> np.ndarray:
+    """The same for runs of at most ``most`` values, which may overlap."""
+    salts = mixed(_LANES[lane] + np.arange(1, most + 1, dtype=np.uint64))
+    out = sizes.astype(np.uint64)
+    for j in range(most):
+        longer = sizes > j
+        out[longer] += mixed(values[starts[longer] + j] + salts[j])
+    return mixed(out)
+
+
 def shard_keys(frame: DataFrame, n: int) -> list[int]:
     """A number for each of n partitions that Spark's hash partitioning puts there."""
     spark, found, size = frame.sparkSession, {}, 16 * n

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, mixed, ranges, rows_with, shuffle_partitions, spans_of_words, text_key, units
+from marginalia.llm.common import buffers, documents, mixed, ranges, rows_with, run_hashes, shuffle_partitions, spans_of_words, text_key, units, word_hashes
 from marginalia.scratch import written_once
 
 WORDS = 5
@@ -53,21 +53,25 @@ def _above(n: int, m: int) -> float:
 LEAST = [next(m for m in range(n + 1) if _above(n, m) >= MISS) for n in range(STEP, VALUES + 1, STEP)]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of all texts as sorted 64-bit hashes, one after the other, and their offsets. Letters A-Z are lowered."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of all texts as sorted 64-bit hashes, one after the other, second hashes beside them, and their offsets.
+
+    Letters A-Z are lowered. Sets are one class only if both hashes of all their shingles agree, 128 bits of each. Intersections
+    are taken by the first alone: that it is wrong by one has a chance below |A| * |B| / 2^64.
+    """
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     starts, ends, first = spans_of_words(data, offsets)
-    words = hashes(BYTE_VALUES[data], starts, ends)
     n = np.diff(first)
     size = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
     head = ranges(first[:-1], size)
-    found = hashes(words, head, head + np.repeat(np.minimum(n, WORDS), size))
+    count = np.repeat(np.minimum(n, WORDS), size)
+    found, second = (run_hashes(word_hashes(data, starts, ends, lane), head, count, WORDS, lane) for lane in (0, 1))
     of = np.repeat(np.arange(len(n)), size)
-    order = np.lexsort((found, of))
-    found, of = found[order], of[order]
+    order = np.lexsort((second, found, of))
+    found, second, of = found[order], second[order], of[order]
     keep = np.ones(len(found), bool)
-    keep[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
-    return found[keep], np.searchsorted(of[keep], np.arange(len(n) + 1))
+    keep[1:] = (found[1:] != found[:-1]) | (second[1:] != second[:-1]) | (of[1:] != of[:-1])
+    return found[keep], second[keep], np.searchsorted(of[keep], np.arange(len(n) + 1))
 
 
 def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,11 +92,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, classes, signed = [], [], []
         for first, last in units(np.diff(offsets)):
             part = offsets[first : last + 1]
-            sets, at = shingles(data[part[0] : part[-1]], part - part[0])
+            sets, seconds, at = shingles(data[part[0] : part[-1]], part - part[0])
             values, k = signatures(sets, at), 0
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 sizes.append(b - a)
-                classes.append(hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if a < b else None)
+                classes.append(hashlib.blake2b(sets[a:b].tobytes() + seconds[a:b].tobytes(), digest_size=16).digest() if a < b else None)
                 signed.append(values[k].tobytes() if a < b else None)
                 k += a < b
         yield pa.RecordBatch.from_arrays(
@@ -192,7 +196,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column("text"))
         for first, last in units(np.diff(offsets)):
             part = offsets[first : last + 1]
-            sets, at = shingles(data[part[0] : part[-1]], part - part[0])
+            sets, _, at = shingles(data[part[0] : part[-1]], part - part[0])
             found = [sets[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, last - first), pa.array(found, pa.binary())], names=["rep", "set"])
 

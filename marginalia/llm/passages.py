@@ -248,6 +248,20 @@ def _per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of the ranges at ``at`` holds the same bytes as the range after it; ranges are not empty."""
+    sizes = ends - starts
+    out = sizes[at] == sizes[at + 1]
+    equal = at[out]
+    told = np.zeros(len(equal), bool)
+    for first, last in units(sizes[equal]):
+        mine = equal[first:last]
+        bytes_ = data[ranges(starts[mine], sizes[mine])] == data[ranges(starts[mine + 1], sizes[mine])]
+        told[first:last] = np.logical_and.reduceat(bytes_, np.cumsum(sizes[mine]) - sizes[mine])
+    out[out] = told
+    return out
+
+
 def _found(read: Reader, window: int, k: int, shards: list[int]):
     """Of each block of rows with recurring anchors: the pieces' places to wait, the distinct pieces to shards."""
 
@@ -291,9 +305,11 @@ def _found(read: Reader, window: int, k: int, shards: list[int]):
                 continue
             doc, at, windows, column, shard_key, body, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
             block, number = (TaskContext.get().partitionId() << 32) + number, number + 1
-            # Equal pieces once, with the smallest doc_id.
+            # Equal pieces once, with the smallest doc_id; their hashes bring them together, their bytes decide.
             order = np.lexsort((ids[doc], column, body))
             same = (body[order][1:] == body[order][:-1]) & (column[order][1:] == column[order][:-1])
+            alike = np.flatnonzero(same)
+            same[alike] = _equal(data, a[order], b[order], alike)
             head = order[np.append(True, ~same)]
             piece = np.zeros(len(doc), np.int64)
             piece[order] = np.cumsum(np.append(True, ~same)) - 1

@@ -1,14 +1,17 @@
 """Repeated passages of words: sharded Aho-Corasick automata over recurring phrases.
 
 Every word covered by a window of WINDOW words that also starts in a document with a smaller doc_id goes. A passage recurs
-only where its anchor phrase of ANCHOR words does. Recurring phrases and their places are found by hashes (see ``passages``). Each
-shard compiles the phrases into one automaton and streams the pieces cut around them through it. That is only a check that each
-piece holds its phrase at its place; it locates nothing. The pieces are then laid side by side at those places and compared word
-by word in column-wise suffix order: only equal windows, not equal hashes, lead to a removal.
+only where its anchor phrase of ANCHOR words does. Recurring phrases are confirmed by an exchange of hashes (see ``passages``), which
+routes to each shard the text around every place that can hold one of its phrases, so the work is linear and not shards times
+documents. The shard compiles its phrases into one automaton and streams those texts through it. Where the automaton finds a
+phrase, there the text is laid beside the others that hold it; windows around the finds are compared word by word, and equal ones
+lead to a removal. What no automaton finds is not removed.
 """
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marginalia.llm import passages
-from marginalia.llm.common import BYTE_VALUES, hashes, ranges, spans_of_words
+from marginalia.llm.common import ranges, spans_of_words, word_hashes
 
 WINDOW, ANCHOR = 50, 8
 
@@ -26,7 +29,7 @@ TOGETHER = 1 << 16
 
 def read(data: np.ndarray, offsets: np.ndarray) -> passages.Symbols:
     starts, ends, first = spans_of_words(data, offsets)
-    return passages.Symbols(hashes(BYTE_VALUES[data], starts, ends), first, starts, ends, data)
+    return passages.Symbols(word_hashes(data, starts, ends), first, starts, ends, data)
 
 
 def automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -38,35 +41,45 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return found
 
 
+def located(texts: list[list[str]], windows: list[int], found: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, phrase, word) of the first place at which all of a text's windows hold the phrase, for each phrase found there."""
+    out: list[tuple[int, int, int]] = []
+    for at, (words, n) in enumerate(zip(texts, windows, strict=True)):
+        ends, seen = list(accumulate(len(w) + 1 for w in words)), set()
+        for end, phrase in found.iter(f" {' '.join(words)} "):
+            word = bisect_left(ends, end) + 1 - ANCHOR
+            if phrase not in seen and n - 1 <= word <= WINDOW - ANCHOR:
+                seen.add(phrase)
+                out.append((at, phrase, word))
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
 def solve(asked: passages.Asked) -> np.ndarray:
-    # A piece that is not confirmed takes nothing out.
+    # A window that no find leads to takes nothing out.
     least = np.full(int(asked.windows.sum()), np.iinfo(np.int64).max)
     begin, span = np.cumsum(asked.windows) - asked.windows, WINDOW - ANCHOR + 1
-    # One character for each byte, so that offsets agree.
+    # One character for each byte, so that lengths agree.
     texts = [[x.decode("latin-1") for x in asked.data[a:b].tobytes().split()] for a, b in zip(asked.offsets[:-1], asked.offsets[1:], strict=True)]
-    anchored = [" ".join(words[c : c + ANCHOR]) for words, c in zip(texts, asked.column.tolist(), strict=True)]
-    phrases = list(dict.fromkeys(anchored))
+    phrases = list(dict.fromkeys(" ".join(words[c : c + ANCHOR]) for words, c in zip(texts, asked.column.tolist(), strict=True)))
     if not phrases:
         return least
-    number, found = {p: i for i, p in enumerate(phrases)}, automaton(phrases)
-    phrase = np.array([number[p] for p in anchored])
-    confirmed = np.zeros(len(texts), bool)
-    for at, (words, column) in enumerate(zip(texts, asked.column.tolist(), strict=True)):
-        end = 1 + sum(map(len, words[: column + ANCHOR])) + column + ANCHOR - 1
-        confirmed[at] = any(place == end and value == phrase[at] for place, value in found.iter(f" {' '.join(words)} "))
-    groups = len(texts) // TOGETHER + 1
+    text, phrase, word = located(texts, asked.windows.tolist(), automaton(phrases))
+    groups = len(text) // TOGETHER + 1
     for g in range(groups):
-        mine = np.flatnonzero((phrase % groups == g) & confirmed)
-        if not len(mine):
+        finds = np.flatnonzero(phrase % groups == g)
+        if not len(finds):
             continue
+        # A text that holds several phrases is laid beside the others at each.
         names: dict[str, int] = {}
-        first = span - 1 - asked.column[mine]
-        size = asked.windows[mine] + WINDOW - 1
+        mine = text[finds]
+        first = span - 1 - word[finds]
+        windows = asked.windows[mine]
+        size = windows + WINDOW - 1
         columns = np.zeros((span - 1 + WINDOW, len(mine)), np.uint32)
         symbols = [names.setdefault(w, len(names) + 1) for i in mine.tolist() for w in texts[i]]
         columns[ranges(first, size), np.repeat(np.arange(len(mine)), size)] = symbols
-        found_ids = passages.equal_windows(columns, first, asked.windows[mine], asked.docs[mine], WINDOW)
-        least[ranges(begin[mine], asked.windows[mine])] = found_ids
+        told = passages.equal_windows(columns, first, windows, asked.docs[mine], WINDOW)
+        np.minimum.at(least, ranges(begin[mine], windows), told)
     return least
 
 

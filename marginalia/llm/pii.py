@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, text_key, units
+from marginalia.llm.common import buffers, documents, text_key, units, word_hashes
 from marginalia.scratch import written_once
 
 #: Share of an entity's information from which on a term discloses it; differing surroundings needed.
@@ -86,7 +86,7 @@ def _hash(words: list[str]) -> np.ndarray:
     data = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in data], dtype=np.int64)
     joined = np.frombuffer(b"".join(data), np.uint8)
-    return hashes(BYTE_VALUES[joined], ends - [len(w) for w in data], ends).view(np.int64)
+    return word_hashes(joined, ends - [len(w) for w in data], ends).view(np.int64)
 
 
 def _outside(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BYTE_VALUES, buffers, documents, hashes, spans_of_words, units
+from marginalia.llm.common import buffers, documents, spans_of_words, units, word_hashes
 from marginalia.scratch import written_once
 
 #: Labelled texts of each class in the sample, and indicators of each class, at most (but at least one text).
@@ -59,7 +59,7 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nda
     ending = np.select([upper[ends - 1] | lower[ends - 1], np.isin(last, list(b".,;:"))], [0, 1], 2)
     same = np.zeros(len(starts), np.int64)
     if len(starts) > 1:
-        h = hashes(BYTE_VALUES[data], starts, ends)
+        h = word_hashes(data, starts, ends)
         same[1:] = (h[1:] == h[:-1]) & (np.diff(ends - starts) == 0)
         same[first[first < len(starts)]] = 0
     return case + 4 * ending + 12 * same

@@ -77,3 +77,12 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert near_dedup.classified(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_that_a_polynomial_takes_for_each_other(spark):
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    rows = [(1, f"x y {one} z w"), (2, f"x y {other} z w"), (3, one), (4, other), (5, "a b " * 2 + "b a " * 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.classified(table).collect()} == {(k, k) for k in range(1, 6)}

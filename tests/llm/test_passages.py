@@ -71,10 +71,47 @@ def test_empty_table(spark):
     assert suffix_dedup.digests(table).count() == 0 and phrase_dedup.digests(table).count() == 0
 
 
-def test_unconfirmed_pieces_take_nothing_out(monkeypatch):
-    words = b" ".join(b"w%d" % k for k in range(60))
-    offsets, two = np.array([0, len(words), 2 * len(words)]), np.array([5, 9])
-    asked = passages.Asked(np.frombuffer(words * 2, np.uint8), offsets, two, np.array([11, 11]), np.array([20, 20]))
-    assert (phrase_dedup.solve(asked) == 5).all()
-    monkeypatch.setattr(phrase_dedup, "automaton", lambda phrases: type("None_", (), {"iter": lambda self, text: iter(())})())
-    assert (phrase_dedup.solve(asked) > two.max()).all()
+def opposite(n):
+    """Two words of 2^n letters that a polynomial modulo 2^64 cannot tell apart."""
+    one, other = "a", "b"
+    for _ in range(n):
+        one, other = one + other, other + one
+    return one, other
+
+
+def test_words_that_a_polynomial_takes_for_each_other(spark):
+    one, other = opposite(10)
+    head, tail = " ".join(f"h{k}" for k in range(30)), " ".join(f"t{k}" for k in range(19))
+    rows = [(1, f"{head} {one} {tail}"), (2, f"{head} {other} {tail}"), (3, f"{head} {one} {tail}")]
+    for n in (1, 3):
+        table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(n)
+        assert sorted(map(tuple, phrase_dedup.digests(table).collect()), key=str) == word_rows(rows)
+        assert sorted(map(tuple, suffix_dedup.digests(table).collect()), key=str) == byte_rows(rows)
+
+
+def test_pieces_of_one_hash_are_compared_by_their_bytes():
+    data = np.frombuffer(b"abcabdabcxabcabc", np.uint8)
+    starts, ends = np.array([0, 3, 6, 10, 13, 9]), np.array([3, 6, 9, 13, 16, 13])
+    assert passages._equal(data, starts, ends, np.array([0, 1, 2, 3, 4])).tolist() == [False, False, True, True, False]
+
+
+def asked(texts, docs, columns):
+    words = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, words)])
+    windows = np.array([len(w.split()) - phrase_dedup.WINDOW + 1 for w in words])
+    return passages.Asked(np.frombuffer(b"".join(words), np.uint8), offsets, np.array(docs), windows, np.array(columns))
+
+
+def test_removals_come_from_the_finds(monkeypatch):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "vw")
+    both = asked([one, one, two, two], [5, 9, 6, 7], [20, 20, 20, 20])
+    assert phrase_dedup.solve(both).tolist() == [5] * 22 + [6] * 22
+    whole = phrase_dedup.automaton
+    lost = [" ".join(f"w{k}" for k in range(20, 28))]
+    # A phrase that is missing in the automaton loses its own removals, and no others.
+    monkeypatch.setattr(phrase_dedup, "automaton", lambda phrases: whole([p if p not in lost else "no such phrase" for p in phrases]))
+    got = phrase_dedup.solve(both)
+    assert got[:22].tolist() == [5] * 22 and (got[22:] > 9).all()
+    # Columns only say where a shard's phrases are cut; a text is laid where the automaton finds one.
+    monkeypatch.setattr(phrase_dedup, "automaton", whole)
+    assert phrase_dedup.solve(asked([one, one], [5, 9], [20, 25])).tolist() == [5] * 22
