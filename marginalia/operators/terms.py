@@ -14,14 +14,14 @@ SMALLEST_SIZE, SIZE_RANGE = 0.75, 1.5
 
 
 def document_words(library: DataFrame, words=tx.words) -> DataFrame:
-    """(seq, language, words): one row per document, words in text order.
+    """(seq, language, words): one row per document, words in text order, keyed by position.
 
-
-    Take the words apart with an outer ``explode``: for the plain one Spark adds a condition on the
+    Raw text is moved before it is split: it is smaller than its words, and documents that lie in few
+    row groups, or in groups of unlike size, are then split by all tasks. Take the words apart with an outer ``explode``: for the plain one Spark adds a condition on the
     list's size and pushes it to the scan, where every document would be split once more.
     """
     body = F.lower(tx.analysis_text(F.col("title"), F.col("article_preview")))
-    lowered = library.select("seq", body.alias("body"))
+    lowered = library.select("seq", body.alias("body")).repartition("seq")
     text = F.col("body")
     return lowered.select("seq", tx.detect_language(text).alias("language"), words(text).alias("words"))
 
@@ -30,12 +30,11 @@ def postings(library: DataFrame, stop_words=BASE_EN, words=tx.words) -> DataFram
     """(seq, term, tf) of every document, keyed by its position.
 
     Noise words share one row with a null term, so a document without terms stays visible. The
-    split text is moved by ``seq`` once; counting terms, and any later sum per document, then
+    text is moved by ``seq`` once; counting terms, and any later sum per document, then
     needs no further exchange.
     """
     return (
         document_words(library, words)
-        .repartition("seq")
         .select("seq", "language", F.explode_outer("words").alias("word"))
         .select("seq", "language", tx.without_possessive("word").alias("base"))
         .select("seq", tx.term("base", "language", stop_words).alias("term"))

@@ -151,9 +151,9 @@ shares AS (
 _CORPUS = f"WITH {LIBRARY}, {idf_sql('texts')}, {_SUMS}"
 
 
-def graph_sql(weight: str) -> str:
-    return f"""WITH {LIBRARY},
-picked AS (SELECT * FROM active ORDER BY seq LIMIT 50), {idf_sql('picked')},
+def graph_sql(weight: str, limit: str = "LIMIT 50", recursive: str = "") -> str:
+    return f"""WITH {recursive} {LIBRARY},
+picked AS (SELECT * FROM active ORDER BY seq {limit}), {idf_sql('picked')},
 vectors AS (SELECT p.seq, p.term, {weight} AS w FROM postings p JOIN idfs i ON i.term = p.term),
 norms AS (SELECT seq, sqrt(sum(w * w)) AS n FROM vectors GROUP BY seq),
 edges AS (
@@ -169,6 +169,7 @@ def read_oracles() -> dict[str, str]:
     top = f"""SELECT domain, count(*) AS cnt, min(seq) AS first_seq FROM {pages}
               WHERE domain <> '' GROUP BY domain ORDER BY cnt DESC, first_seq LIMIT 15"""
     degrees = "SELECT src AS seq FROM edges UNION ALL SELECT dst FROM edges"
+    both_ways = "SELECT src, dst, value FROM edges UNION ALL SELECT dst, src, value FROM edges"
     cloud = f"""
       WITH {LIBRARY}, {terms_sql('active', CLOUD_EN)},
       counts AS (SELECT term, count(*) AS cnt, min(seq * 8388608 + pos) AS seen
@@ -273,6 +274,17 @@ def read_oracles() -> dict[str, str]:
                             FROM picked p LEFT JOIN ends e ON e.seq = p.seq GROUP BY p.seq""",
         "graph_edges_at": f"""{graph_sql('p.tf')} SELECT src, dst, round(value, 6) AS value,
                               least(4.0, greatest(1.0, value)) AS width FROM edges WHERE src = 7 OR dst = 7""",
+        "graph_neighbours": f"""{graph_sql('p.tf', '')}, ends AS ({both_ways}),
+                                 ranked AS (SELECT src, (row_number() OVER (PARTITION BY src ORDER BY value DESC, dst))::INTEGER AS rank, dst, value FROM ends)
+                                 SELECT src, rank, dst, round(value, 6) AS value FROM ranked WHERE rank <= 10""",
+        "graph_neighbours_tfidf": f"""{graph_sql('p.tf * i.idf', '')}, ends AS ({both_ways}),
+                                      ranked AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY round(value, 9) DESC) AS rank, value FROM ends)
+                                      SELECT src, rank::INTEGER AS rank, round(value, 6) AS value FROM ranked WHERE rank <= 10""",
+        "graph_components": f"""{graph_sql('p.tf', '', 'RECURSIVE')}, ends AS ({both_ways}),
+                                reached AS (SELECT seq, seq AS label FROM picked
+                                            UNION SELECT e.dst, r.label FROM reached r JOIN ends e ON e.src = r.seq WHERE r.label < e.dst)
+                                SELECT r.seq, (SELECT count(*) FROM ends e WHERE e.src = r.seq) AS degree, min(label) AS component
+                                FROM reached r GROUP BY r.seq""",
         "graph_focus": f"""WITH {LIBRARY} SELECT seq, id FROM (SELECT * FROM active ORDER BY seq LIMIT 50)
                            WHERE id = '7'""",
     }

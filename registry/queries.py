@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions import ids, values, web
 from marginalia.functions import text as tx
-from marginalia.operators import counts, graph, ingest, merge, search, similarity, terms
+from marginalia.operators import counts, graph, ingest, merge, neighbours, search, similarity, terms
 from marginalia.plans import imports
 from marginalia.schema import SOURCES
 from marginalia.scratch import shared_folder
@@ -160,6 +160,11 @@ def read_queries() -> dict:
         "graph_edges_tfidf": lambda s, d: rounded(graph.graph_edges(_picked(s, d), weighting="tfidf"), "value"),
         "graph_degree": _degrees,
         "graph_edges_at": _edges_at,
+        "graph_neighbours": lambda s, d: rounded(neighbours.graph_at_scale(search.active(tables.library(s, d)))[0], "value"),
+        "graph_neighbours_tfidf": lambda s, d: rounded(
+            neighbours.graph_at_scale(search.active(tables.library(s, d)), weighting="tfidf")[0], "value"
+        ).drop("dst"),
+        "graph_components": lambda s, d: neighbours.graph_at_scale(search.active(tables.library(s, d)))[1],
         "graph_focus": lambda s, d: graph.in_graph(_picked(s, d), TARGET).select("seq", "id"),
     }
 
