@@ -307,8 +307,16 @@ newest AS (
   SELECT id, arg_max(title, in_seq) AS title, arg_max(url, in_seq) AS url, min(in_seq) AS first_in,
          arg_max(is_favorite, in_seq) FILTER (WHERE is_favorite IS NOT NULL) AS star FROM incoming GROUP BY id)"""
 
-MIXED = """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS title, url,
-    'page|' || left(md5(url), 8) AS tags, page_id % 2 = 1 AS is_favorite FROM pages"""
+
+def mixed_sql(source_id: str) -> str:
+    return f"""SELECT {numbered_sql(source_id)} AS id, md5(html) AS title, url,
+        'page|' || left(md5(url), 8) AS tags, page_id % 2 = 1 AS is_favorite FROM pages"""
+
+
+def numbered_sql(source_id: str) -> str:
+    """Page ids where page 0 has a number, which counts as no id."""
+    return f"""CASE WHEN page_id = 0 THEN {stable_id_sql("url", f"'{source_id}'")} ELSE CAST(page_id AS VARCHAR) END"""
+
 
 BAD = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0"
 GOOD = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1"
@@ -424,11 +432,23 @@ def write_oracles() -> dict[str, str]:
             CAST(0 AS BIGINT) AS parse_errors, count(*) FILTER (WHERE url = '#') AS dropped_no_url,
             CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS displaced FROM active""",
         "header_verdicts": "SELECT DISTINCT 'mismatch' AS verdict, 'unified' AS suggested FROM documents",
-        "stream_import": """SELECT CAST(page_id AS VARCHAR) AS id, md5(html) AS title, url,
-                            'file_stream' AS source_file_id,
-                            'https://www.instapaper.com/read/' || page_id AS instapaper_url FROM pages""",
-        "json_mixed_types": MIXED,
-        "stream_mixed": MIXED,
+        "stream_import": f"""SELECT id, title, url, 'file_stream' AS source_file_id, 'https://www.instapaper.com/read/' || id AS instapaper_url
+                             FROM (SELECT {numbered_sql("file_stream")} AS id, md5(html) AS title, url FROM pages)""",
+        "json_mixed_types": mixed_sql("file_fixed"),
+        "stream_mixed": mixed_sql("file_stream"),
+        "store_merge": merged,
+        "store_changes": f"""{changed} CASE WHEN back THEN 'page ' || page_url ELSE title END AS title,
+            CASE WHEN back THEN NULL WHEN id IN ({GOOD}) THEN NULL WHEN id IN ({BAD}) AND deleted_at IS NULL
+                 THEN '2024-06-01T00:00:00.000Z' ELSE deleted_at END AS deleted_at,
+            NOT back AND (is_favorite OR id IN ({BAD})) AS is_favorite
+            FROM (SELECT l.id, l.title, l.deleted_at, l.is_favorite, p.url AS page_url, coalesce(p.page_id % 6 = 0, false) AS back,
+                         coalesce(p.page_id % 3 = 0, false) AS purged FROM library l FULL JOIN pages p ON p.page_id = l.seq) WHERE back OR NOT purged""",
+        "stream_import_counts": """SELECT page_id // 20 AS file,
+            count(*) FILTER (WHERE page_id % 10 <> 3 AND page_id // 20 % 5 <> 4) AS imported,
+            count(*) FILTER (WHERE page_id % 10 = 3 AND page_id // 20 % 5 <> 4) AS dropped_no_url,
+            max(CASE WHEN page_id // 20 % 5 = 4 THEN 1 ELSE 0 END)::BIGINT AS broken FROM pages GROUP BY ALL""",
+        "stream_changes": """SELECT 'p' || page_id AS id, md5(html) AS title, url, 'file_stream' AS source_file_id FROM pages
+            WHERE page_id % 10 <> 3 AND page_id // 20 % 5 <> 4""",
     }
 
 

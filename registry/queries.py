@@ -10,7 +10,7 @@ from marginalia.operators import counts, graph, ingest, merge, neighbours, searc
 from marginalia.plans import imports
 from marginalia.schema import SOURCES
 from marginalia.scratch import shared_folder
-from marginalia.sinks import columns, exports, store
+from marginalia.sinks import columns, exports, journal, store
 from marginalia.streaming import drop_folder
 
 from . import tables
@@ -384,17 +384,69 @@ def _header_verdicts(spark, d):
 def _streamed(spark, d):
     root = shared_folder(spark)
     pages = tables.table(spark, d, "pages")
-    # Every other file has its ids as numbers; the first does not, as a number 0 counts as no id.
+    # Every other file has its ids as numbers, the first too: its number 0 counts as no id.
     values = F.col("url").alias("link"), F.md5("html").alias("title")
     text, number = F.struct(F.col("page_id").cast("string").alias("uid"), *values), F.struct(F.col("page_id").alias("uid"), *values)
     rows = pages.select(F.floor(F.col("page_id") / 100).alias("file"), text.alias("text"), number.alias("number"))
     groups = rows.groupBy("file").agg(F.collect_list("text").alias("texts"), F.collect_list("number").alias("numbers"))
-    groups.select(F.when(F.col("file") % 2 == 1, F.to_json("numbers")).otherwise(F.to_json("texts"))).write.option("maxRecordsPerFile", 1).text(root + "/in")
+    groups.select(F.when(F.col("file") % 2 == 0, F.to_json("numbers")).otherwise(F.to_json("texts"))).write.option("maxRecordsPerFile", 1).text(root + "/in")
     drop_folder.import_folder(spark, root + "/in", root + "/library", root + "/log").awaitTermination()
     rows, _ = store.load(spark, root + "/library")
     return rows.select("id", "title", "url", "source_file_id", "instapaper_url")
 
 
+def _journal_of(spark, d):
+    held = journal.Journal(spark, shared_folder(spark), 16)
+    held.create(tables.library(spark, d))
+    return held
+
+
+def _journal_merged(spark, d):
+    """The import of ``merge_upsert`` as a change in the journal, half of its buckets compacted."""
+    held = _journal_of(spark, d)
+    held.put(incoming(spark, d))
+    held.set_favorite(["no such id"], True)
+    held.compact(1)
+    star = F.coalesce("is_favorite", F.lit(False)).alias("is_favorite")
+    return held.library().select("id", "seq", "title", "url", "source_file_id", "deleted_at", star)
+
+
+def _journal_changes(spark, d):
+    """Trash, stars, restoring and tombstones, one over the other, then an import that brings some back."""
+    held = _journal_of(spark, d)
+    held.trash(_labelled(spark, d, 0), "2024-06-01T00:00:00.000Z")
+    held.set_favorite(_labelled(spark, d, 0), True)
+    held.restore(_labelled(spark, d, 1))
+    held.purge(tables.page_list(spark, d).where(F.col("seq") % 3 == 0).select("id"))
+    held.put(incoming(spark, d).where(F.col("source_file_id").isNotNull() & ~F.col("id").startswith("user") & (F.col("in_seq") % 6 == 0)))
+    return held.library().select("id", "title", "deleted_at", F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"))
+
+
+def _stream_files(spark, d):
+    """The pages as files: every fifth is cut short, and every tenth page has no address."""
+    pages = tables.table(spark, d, "pages").withColumn("file", F.floor(F.col("page_id") / 20))
+    url = F.when(F.col("page_id") % 10 != 3, F.col("url")).alias("url")
+    record = F.struct(F.concat(F.lit("p"), "page_id").alias("id"), url, F.md5("html").alias("title"))
+    texts = pages.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list(record))).alias("text"))
+    cut = F.when(F.col("file") % 5 == 4, F.substr("text", F.lit(1), F.length("text") - 20)).otherwise(F.col("text"))
+    folder = shared_folder(spark)
+    texts.select("file", cut.alias("text")).repartition("file").write.partitionBy("file").text(folder)
+    return folder
+
+
+def _streamed_changes(spark, d):
+    root = shared_folder(spark)
+    held = journal.Journal(spark, root + "/library", 16)
+    files = _stream_files(spark, d) + "/*"
+    drop_folder.import_changes(spark, files, held, root + "/log", files_per_batch=7).awaitTermination()
+    return held
+
+
+def _stream_counts(spark, d):
+    told = drop_folder.report(spark, _streamed_changes(spark, d))
+    return told.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("bigint").alias("file"), "imported", "dropped_no_url", "broken")
+
+
 def _mixed_files(spark, d):
     """The pages as JSON documents that disagree: ids as number or text, tags as list or text, stars as number, text or flag."""
     pages = tables.table(spark, d, "pages").withColumn("file", F.floor(F.col("page_id") / 100))
@@ -407,8 +459,8 @@ def _mixed_files(spark, d):
     ]
     folder = shared_folder(spark)
     for n, kind in enumerate(kinds):
-        # The kind with page 0 has text: a number 0 counts as no id.
-        uid = F.col("page_id").cast("bigint" if n == 1 else "string").alias("id")
+        # Page 0 has a number, which counts as no id.
+        uid = F.col("page_id").cast("bigint" if n == 0 else "string").alias("id")
         record = F.struct(uid, "url", F.md5("html").alias("title"), *kind)
         files = pages.where(F.col("file") % len(kinds) == n).groupBy("file")
         made = files.agg(F.sort_array(F.collect_list(record)).alias("bookmarks")).select("bookmarks")
@@ -515,6 +567,10 @@ def write_queries() -> dict:
         "stream_import": _streamed,
         "json_mixed_types": _mixed_import,
         "stream_mixed": _mixed_stream,
+        "store_merge": _journal_merged,
+        "store_changes": _journal_changes,
+        "stream_import_counts": _stream_counts,
+        "stream_changes": lambda s, d: _streamed_changes(s, d).library().select("id", "title", "url", "source_file_id"),
     }
 
 
