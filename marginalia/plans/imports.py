@@ -52,8 +52,8 @@ def prepare(
 ) -> Import:
     """Read files of any supported format as one import.
 
-    Files of an unknown type, empty ones and official exports fail for themselves; the others go
-    on. The normalised rows are staged once in the shared folder; positions, counts, owners and
+    Files of an unknown type, empty and unreadable ones and official exports fail for themselves; the
+    others go on. A list that has a header and no rows is a source without rows. The normalised rows are staged once in the shared folder; positions, counts, owners and
     the later merge read that table instead of parsing the files again. The library is not touched.
 
     A file called like one of ``sources`` is kept beside it under a name of its own (``keep``), fails
@@ -63,10 +63,10 @@ def prepare(
         raise ValueError(f"unknown on_collision: {on_collision}")
     sources = spark.createDataFrame([], SOURCES) if sources is None else sources
     listing = file_lists.listed(spark, paths, profile, source_id)
-    failed = {f["file"]: "unsupported type" for f in listing if not f["type"]}
+    failed = {f["file"]: "unsupported type" if not f["type"] else "empty" for f in listing if not f["type"] or not f["size"]}
     by_reader = defaultdict(list)
     for f in listing:
-        if f["type"]:
+        if f["file"] not in failed:
             by_reader[READERS[f["type"]]].append(f)
     scans = [(reader, reader(spark, group)) for reader, group in by_reader.items()]
     for _, scan in scans:
@@ -109,7 +109,7 @@ def prepare(
                     keep=(FILE, BLOCK, ROW, PARSE_ERROR, "owner", "_named"),
                 )
             )
-    rows = written_once(_union(normalized))
+    rows = written_once(_union(normalized) if normalized else _no_rows(spark))
     owners = envelope.owners(rows, files, manifest, sources)
     own_names = files.select(F.col("file").alias(FILE), F.col("name").alias("_file_name"))
     owner_names = owners.select(F.col("file").alias(FILE), "owner", F.col("name").alias("_owner_name"))
@@ -160,6 +160,15 @@ def prepare(
     return Import(incoming, added, report, replaced)
 
 
+def _no_rows(spark: SparkSession) -> DataFrame:
+    """What the rows of no file look like once they are normalised."""
+    keep = f"{FILE} string, {BLOCK} long, {ROW} long, {PARSE_ERROR} boolean, owner string, _named string"
+    return ingest.normalize(
+        spark.createDataFrame([], keep), {}, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False),
+        keep=(FILE, BLOCK, ROW, PARSE_ERROR, "owner", "_named"),
+    )
+
+
 def _checked(spark, files: DataFrame, headers: list[DataFrame], manifests) -> DataFrame:
     """Files with the verdict on their column names."""
     empty = spark.createDataFrame([], "file string, headers array<string>")

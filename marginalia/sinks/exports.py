@@ -1,16 +1,18 @@
 """Writing lists: unified JSON and CSV, and every source in its own format."""
 
 import os
+import re
 import sqlite3
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import active
 from ..schema import LIBRARY
 from ..sources.csv_lists import writer_dialect
 from .columns import export_columns, hardened, known_columns, project
+from .store import STRETCH
 
 # Version of the unified format.
 UNIFIED_VERSION = 2
@@ -60,31 +62,69 @@ def csv_rows(rows: DataFrame, keep=()) -> DataFrame:
     return hardened(flat, keep)
 
 
-def _write_csv(rows: DataFrame, path: str, delimiter: str, linebreak: str, partition=()) -> None:
-    # Spark would trim cells and write "" for empty ones by default.
-    rows.write.partitionBy(*partition).options(
-        header=True,
-        sep=delimiter,
-        lineSep=linebreak,
-        quote='"',
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-        emptyValue="",
-    ).csv(path)
+def _cell(cell: Column, delimiter: str) -> Column:
+    """A cell as it stands in a line: quoted where it would be read as something else."""
+    odd = F.contains(cell, F.lit(delimiter)) | cell.rlike('["\r\n\ufeff]') | F.startswith(cell, F.lit(" ")) | F.endswith(cell, F.lit(" "))
+    return F.when(odd, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+
+
+def _write_csv(rows: DataFrame, path: str, delimiter: str, linebreak: str, partition: str | None = None) -> None:
+    """Rows in the order of ``seq``, which is no column of the files, each file with a header.
+
+    Spark's CSV writer gives the line ends within cells the line end of the file, so lines are made here and written as text.
+    ``partition`` names the column that names folders; a column called ``_`` and then like it is written under its plain name.
+    """
+    names = [c for c in rows.columns if c not in (partition, "seq")]
+    shown = [partition if c == f"_{partition}" else c for c in names]
+    header = F.lit(delimiter.join(csv_cells(shown, delimiter)))
+    cells = [_cell(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), delimiter) for c in names]
+    lines = rows.select(*([partition] if partition else []), "seq", F.concat_ws(delimiter, *cells).alias("line"))
+    if not partition:
+        # The first line of every task begins with the header.
+        first = F.monotonically_increasing_id() % (1 << 33) == 0
+        ordered = lines.orderBy("seq").select(F.when(first, F.concat(header, F.lit(linebreak), "line")).otherwise(F.col("line")).alias("line"))
+        ordered.write.option("lineSep", linebreak).text(path)
+    else:
+        # Rows go by stretches of positions, so a large source is written by many tasks; every task's part of a source has a header.
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = lines.withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+        task = F.pmod(F.hash(partition, "stretch"), F.lit(n)).alias("task")
+        heads = placed.groupBy(partition, task).agg(F.min("stretch").alias("stretch"))
+        heads = heads.select(partition, F.lit(None).cast("bigint").alias("seq"), header.alias("line"), "stretch")
+        dealt = placed.unionByName(heads).repartition(n, partition, "stretch").sortWithinPartitions(partition, F.col("seq").asc_nulls_first())
+        dealt.select(partition, "line").write.partitionBy(partition).option("lineSep", linebreak).text(path)
+    as_lists(rows.sparkSession, path)
+
+
+def as_lists(spark: SparkSession, path: str) -> None:
+    """Gives a finished table of text files the ending of lists; files are renamed, not copied."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files, todo = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), [jvm_path(path)]
+    while todo:
+        for status in files.listStatus(todo.pop()):
+            at = status.getPath()
+            if status.isDirectory():
+                todo.append(at)
+            elif at.getName().endswith(".txt"):
+                files.rename(at, jvm_path(at.getParent(), at.getName().removesuffix(".txt") + ".csv"))
+
+
+def csv_cells(cells: list[str], delimiter: str) -> list[str]:
+    """The same for names that are known beforehand."""
+    odd = re.compile("[\"\r\n\ufeff]|^ | $")
+    return ['"' + c.replace('"', '""') + '"' if delimiter in c or odd.search(c) else c for c in cells]
 
 
 def write_unified_csv(library: DataFrame, path: str) -> None:
     """Live rows with all columns, comma separated."""
-    _write_csv(csv_rows(active(library).orderBy("seq").select(*EXPORTED)), path, *writer_dialect(None, None))
+    _write_csv(csv_rows(active(library).select("seq", *EXPORTED)), path, *writer_dialect(None, None))
 
 
 def save_back(library: DataFrame, sources: DataFrame, path: str) -> list[str]:
-    """Every CSV and JSON source in its own columns, and CSV in its own dialect.
+    """Every CSV and JSON source in its own columns, and CSV in its own dialect, rows in order.
 
-    Writes ``<path>/<n>/source_file_id=<id>/`` with one ``<n>`` per layout, and returns these
-    folders. Rows go to their folders from wherever they are, so a large source is written by many
-    tasks.
+    Writes ``<path>/<n>/source_file_id=<id>/`` with one ``<n>`` per layout, and returns these folders. A CSV list
+    without a layout of its own holds all columns, its ``source_file_id`` too.
     """
     described = sources.where(F.col("type").isin("csv", "json")).select(
         "id", "type", "profile", "csv_columns", "csv_dialect.delimiter", "csv_dialect.linebreak"
@@ -97,21 +137,22 @@ def save_back(library: DataFrame, sources: DataFrame, path: str) -> list[str]:
             same = same & F.col(name).eqNullSafe(_literal(kind[name]))
         ids = described.where(same).select(F.col("id").alias("source_file_id"))
         rows = active(library).join(ids, "source_file_id", "left_semi")
-        columns = export_columns(kind["csv_columns"], kind["profile"]) or [c for c in EXPORTED if c != "source_file_id"]
-        if kind["csv_columns"] or kind["profile"] == "scraper":
-            rows = project(rows, [c for c in columns if c != "source_file_id"], keep=("source_file_id",))
+        columns = export_columns(kind["csv_columns"], kind["profile"])
+        text = kind["type"] == "csv"
+        # The folders' column is written beside them under its own name.
+        aside = lambda c: "_source_file_id" if text and c == "source_file_id" else c
+        if columns:
+            rows = project(rows, [aside(c) for c in columns if text or c != "source_file_id"], keep=("source_file_id", "seq"))
         else:
-            rows = rows.select("source_file_id", *columns)
+            own = [F.col(c).alias(aside(c)) for c in EXPORTED if text or c != "source_file_id"]
+            rows = rows.select("source_file_id", "seq", *own)
         folder = f"{path.rstrip('/')}/{n}"
-        if kind["type"] == "csv":
-            _write_csv(
-                csv_rows(rows, keep=("source_file_id",)),
-                folder,
-                *writer_dialect(kind["delimiter"], kind["linebreak"]),
-                partition=("source_file_id",),
-            )
+        if text:
+            dialect = writer_dialect(kind["delimiter"], kind["linebreak"])
+            _write_csv(csv_rows(rows, keep=("source_file_id",)), folder, *dialect, partition="source_file_id")
         else:
-            rows.write.partitionBy("source_file_id").json(folder)
+            dealt = rows.repartition("source_file_id", F.floor(F.col("seq") / STRETCH)).sortWithinPartitions("source_file_id", "seq")
+            dealt.drop("seq").write.partitionBy("source_file_id").json(folder)
         written.append(folder)
     return written
 

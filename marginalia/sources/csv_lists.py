@@ -206,17 +206,20 @@ def records(spark: SparkSession, paths: list[str], delimiter: str) -> DataFrame:
 
 def scan(spark: SparkSession, files: list[dict]) -> Scan:
     """One reader per distinct header and dialect; every value is text."""
-    headers = {r[FILE]: r for r in sniff(spark, [f["file"] for f in files]).collect()}
+    headers = {r[FILE]: r for r in sniff(spark, [f["path"] for f in files]).collect()}
     groups, layouts, failed = defaultdict(list), [], {}
     for f in files:
         found = headers.get(f["file"])
         if found is None or found["header"] is None:
             failed[f["file"]] = "empty"
             continue
+        if re.search("[\x00\ufffd]", found["header"]):
+            failed[f["file"]] = "not text in UTF-8"
+            continue
         delimiter, line_end, columns = header_layout(found["header"])
         # Line ends of a kind that splits cannot be found by leave a file to one task.
         reading = WHOLE if line_end == "\r" else RECORDS if found["spans_lines"] and len(delimiter) == 1 else LINES
-        groups[(delimiter, tuple(columns), reading)].append(f["file"])
+        groups[(delimiter, tuple(columns), reading)].append(f["path"])
         dialect = (delimiter if usable_delimiter(delimiter) else None, line_end)
         layouts.append((f["file"], list(columns), dialect, None))
     parts = []

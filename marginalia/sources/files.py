@@ -1,5 +1,6 @@
 """What every scan returns, and the list of files of an import."""
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -36,25 +37,53 @@ class Scan:
     failed: dict[str, str] = field(default_factory=dict)
 
 
+# What a path stands for more than itself by.
+_GLOB = re.compile(r"[][{}*?\\]")
+
+
+def _statuses(spark: SparkSession, path: str) -> list:
+    """The files a path or pattern stands for; of a folder all that are not hidden, in folders of a partitioned table too."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, found = list(files.globStatus(jvm_path) or ()), []
+    while todo:
+        status = todo.pop()
+        if not status.isDirectory():
+            found.append(status)
+            continue
+        for inner in files.listStatus(status.getPath()):
+            name = inner.getPath().getName()
+            if not name.startswith(("_", ".")) and (not inner.isDirectory() or "=" in name):
+                todo.append(inner)
+    return found
+
+
 def listed(
     spark: SparkSession, paths: list[str], profile: str, source_id: Callable[[str], str] | None = None
 ) -> list[dict]:
     """One dict per file, in the order the paths were given; files in a folder go by path.
 
-    Only names are read. The list has one short entry per file, which Spark's own file index keeps
-    on the driver as well.
+    Files without a byte are listed too, though no reader sees them. Only names and sizes are read. The list
+    has one short entry per file, which Spark's own file index keeps on the driver as well.
     """
     make_id = source_id or (lambda name: f"file_{uuid.uuid4()}")
-    found = []
+    found = {}
     for path in paths:
-        meta = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_name")
-        found += [(r[0], r[1]) for r in sorted(meta.collect())]
+        statuses = _statuses(spark, path)
+        if not statuses:
+            raise FileNotFoundError(path)
+        # Written as the readers write it.
+        written = {spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath().toString()).toUri().toString(): s for s in statuses}
+        found |= dict(sorted(written.items()))
     files = []
-    for pos, (file, name) in enumerate(dict(found).items()):
+    for pos, (file, status) in enumerate(found.items()):
+        name = status.getPath().getName()
         kind = name.rpartition(".")[2].lower()
         files.append(
             {
                 "file": file,
+                "path": _GLOB.sub(r"\\\g<0>", status.getPath().toString()),
+                "size": status.getLen(),
                 "pos": pos,
                 "name": name,
                 "type": kind if kind in SOURCE_TYPES else "",

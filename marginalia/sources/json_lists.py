@@ -56,7 +56,7 @@ def scan(spark: SparkSession, files: list[dict]) -> Scan:
 
     A JSON document is read by one task, because it has no places to split it at.
     """
-    paths = [f["file"] for f in files]
+    paths = [f["path"] for f in files]
     options = {"multiLine": True, "columnNameOfCorruptRecord": PARSE_ERROR}
     schema = _document_schema(spark.read.options(**options).json(paths).schema)
     read = spark.read.options(**options).schema(schema).json(paths)

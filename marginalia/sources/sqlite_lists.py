@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import ALIASES, BLOCK, FILE, PARSE_ERROR, ROW, entries_of, lower_keys
+from ..scratch import written_once
 from .files import RawRows, Scan
 
 BATCH = 5000
@@ -16,9 +17,18 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def _first_table(db):
-    found = db.execute("SELECT name FROM sqlite_master WHERE type = 'table' LIMIT 1").fetchone()
-    return found and found[0]
+def _opened(content: bytes):
+    """A database and its first table, if it has one; neither where it cannot be read to its end."""
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(content)
+        found = db.execute("SELECT name FROM sqlite_master WHERE type = 'table' LIMIT 1").fetchone()
+        if found and db.execute("PRAGMA quick_check").fetchone()[0] != "ok":
+            raise sqlite3.DatabaseError("damaged pages")
+        return db, found and found[0]
+    except sqlite3.Error:
+        db.close()
+        return None, None
 
 
 def _text(name: str, value):
@@ -38,9 +48,7 @@ def _text(name: str, value):
 def _read_rows(batches):
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
-            db = sqlite3.connect(":memory:")
-            db.deserialize(content)
-            table = _first_table(db)
+            db, table = _opened(content)
             if table is not None:
                 cursor = db.execute(f"SELECT * FROM {_quoted(table)}")
                 names = [c[0] for c in cursor.description]
@@ -49,26 +57,27 @@ def _read_rows(batches):
                     entries = [[(n, _text(n, v)) for n, v in zip(names, values)] for values in rows]
                     yield pd.DataFrame({"file": file, "row": range(row, row + len(rows)), "entries": entries})
                     row += len(rows)
-            db.close()
+            if db:
+                db.close()
 
 
 def _read_layouts(batches):
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
-            db = sqlite3.connect(":memory:")
-            db.deserialize(content)
-            table = _first_table(db)
+            db, table = _opened(content)
             columns = [r[1] for r in db.execute(f"PRAGMA table_info({_quoted(table)})")] if table else []
-            db.close()
-            yield pd.DataFrame({"file": [file], "table": [table], "columns": [columns]})
+            yield pd.DataFrame({"file": [file], "table": [table], "columns": [columns], "broken": [db is None]})
+            if db:
+                db.close()
 
 
 def scan(spark: SparkSession, files: list[dict]) -> Scan:
     """Rows as maps from column name to text; each database is read inside a task."""
-    paths = [f["file"] for f in files]
+    paths = [f["path"] for f in files]
     binary = spark.read.format("binaryFile").load(paths)
     content = binary.select(F.col("_metadata.file_path").alias("path"), "content")
-    layouts = content.mapInPandas(_read_layouts, "file string, table string, columns array<string>")
+    layouts = written_once(content.mapInPandas(_read_layouts, "file string, table string, columns array<string>, broken boolean"))
+    failed = {r["file"]: "malformed" for r in layouts.where("broken").select("file").collect()}
     rows = content.mapInPandas(_read_rows, "file string, row long, entries array<struct<key:string,value:string>>")
     rows = rows.select(
         F.col("file").alias(FILE),
@@ -77,7 +86,7 @@ def scan(spark: SparkSession, files: list[dict]) -> Scan:
         F.lit(False).alias(PARSE_ERROR),
         lower_keys(F.col("entries")).alias("entries"),
     )
-    recorded = layouts.select(
+    recorded = layouts.where(~F.col("broken")).select(
         "file",
         F.lit(None).cast("array<string>").alias("csv_columns"),
         F.lit(None).cast("struct<delimiter:string,linebreak:string>").alias("csv_dialect"),
@@ -85,4 +94,4 @@ def scan(spark: SparkSession, files: list[dict]) -> Scan:
     )
     # Databases are not checked against a header.
     headers = spark.createDataFrame([], "file string, headers array<string>")
-    return Scan([RawRows(rows, entries_of("entries"))], headers, recorded)
+    return Scan([RawRows(rows, entries_of("entries"))], headers, recorded, None, failed)

@@ -377,6 +377,54 @@ def _import_report(spark, d):
     return totals.select("imported", "parse_errors", "dropped_no_url", "failed", "displaced")
 
 
+def _file(spark, path: str, data: bytes) -> str:
+    """A small file beside those that are made of the tables."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
+def _lists_of_pages(spark, d, row, per_file: int) -> str:
+    """The pages as CSV files with the columns id, url and title, every line as ``row`` writes it."""
+    pages = tables.table(spark, d, "pages").withColumn("file", F.floor(F.col("page_id") / per_file))
+    lines = pages.select("file", "page_id", row.alias("line"))
+    heads = pages.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("page_id"), F.lit("id,url,title").alias("line"))
+    folder = shared_folder(spark)
+    dealt = lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "page_id")
+    dealt.select("file", "line").write.partitionBy("file").text(folder)
+    exports.as_lists(spark, folder)
+    return folder
+
+
+def _mixed_report(spark, d):
+    """Good and ragged lists beside files that fail: each for itself, the others go on."""
+    page = F.col("page_id")
+    url = F.when(page % 10 != 3, F.col("url")).otherwise("")
+    row = F.concat(page.cast("string"), F.lit(","), url, F.lit(","), F.md5("html"), F.when(page % 10 == 0, ",one too many").otherwise(""))
+    folder, good = shared_folder(spark), _lists_of_pages(spark, d, row, 50)
+    odd = {
+        "zero.csv": b"", "zero.json": b"", "broken.json": b'[{"id": 1, "url": "https://a.example", ', "notes.txt": b"no list", "head.csv": b"id,url,title\n",
+        "wide.csv": "id,url,title\n1,https://a.example,t\n".encode("utf-16"), "official.csv": b"URL,Title,Selection,Folder,Timestamp\nhttps://a.example,t,,f,1\n",
+        "mine.csv": b"id,url,title\n1,https://a.example,t\n",
+    }
+    paths = [_file(spark, f"{folder}/{name}", data) for name, data in odd.items()]
+    known = source_table(spark, d).limit(1).withColumn("name", F.lit("mine.csv"))
+    prepared = imports.prepare(spark, [*paths, good], sources=known, source_id=lambda name: f"file_{name}", on_collision=imports.REFUSE)
+    totals = imports.totals(tables.library(spark, d), prepared)
+    return totals.withColumn("failed_names", F.array_join("failed_names", ","))
+
+
+def _quoted_split(spark, d):
+    """The pages' markup, line ends and all, in quotes; every hundredth line has a cell too many."""
+    quoted = F.concat(F.lit('"'), F.replace(F.concat(F.lit("first\nsecond "), "html"), F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat(F.col("page_id").cast("string"), F.lit(","), "url", F.lit(","), quoted, F.when(F.col("page_id") % 100 == 50, ",more").otherwise(""))
+    prepared = _prepared(spark, _lists_of_pages(spark, d, row, 1000), "scraper")
+    rows = prepared.incoming.select("id", "in_seq", F.md5("title").alias("title_md5"))
+    return rows.withColumn("parse_errors", prepared.report.agg(F.sum("parse_errors")).scalar())
+
+
 def _header_verdicts(spark, d):
     return _prepared(spark, _csv_export(spark, d), "scraper").report.select("verdict", "suggested").distinct()
 
@@ -563,6 +611,8 @@ def write_queries() -> dict:
         "save_back_csv": _save_back,
         "store_round_trip": _stored,
         "import_report": _import_report,
+        "import_mixed_report": _mixed_report,
+        "csv_quoted_split": _quoted_split,
         "header_verdicts": _header_verdicts,
         "stream_import": _streamed,
         "json_mixed_types": _mixed_import,

@@ -238,6 +238,59 @@ def test_save_back(spark, tmp_path, library):
     assert {tuple(r) for r in exports.unmapped_report(sources).collect()} == {("s1", "a.csv", 1)}
 
 
+def test_save_back_gives_the_bytes_back(spark, tmp_path):
+    lists = {
+        "a.csv": 'id;title;url;preview;tags\n1;t1;https://a.com;p;news\n2;"two\nlines";https://b.com;"a;b ""c""";"x,y "',
+        "b.csv": "id,title,url\r\n1,t1,https://a.com\r\n" + '2,"line\r\nend, \n inner",https://b.com',
+        "c.csv": "id\ttitle\turl\tsource_file_id\n" + "\n".join(f"{k}\tt{k}\thttps://c.com/{k}\t" for k in range(300)),
+    }
+    for name, text in lists.items():
+        write(tmp_path, name, text)
+    for name, text in lists.items():
+        prepared = imports.prepare(spark, [str(tmp_path / name)], source_id=lambda name: "own")
+        rows, sources = imports.apply(spark.createDataFrame([], LIBRARY), spark.createDataFrame([], SOURCES), prepared)
+        (folder,) = exports.save_back(rows, sources, str(tmp_path / f"back-{name}"))
+        (file,) = [os.path.join(at, n) for at, _, names in os.walk(folder) for n in names if n.endswith(".csv")]
+        line_end = "\r\n" if name == "b.csv" else "\n"
+        assert open(file, newline="").read() == text + line_end
+
+
+def test_save_back_of_all_columns(spark, tmp_path, library):
+    rows = library({"id": "1", "source_file_id": "s1"})
+    sources = spark.createDataFrame([("s1", 0, "a.csv", "csv", "unified", None, None, None)], SOURCES)
+    (folder,) = exports.save_back(rows, sources, str(tmp_path / "all"))
+    back = spark.read.option("header", True).csv(f"{folder}/source_file_id=s1").first()
+    assert back["source_file_id"] == "s1" and back["id"] == "1"
+
+
+def test_files_that_fail_for_themselves(spark, tmp_path):
+    write(tmp_path, "good list [1] 50%.csv", "id,title,url\n1,t,https://a.com\n")
+    write(tmp_path, "zero.csv", "")
+    write(tmp_path, "blank.csv", "\n\n  \n")
+    write(tmp_path, "zero.json", "")
+    write(tmp_path, "broken.json", '[{"id": 1, ')
+    write(tmp_path, "head.csv", "id,title,url\n")
+    (tmp_path / "wide.csv").write_bytes("id,title,url\n1,t,https://a.com\n".encode("utf-16"))
+    (tmp_path / "bad.sqlite").write_bytes(b"SQLite format 3\0" + b"x" * 5000)
+    (tmp_path / "zero.db").write_bytes(b"")
+    prepared = prepare(spark, tmp_path)
+    assert {n: (r["imported"], r["failure"]) for n, r in report(prepared).items()} == {
+        "good list [1] 50%.csv": (1, None), "head.csv": (0, None), "zero.csv": (0, "empty"), "blank.csv": (0, "empty"), "zero.json": (0, "empty"),
+        "broken.json": (0, "malformed"), "wide.csv": (0, "not text in UTF-8"), "bad.sqlite": (0, "malformed"), "zero.db": (0, "empty"),
+    }
+    assert {r["name"] for r in prepared.sources.collect()} == {"good list [1] 50%.csv", "head.csv"}
+    with pytest.raises(FileNotFoundError):
+        prepare(spark, tmp_path / "nowhere")
+
+
+def test_an_import_of_failures_alone(spark, tmp_path):
+    write(tmp_path, "zero.csv", "")
+    write(tmp_path, "g.txt", "x")
+    prepared = prepare(spark, tmp_path)
+    assert {n: r["failure"] for n, r in report(prepared).items()} == {"zero.csv": "empty", "g.txt": "unsupported type"}
+    assert incoming(prepared) == [] and prepared.sources.count() == 0
+
+
 def test_sqlite_export(spark, tmp_path, library):
     rows = library({"id": "1", "title": "x", "tags": ["a", "b"], "is_favorite": True}, {"id": "2"}, {"id": "3"})
     layout = [("s", 0, "x.db", "db", "scraper", None, None, ("odd \"name\"", ["id", "Tags", "favorite", "zip"])), ("t", 1, "y.db", "db", "scraper", None, None, None)]
