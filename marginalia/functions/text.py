@@ -135,9 +135,14 @@ def _cjk_stop(word: str, language: str) -> str:
     return f"({word} IN ({quoted(STOP_ZH)}) OR ({language} = 'ja' AND {word} IN ({quoted(STOP_JA)})))"
 
 
+def content_words(words: str) -> Column:
+    """The words of a document, null in the place of those that are no Latin content words."""
+    return F.expr(f"transform({words}, w -> CASE WHEN w RLIKE \"{LATIN}\" AND NOT {_noise('w', CLOUD_EN)} THEN w END)")
+
+
 def keyword_surfaces(words: str) -> Column:
     """Content words of a document and pairs of different neighbours that are both content words."""
-    content = F.expr(f"transform({words}, w -> CASE WHEN w RLIKE \"{LATIN}\" AND NOT {_noise('w', CLOUD_EN)} THEN w END)")
+    content = content_words(words)
     following = F.slice(content, 2, F.greatest(F.size(words), F.lit(1)))
     neighbours = F.zip_with(content, following, lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))
     return F.array_compact(F.concat(content, neighbours))

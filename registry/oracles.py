@@ -26,6 +26,11 @@ sources AS (
   UNION ALL SELECT 'unused', count(*), 'unused.csv' FROM region)"""
 
 
+# Latin letters and what stands for them where a query needs a text in Han characters.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+HAN = "".join(chr(0x4E00 + 64 * k) for k in range(len(LETTERS)))
+
+
 def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -163,6 +168,22 @@ edges AS (
   GROUP BY a.seq, b.seq HAVING sum(a.w * b.w) / (max(na.n) * max(nb.n)) > 0.15)"""
 
 
+def _term_sql(count: str) -> str:
+    return f"CASE WHEN {count} > 0 THEN ({count}) * ln({count}) ELSE 0 END"
+
+
+COLLOCATIONS = f"""WITH {LIBRARY}, {words_sql('active')},
+content AS (SELECT seq, pos, CASE WHEN regexp_matches(w, '^[a-z0-9'']+$') AND NOT {noise_sql("w", CLOUD_EN)} THEN w END AS c FROM words),
+pairs AS (SELECT x.seq, x.pos, x.c AS a, y.c AS b FROM content x JOIN content y ON y.seq = x.seq AND y.pos = x.pos + 1 WHERE x.c <> y.c),
+counts AS (SELECT a, b, count(*)::DOUBLE AS k FROM pairs GROUP BY a, b),
+firsts AS (SELECT a, sum(k) AS r FROM counts GROUP BY a), seconds AS (SELECT b, sum(k) AS c FROM counts GROUP BY b),
+tables AS (SELECT a, b, k, r, c, (SELECT sum(k) FROM counts) AS n FROM counts JOIN firsts USING (a) JOIN seconds USING (b)),
+known AS (SELECT a, b, k::BIGINT AS cnt, ratio FROM (
+    SELECT *, 2 * ({_term_sql("k")} + {_term_sql("r - k")} + {_term_sql("c - k")} + {_term_sql("n - r - c + k")}
+                   - {_term_sql("r")} - {_term_sql("n - r")} - {_term_sql("c")} - {_term_sql("n - c")} + {_term_sql("n")}) AS ratio FROM tables)
+  WHERE ratio >= 10.83 AND k * n > r * c AND k >= 2)"""
+
+
 def read_oracles() -> dict[str, str]:
     """Searches, counts, terms, similarity and the graph."""
     pages = f"(SELECT page_id AS seq, {domain_sql('url')} AS domain FROM pages)"
@@ -239,6 +260,28 @@ def read_oracles() -> dict[str, str]:
         "term_frequency": f"WITH {LIBRARY}, {terms_sql('texts')} SELECT seq, term, tf FROM postings",
         "cloud_term_counts": f"""WITH {LIBRARY}, {terms_sql('active', CLOUD_EN)}
                                  SELECT term AS word, count(*) AS cnt FROM terms WHERE term IS NOT NULL GROUP BY term""",
+        "zh_words": f"""WITH {LIBRARY},
+            lines AS (SELECT regexp_replace(translate(lower(left(content, 500)), '{LETTERS} ', '{HAN}'), '[^一-龥]', ' ', 'g') AS t FROM texts),
+            marked AS (SELECT '^' || unnest(regexp_extract_all(t, '[一-龥]+')) || '$' AS m FROM lines),
+            sized AS (SELECT m, unnest(range(1, 6)) AS n FROM marked),
+            pieces AS (SELECT n, substr(m, unnest(range(1, length(m) - n + 2)), n) AS gram FROM sized),
+            counts AS (SELECT gram, n, count(*) AS cnt FROM pieces WHERE gram NOT IN ('^', '$') GROUP BY gram, n),
+            plain AS (SELECT * FROM counts WHERE NOT contains(gram, '^') AND NOT contains(gram, '$')),
+            cut AS (SELECT gram, n, cnt, unnest(range(1, n)) AS at_ FROM plain WHERE n BETWEEN 2 AND 4),
+            told AS (SELECT c.gram, c.n, c.cnt, min(ln(c.cnt::DOUBLE * (SELECT sum(cnt) FROM plain WHERE n = 1) / l.cnt / r.cnt)) AS information
+                     FROM cut c JOIN plain l ON l.gram = left(c.gram, at_) JOIN plain r ON r.gram = substr(c.gram, at_ + 1) GROUP BY ALL),
+            sides AS (SELECT substr(gram, 2) AS gram, 'before' AS side, cnt FROM counts WHERE n > 1
+                      UNION ALL SELECT left(gram, n - 1), 'behind', cnt FROM counts WHERE n > 1),
+            spread AS (SELECT gram, side, ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt) AS entropy FROM sides GROUP BY gram, side)
+            SELECT t.gram, t.n::INTEGER AS n, t.cnt, round(information, 6) AS information, round(b.entropy, 6) AS before, round(e.entropy, 6) AS behind
+            FROM told t JOIN spread b ON b.gram = t.gram AND b.side = 'before' JOIN spread e ON e.gram = t.gram AND e.side = 'behind'
+            WHERE t.cnt >= 5 AND information >= 2.0 AND least(b.entropy, e.entropy) >= 0.7""",
+        "search_indexed": search_sql(("tion",), ("the",)),
+        "collocations": f"{COLLOCATIONS} SELECT a, b, cnt, round(ratio, 6) AS ratio FROM known",
+        "phrase_counts": f"""{COLLOCATIONS},
+            found AS (SELECT p.*, pos - row_number() OVER (PARTITION BY seq ORDER BY pos) AS run FROM pairs p JOIN known USING (a, b)),
+            runs AS (SELECT seq, first(a ORDER BY pos) || ' ' || string_agg(b, ' ' ORDER BY pos) AS phrase, (count(*) + 1)::INTEGER AS words FROM found GROUP BY seq, run)
+            SELECT phrase, words, count(*) AS cnt, min(seq) AS first_seq FROM runs GROUP BY phrase, words""",
         "keyword_pair_counts": f"""
           WITH {LIBRARY}, {words_sql('active')},
           content AS (SELECT seq, pos, CASE WHEN regexp_matches(w, '^[a-z0-9'']+$') AND NOT {noise_sql('w', CLOUD_EN)}

@@ -6,14 +6,14 @@ from pyspark.sql import types as T
 
 from marginalia.functions import ids, values, web
 from marginalia.functions import text as tx
-from marginalia.operators import counts, graph, ingest, merge, neighbours, search, similarity, terms
+from marginalia.operators import counts, graph, ingest, lexicon, merge, neighbours, phrases, search, search_index, similarity, terms
 from marginalia.plans import imports
 from marginalia.schema import SOURCES
 from marginalia.scratch import shared_folder
 from marginalia.sinks import columns, exports, journal, store
 from marginalia.streaming import drop_folder
 
-from . import tables
+from . import oracles, tables
 from .oracles import TARGET
 
 DIGITS = 6
@@ -35,6 +35,27 @@ def _ranked_view(columns, **arguments):
     return lambda spark, d: search.ranked(search.view(tables.library(spark, d), **arguments).select(*columns))
 
 
+def _indexed(spark, d):
+    root = shared_folder(spark)
+    store.save(tables.library(spark, d), source_table(spark, d), root)
+    rows, _ = store.load(spark, root)
+    search_index.build(rows, root + "/index")
+    return search_index.view(spark, root + "/index", rows, "tion the", sort=None).select("id", "score")
+
+
+def _written_in_han(spark, d):
+    """The articles with the letters of their first five hundred characters as Han characters, blanks as nothing."""
+    text = F.lower(F.left("content", F.lit(500)))
+    han = F.translate(text, oracles.LETTERS + " ", oracles.HAN)
+    return tables.texts(spark, d).select("seq", F.lit("").alias("title"), F.regexp_replace(han, "[^一-龥]", " ").alias("article_preview"))
+
+
+def _learnt_words(spark, d):
+    told = lexicon.statistics(lexicon.grams(lexicon.runs(_written_in_han(spark, d))))
+    fine = (F.col("cnt") >= 5) & (F.col("information") >= 2.0) & (F.least("before", "behind") >= 0.7)
+    return rounded(told.where(fine), "information", "before", "behind")
+
+
 def _similar(frame: DataFrame, *extra: str) -> DataFrame:
     return rounded(frame, "score", *[c for c in extra if c == "share"]).select("id", "seq", "score", *extra)
 
@@ -145,6 +166,10 @@ def read_queries() -> dict:
         "term_frequency": lambda s, d: terms.postings(t.texts(s, d)).where(F.col("term").isNotNull()),
         "cloud_term_counts": _cloud_term_counts,
         "keyword_pair_counts": _pairs,
+        "collocations": lambda s, d: rounded(phrases.collocations(phrases.neighbours(search.active(tables.library(s, d)))), "ratio"),
+        "phrase_counts": lambda s, d: phrases.phrases(search.active(tables.library(s, d))),
+        "search_indexed": _indexed,
+        "zh_words": _learnt_words,
         "idf_table": lambda s, d: rounded(terms.idf_table(t.texts(s, d)), "idf"),
         "word_cloud": lambda s, d: rounded(terms.word_cloud(search.active(t.library(s, d))), "size_ratio"),
         "matches_per_word": _matches,
