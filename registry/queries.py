@@ -10,7 +10,7 @@ from marginalia.operators import counts, graph, ingest, lexicon, merge, neighbou
 from marginalia.plans import imports
 from marginalia.schema import SOURCES
 from marginalia.scratch import shared_folder
-from marginalia.sinks import columns, exports, journal, store
+from marginalia.sinks import columns, exports, journal, kept_counts, store
 from marginalia.streaming import drop_folder
 
 from . import oracles, tables
@@ -151,7 +151,6 @@ def read_queries() -> dict:
         "sort_newer": _ranked_view(("id", "seq"), sort="newer"),
         "sort_older": _ranked_view(("id", "seq"), sort="older"),
         "sort_relevance": _ranked_view(("id", "score"), query="tion the"),
-        "sort_title": _view(("id", "title"), sort="title_asc"),
         "sort_random": _view(("id",), sort="random", seed=7),
         "trash_list": lambda s, d: search.ranked(search.trash(t.library(s, d)).select("id", "deleted_at")),
         "point_lookup": lambda s, d: t.library(s, d).where(F.col("id") == TARGET).select("id", "title"),
@@ -495,6 +494,17 @@ def _journal_changes(spark, d):
     return held.library().select("id", "title", "deleted_at", F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"))
 
 
+def _kept_counts(spark, d):
+    """Counts kept through an import, tombstones and the trash."""
+    held = _journal_of(spark, d)
+    first = held.latest()
+    kept = kept_counts.counted(held.library(first))
+    held.put(incoming(spark, d))
+    held.purge(tables.page_list(spark, d).where(F.col("seq") % 3 == 0).select("id"))
+    last = held.trash(_labelled(spark, d, 0), "2024-06-01T00:00:00.000Z")
+    return kept_counts.updated(kept, *held.changes(first, last), held.library(last))
+
+
 def _stream_files(spark, d):
     """The pages as files: every fifth is cut short, and every tenth page has no address."""
     pages = tables.table(spark, d, "pages").withColumn("file", F.floor(F.col("page_id") / 20))
@@ -555,6 +565,130 @@ def _mixed_stream(spark, d):
     return _record_values(store.load(spark, root + "/library")[0])
 
 
+LISTED = [str(k) for k in range(0, 400, 7)] + [None]
+
+
+def _profiles(spark, d):
+    seq = F.col("seq")
+    given = F.when(seq % 3 == 0, "scraper").when(seq % 3 == 1, "odd")
+    fallback = F.when(seq % 2 == 0, "unified").otherwise("?")
+    return tables.texts(spark, d).select("seq", ingest.profile_or_default(given, fallback).alias("profile"))
+
+
+def _fallback_ids(spark, d):
+    raw = raw_list(spark, d)
+    fields = {n: f for n, f in ingest.fields_of(raw).items() if n not in ("seq", "list")}
+    fallback = F.concat(F.lit("row-"), F.col("seq"))
+    rows = ingest.normalize(raw, fields, F.col("list"), F.col("list"), F.lit(False), fallback_id=fallback, keep=("seq",))
+    return rows.select("seq", "id", "instapaper_url")
+
+
+def _clashing_files(spark, d):
+    """A file for each source, a second one of that name for every fifth; what every other source's stamped name is, is taken."""
+    own = tables.sources(spark, d).select("id", "pos", "name").where(F.col("id") != "unused")
+    again = own.where(F.col("pos") % 5 == 0).withColumn("pos", F.col("pos") + 1_000_000)
+    files = own.unionByName(again).select(F.concat("id", F.lit("-"), "pos").alias("file"), "pos", "name")
+    stamped = own.where(F.col("pos") % 2 == 0).select("id", F.concat("id", F.lit("_5.csv")).alias("name"))
+    return files, own.select("id", "name").unionByName(stamped)
+
+
+def _unique_names(spark, d):
+    files, sources = _clashing_files(spark, d)
+    return ingest.unique_names(files, sources, 5).select("file", "name")
+
+
+def _same_names(spark, d):
+    files, sources = _clashing_files(spark, d)
+    return ingest.same_name(files, sources).select("file", "name", "source_id")
+
+
+DIALECTS = [(";", "\n"), ("\t", "\r\n"), (None, None), ("|", "\n")]
+LAYOUTS = [["id", "Title", "URL", "note", "tags"], ["uid", "link", "id", "url", "title", "content"]]
+
+
+def _laid_out(spark, d, kind: str) -> DataFrame:
+    """The sources with dialects and layouts that differ."""
+    rows = source_table(spark, d, kind, "scraper")
+    dialects = F.array(*[F.struct(F.lit(a).cast("string").alias("delimiter"), F.lit(b).cast("string").alias("linebreak")) for a, b in DIALECTS])
+    layouts = F.array(*[F.array(*[F.lit(c) for c in names]) for names in LAYOUTS])
+    return rows.withColumns(
+        {"csv_dialect": dialects[(F.col("pos") % len(DIALECTS)).cast("int")], "csv_columns": layouts[(F.col("pos") % len(LAYOUTS)).cast("int")]}
+    )
+
+
+def _csv_layouts(spark, d):
+    """Sources saved back in their dialects and layouts, and what an import finds these to be."""
+    folders = exports.save_back(tables.library(spark, d), _laid_out(spark, d, "csv"), shared_folder(spark))
+    prepared = imports.prepare(spark, folders, "scraper")
+    ends = F.when(F.col("csv_dialect.linebreak") == "\r\n", "crlf").otherwise("lf")
+    found = prepared.sources.select("csv_dialect.delimiter", ends.alias("line_end"), F.array_join("csv_columns", ",").alias("columns")).distinct()
+    counted = {c: prepared.report.agg(F.sum(c)).scalar() for c in ("imported", "parse_errors")}
+    return found.withColumns(counted)
+
+
+def _save_back_json(spark, d):
+    folders = exports.save_back(tables.library(spark, d), _laid_out(spark, d, "json"), shared_folder(spark))
+    schema = "source_file_id string, id string, title string, url string, tags string, content string"
+    rows = spark.read.schema(schema).json(folders[0])
+    for folder in folders[1:]:
+        rows = rows.unionByName(spark.read.schema(schema).json(folder))
+    return rows.select("source_file_id", "id", F.md5(F.coalesce("title", F.lit(""))).alias("title_md5"), "tags")
+
+
+def _kept_both(spark, d):
+    """Lists called like sources that are there already, kept beside them."""
+    folder = shared_folder(spark)
+    body = F.concat(F.lit("id,url,title\n"), F.col("id"), F.lit(",https://a.example/"), "id", F.lit(","), "id")
+    lists = tables.sources(spark, d).where(F.col("id") != "unused").select("id", body.alias("text"))
+    lists.repartition("id").write.partitionBy("id").text(folder)
+    exports.as_lists(spark, folder)
+    names = spark.read.text(folder).select(F.col("_metadata.file_name").alias("name")).distinct()
+    known = names.select(F.md5("name").alias("id"), F.lit(0).cast("bigint").alias("pos"), "name")
+    known = known.withColumns({f.name: F.lit(None).cast(f.dataType) for f in SOURCES.fields if f.name not in known.columns}).select(*SOURCES.names)
+    prepared = imports.prepare(spark, [folder], "scraper", sources=known, on_collision=imports.KEEP_BOTH)
+    fresh = prepared.sources.join(names, "name", "left_anti").agg(F.count("*")).scalar()
+    return prepared.incoming.select("id", "url", "title").withColumn("fresh_names", fresh)
+
+
+def _in_han(spark, d):
+    rows = _written_in_han(spark, d)
+    return terms.cloud_counts(terms.cloud_terms(terms.cloud_surfaces(rows, "grouped"), "grouped")).select("word", "cnt")
+
+
+def _similar_among(spark, d):
+    rows = tables.library(spark, d)
+    found = similarity.most_similar(rows, TARGET, candidates=search.favorites(rows))
+    return rounded(found, "score").select("id", "seq", "score")
+
+
+def covering_queries() -> dict:
+    """Operators that no other query runs, or only on its easiest case."""
+    t = tables
+    return {
+        "purge_id_list": lambda s, d: merge.purge_rows(t.library(s, d), LISTED).select("id", "seq"),
+        "restore_id_list": lambda s, d: merge.restore_rows(t.library(s, d), LISTED).select("id", "deleted_at"),
+        "profile_coercion": _profiles,
+        "fallback_ids": _fallback_ids,
+        "percent": lambda s, d: t.texts(s, d).select("seq", values.percent(F.col("seq") % 997 / 996).cast("bigint").alias("percent")),
+        "source_ids": lambda s, d: t.sources(s, d).select("name", ids.new_source_id(F.col("name")).alias("source_id")),
+        "unique_names": _unique_names,
+        "same_names": _same_names,
+        "csv_layouts": _csv_layouts,
+        "save_back_json": _save_back_json,
+        "import_keep_both": _kept_both,
+        "clear_library": lambda s, d: merge.clear(t.library(s, d))[0].agg(F.count("*").alias("cnt")),
+        "most_similar_among": _similar_among,
+        "han_languages": lambda s, d: terms.document_words(_written_in_han(s, d)).groupBy("language").agg(F.count("*").alias("cnt")),
+        "han_words": lambda s, d: _written_in_han(s, d)
+        .select(F.explode_outer(tx.words(tx.analysis_text(F.col("title"), F.col("article_preview")))).alias("word"))
+        .where(F.col("word").isNotNull())
+        .groupBy("word")
+        .agg(F.count("*").alias("cnt")),
+        "han_keyword_counts": _in_han,
+        "sort_title": lambda s, d: search.ranked(search.view(t.library(s, d), sort="title_asc").select("id", "title")),
+    }
+
+
 def write_queries() -> dict:
     """Ingest rules, changes to the library, exports and round trips through files."""
     t = tables
@@ -644,10 +778,11 @@ def write_queries() -> dict:
         "stream_mixed": _mixed_stream,
         "store_merge": _journal_merged,
         "store_changes": _journal_changes,
+        "kept_counts": _kept_counts,
         "stream_import_counts": _stream_counts,
         "stream_changes": lambda s, d: _streamed_changes(s, d).library().select("id", "title", "url", "source_file_id"),
     }
 
 
 def all_queries() -> dict:
-    return read_queries() | write_queries()
+    return read_queries() | write_queries() | covering_queries()
