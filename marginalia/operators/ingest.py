@@ -222,10 +222,9 @@ def unique_names(files: DataFrame, sources: DataFrame, stamp: int) -> DataFrame:
         files.join(taken, "name", "left_semi")
         .select("file", "name", start.alias("start"), F.when(whole, "").otherwise(extension).alias("end"), turn.alias("turn"))
     )
-    # A name can be taken by as many sources as begin like it; one more than these and the files in turn is enough.
-    used = clashing.select("name", "start").distinct().join(
-        taken.withColumnRenamed("name", "other"), F.startswith("other", "start")
-    ).groupBy("name").agg(F.count("*").alias("used"))
+    # A name can be taken by as many sources as are stamped alike; one more than these and the files in turn is enough.
+    stamped = taken.select(F.regexp_extract("name", rf"^(.*_{stamp})(?:_[0-9]+)?(?:\.[^.]+)?$", 1).alias("start")).where(F.col("start") != "")
+    used = clashing.select("name", "start").distinct().join(stamped, "start").groupBy("name").agg(F.count("*").alias("used"))
     tried = (
         clashing.groupBy("name", "start", "end").agg(F.max("turn").alias("turns"))
         .join(used, "name", "left")

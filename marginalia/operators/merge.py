@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..schema import LIBRARY, SOURCES
+from ..scratch import written_once
 
 RECORD_COLUMNS = [f.name for f in LIBRARY.fields if f.name not in ("id", "seq", "is_favorite")]
 
@@ -28,9 +29,9 @@ def merge(library: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A known id keeps its position and, unless the new record says otherwise, its star. New ids
     follow in order of appearance. Both joins have the incoming rows on the side Spark may
-    broadcast, so a small import does not repartition the library.
+    broadcast, so a small import does not repartition the library. The incoming rows are aggregated once.
     """
-    new = newest(incoming)
+    new = written_once(newest(incoming))
     known = library.join(
         new.select(F.col("id"), F.col("record"), F.col("star"), F.col("first_in")), "id", "left"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.search import active
 from ..schema import LIBRARY
+from ..scratch import shared_folder
 from ..sources.csv_lists import writer_dialect
 from .columns import export_columns, hardened, known_columns, project
 from .store import STRETCH
@@ -56,6 +57,56 @@ def write_unified_json(library: DataFrame, sources: DataFrame, path: str, **opti
     unified_documents(library, sources, **options).write.option("maxRecordsPerFile", 1).json(path)
 
 
+def write_unified_document(library: DataFrame, sources: DataFrame, path: str, format_name: str = UNIFIED_FORMAT) -> None:
+    """The whole library as one unified document at ``path``, whatever its size.
+
+    Many tasks write its rows as lines, in order; the first begins with all that stands before the rows, the last ends the
+    document, so the parts one after the other are valid. They become one file without passing through memory: on HDFS by
+    ``concat``, which moves no data, elsewhere by copying the bytes. Only the list of sources is gathered.
+    """
+    spark = library.sparkSession
+    rows = active(library)
+    named = exported_sources(library, sources).select("pos", "id", "name", "type", "profile")
+    listed = named.agg(F.sort_array(F.collect_list(F.struct("pos", "id", "name", "type", "profile"))).alias("s"))
+    shown = listed.select(F.to_json(F.transform("s", lambda h: h.dropFields("pos")))).scalar()
+    head = F.to_json(F.struct(F.lit(format_name).alias("format"), F.lit(UNIFIED_VERSION).alias("version")))
+    start = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"sources":'), shown, F.lit(',"bookmarks":['))
+    ends = rows.agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    first, last = ends.first()
+    if first is None:
+        lines = spark.range(1).select(F.concat(start, F.lit("]}")).alias("line"))
+    else:
+        before = F.when(F.col("seq") == first, start).otherwise(F.lit(","))
+        behind = F.when(F.col("seq") == last, F.lit("]}")).otherwise(F.lit(""))
+        lines = rows.orderBy("seq").select(F.concat(before, F.to_json(F.struct(*EXPORTED)), behind).alias("line"))
+    folder = shared_folder(spark)
+    lines.write.text(folder)
+    _joined(spark, folder, path)
+
+
+def _joined(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder as one file, in the order of their names."""
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    files, own = source.getFileSystem(settings), target.getFileSystem(settings)
+    parts = sorted((s.getPath() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if own.getScheme() == "hdfs" and files.getUri().equals(own.getUri()):
+        own.create(target).close()
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts))
+        for k, part in enumerate(parts):
+            array[k] = part
+        own.concat(target, array)
+        return
+    out = own.create(target)
+    try:
+        for part in parts:
+            stream = files.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            stream.close()
+    finally:
+        out.close()
+
+
 def csv_rows(rows: DataFrame, keep=()) -> DataFrame:
     """Rows with tags joined and every cell hardened."""
     flat = rows.withColumn("tags", F.array_join("tags", ",", "")) if "array" in dict(rows.dtypes).get("tags", "") else rows

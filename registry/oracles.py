@@ -552,6 +552,15 @@ def covering_oracles() -> dict[str, str]:
         "clear_library": "SELECT count(*) AS cnt FROM documents WHERE false",
         "most_similar_among": f"""{_CORPUS} SELECT t.id, t.seq, round(s.tf, 6) AS score FROM cosines s JOIN library t ON t.seq = s.seq
             WHERE t.id <> '{TARGET}' AND t.is_favorite ORDER BY s.tf DESC, t.seq LIMIT 5""",
+        "most_similar_kept": f"""{_CORPUS},
+            others AS (SELECT term, tf FROM postings WHERE seq = 11),
+            dots AS (SELECT t.seq, coalesce(sum(p.tf * coalesce(o.tf, 0)), 0) AS dot, coalesce(sum(p.tf * p.tf), 0) AS sq
+                     FROM texts t LEFT JOIN postings p ON p.seq = t.seq LEFT JOIN others o ON o.term = p.term GROUP BY t.seq),
+            eleven AS (SELECT seq, CASE WHEN sq = 0 THEN 0 ELSE dot / (sqrt(sq) * (SELECT sqrt(sum(tf * tf)) FROM others)) END AS score FROM dots)
+            SELECT * FROM (SELECT '{TARGET}' AS target, t.id, t.seq, round(s.tf, 6) AS score FROM cosines s JOIN texts t ON t.seq = s.seq WHERE t.id <> '{TARGET}' ORDER BY s.tf DESC, t.seq LIMIT 5)
+            UNION ALL SELECT * FROM (SELECT '{TARGET}', t.id, t.seq, round(s.tfidf, 6) FROM cosines s JOIN texts t ON t.seq = s.seq WHERE t.id <> '{TARGET}' ORDER BY s.tfidf DESC, t.seq LIMIT 5)
+            UNION ALL SELECT * FROM (SELECT '11', t.id, t.seq, round(s.score, 6) FROM eleven s JOIN texts t ON t.seq = s.seq WHERE t.id <> '11' ORDER BY s.score DESC, t.seq LIMIT 5)""",
+        "json_document": round_trip_sql(False, ", in_seq, source_file_id, source_file_name"),
         "han_languages": f"""WITH {LIBRARY}, {HAN_TEXTS} SELECT CASE WHEN length(regexp_replace(t, '[^一-龥]', '', 'g')) > 3 THEN 'zh' ELSE 'en' END AS language,
                              count(*) AS cnt FROM han GROUP BY ALL""",
         "han_words": f"WITH {LIBRARY}, {HAN_TEXTS} SELECT word, count(*) AS cnt FROM pairs GROUP BY word",

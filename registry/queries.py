@@ -9,7 +9,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import counts, graph, ingest, lexicon, merge, neighbours, phrases, search, search_index, similarity, terms
 from marginalia.plans import imports
 from marginalia.schema import SOURCES
-from marginalia.scratch import shared_folder
+from marginalia.scratch import shared_folder, written_once
 from marginalia.sinks import columns, exports, journal, kept_counts, store
 from marginalia.streaming import drop_folder
 
@@ -650,6 +650,20 @@ def _kept_both(spark, d):
     return prepared.incoming.select("id", "url", "title").withColumn("fresh_names", fresh)
 
 
+def _json_document(spark, d):
+    path = shared_folder(spark) + ".json"
+    exports.write_unified_document(tables.library(spark, d), source_table(spark, d), path)
+    return _imported(_prepared(spark, path))
+
+
+def _similar_kept(spark, d):
+    """Two targets over postings that were made once."""
+    rows = tables.texts(spark, d).withColumn("url", F.lit("#"))
+    corpus = written_once(terms.postings(rows))
+    found = [similarity.most_similar(rows, t, weighting=w, corpus=corpus).withColumn("target", F.lit(t)) for t, w in ((TARGET, "tf"), (TARGET, "tfidf"), ("11", "tf"))]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]), "score").select("target", "id", "seq", "score")
+
+
 def _in_han(spark, d):
     rows = _written_in_han(spark, d)
     return terms.cloud_counts(terms.cloud_terms(terms.cloud_surfaces(rows, "grouped"), "grouped")).select("word", "cnt")
@@ -678,6 +692,8 @@ def covering_queries() -> dict:
         "import_keep_both": _kept_both,
         "clear_library": lambda s, d: merge.clear(t.library(s, d))[0].agg(F.count("*").alias("cnt")),
         "most_similar_among": _similar_among,
+        "most_similar_kept": _similar_kept,
+        "json_document": _json_document,
         "han_languages": lambda s, d: terms.document_words(_written_in_han(s, d)).groupBy("language").agg(F.count("*").alias("cnt")),
         "han_words": lambda s, d: _written_in_han(s, d)
         .select(F.explode_outer(tx.words(tx.analysis_text(F.col("title"), F.col("article_preview")))).alias("word"))

@@ -316,6 +316,17 @@ def test_unified_export_comes_back(spark, tmp_path, library):
     assert {r["id"] for r in back.sources.collect()} == {"s0", "s1"}
 
 
+def test_one_document_of_many_parts(spark, tmp_path, library):
+    rows = library(*[{"id": f"r{n}", "title": 'q"\n' + str(n), "url": f"https://x.org/{n}", "tags": ["a"], "source_file_id": f"s{n % 2}"} for n in range(50)], {"id": "gone", "deleted_at": "x"})
+    sources = spark.createDataFrame([(f"s{n}", n, f"n{n}.csv", "csv", "scraper", None, None, None) for n in range(3)], SOURCES)
+    exports.write_unified_document(rows.repartition(5), sources, str(tmp_path / "all.json"))
+    document = json.load(open(tmp_path / "all.json"))
+    assert [b["id"] for b in document["bookmarks"]] == [f"r{n}" for n in range(50)] and document["bookmarks"][3]["title"] == 'q"\n3'
+    assert [s["id"] for s in document["sources"]] == ["s0", "s1"] and document["version"] == 2 and document["format"] == exports.UNIFIED_FORMAT
+    exports.write_unified_document(library(), sources, str(tmp_path / "none.json"))
+    assert json.load(open(tmp_path / "none.json"))["bookmarks"] == []
+
+
 def test_store(spark, tmp_path, library):
     root = str(tmp_path)
     assert [t.count() for t in store.load(spark, root)] == [0, 0]
