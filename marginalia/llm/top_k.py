@@ -15,17 +15,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mixed, shuffle_partitions
+from marginalia.llm.common import mixed, shard_keys, shuffle_partitions
 
 #: Dimensions summed before candidates are dropped, and rows that travel together.
 DIMENSIONS, ROWS = 8, 1024
 
+#: Candidates of a strip, about, at most.
+STRIP_ROWS = 1 << 17
+
 _BLOCKS = "strip int, kind int, block long, rows long, ids binary, uids binary, vectors binary"
 _BEST = "block long, ids binary, uids binary, counts binary, found binary, found_uids binary, scores binary"
 
 
-def _blocks(strips: int):
-    """Rows of whole numbers as blocks: each to one strip as candidates, its queries to all strips."""
+def _blocks(strips: list[int]):
+    """Rows of whole numbers as blocks: each to one strip as candidates, in turn, its queries to all strips."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, number = TaskContext.get().partitionId(), 0, 0
@@ -47,12 +50,13 @@ def _blocks(strips: int):
                 vectors[np.arange(vectors.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
                 uids = (np.int64(part) << 36) + np.arange(row, row + len(ids))
                 row, number = row + len(ids), number + 1
-                strip = int(mixed(np.array([(part << 32) + number], np.uint64))[0] % np.uint64(strips))
+                # In turn, from another strip in each task.
+                strip = strips[(int(mixed(np.array([part], np.uint64))[0]) + number) % len(strips)]
                 yield pa.RecordBatch.from_pylist([block(strip, 0, ids, uids, vectors)], schema)
                 asked = piece.column("asked").to_numpy(zero_copy_only=False)
                 if asked.any():
                     mine = (ids[asked], uids[asked], vectors[asked])
-                    for strip in range(strips):
+                    for strip in strips:
                         yield pa.RecordBatch.from_pylist([block(strip, 1, *mine)], schema)
 
     return task
@@ -180,12 +184,12 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: float = 64) ->
     non-finite component take no part; a shorter vector has zeros behind it, an empty one scores 0. An empty table has no
     rows; fewer than k candidates are all returned. Other columns are ignored.
     """
-    strips = shuffle_partitions(vectors)
+    strips = max(shuffle_partitions(vectors), -(-vectors.count() // STRIP_ROWS))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.withColumn("asked", F.coalesce(asked, F.lit(False))).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     whole = rows.select(
         F.col("vec_id").cast("long").alias("vec_id"), "asked", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector")
     )
-    blocks = whole.mapInArrow(_blocks(strips), _BLOCKS)
+    blocks = whole.mapInArrow(_blocks(shard_keys(vectors, strips)), _BLOCKS)
     found = blocks.repartition(strips, "strip").sortWithinPartitions("strip", "kind").mapInArrow(_searched(k), _BEST)
     return found.repartition(strips, "block").sortWithinPartitions("block").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score long")
