@@ -29,9 +29,10 @@ DISCLOSED, SUPPORT = 0.9, 2
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The patterns of the base kinds.
+# The patterns of the base kinds. An address can only begin where a run of digits does, as runs are taken whole; to say
+# so keeps the search linear.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import time
 from math import log2
 
+import numpy as np
+
 from marginalia.llm import pii
 
 SF = "/root/testdata/sf0.01"
@@ -139,3 +142,18 @@ def test_words_that_a_polynomial_takes_for_each_other(spark):
     rows = [(1, f"reach me@x.org {one}"), (2, f"reach me@x.org {other} now")] + [(k, f"plain reach now {k}") for k in range(3, 40)]
     found = pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all("term" not in r["spans"] for r in found)
+
+
+def test_addresses_begin_where_digits_do():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    draw = np.random.default_rng(3)
+    for _ in range(3000):
+        text = "".join(draw.choice(list("1234.. x"), 30))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_a_megabyte_of_digits_is_soon_read():
+    began = time.time()
+    assert pii.base_spans("7" * 1_000_000) == []
+    assert pii.base_spans("7." * 500_000 + "x") != []
+    assert time.time() - began < 5
