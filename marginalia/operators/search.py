@@ -14,6 +14,10 @@ TITLE_POINTS, PREVIEW_POINTS, URL_POINTS, TAG_POINTS = 10, 5, 3, 8
 LINK, IS, FAVORITE_MARKS = "link:", "is:", ("fav", "♥")
 
 
+# Words whose matches are counted at a time.
+MOST_WORDS = 1_000
+
+
 def _take(text: str) -> tuple[str, bool, str]:
     """(value, quoted, what follows): a value in quotes where a second quote closes it, or all up to white space."""
     if text.startswith('"') and '"' in text[1:]:
@@ -186,9 +190,12 @@ def domain_query(host: str) -> str:
 def matches_per_word(library: DataFrame, words: DataFrame) -> DataFrame:
     """How many live rows a click on each word would show.
 
-    ``words`` is a short report (a word cloud); it travels as one array per row instead of a join,
-    so the library is read once and never repartitioned.
+    ``words`` is a short report (a word cloud), of MOST_WORDS words at most; it travels as one array per row instead of a
+    join, so the library is read once and never repartitioned.
     """
+    words = written_once(words.select("word"))
+    if words.count() > MOST_WORDS:
+        raise ValueError(f"matches are counted for at most {MOST_WORDS} words")
     listed = words.agg(F.collect_set("word")).scalar()
     text = F.lower(
         F.concat_ws(
