@@ -303,7 +303,7 @@ def read_oracles() -> dict[str, str]:
             ", round(share, 6) AS share, CASE WHEN share < 0.3 THEN 'tf' WHEN share > 0.7 THEN 'tfidf' "
             "ELSE 'blend' END AS mode")}""",
         "pair_similarity": f"{_CORPUS} SELECT round(tf, 6) AS score FROM cosines WHERE seq = 11",
-        "graph_nodes": f"""WITH {LIBRARY} SELECT seq, id, title, url, {domain_sql('url', 'unknown')} AS domain
+        "graph_nodes": f"""WITH {LIBRARY} SELECT seq, id, title, url, {domain_sql('url', 'unknown')} AS domain, array_to_string(tags, '|') AS tags
                            FROM active ORDER BY seq LIMIT 50""",
         "graph_domains": f"""WITH {LIBRARY} SELECT DISTINCT {domain_sql('url', 'unknown')} AS domain
                              FROM (SELECT * FROM active ORDER BY seq LIMIT 50)""",
@@ -549,6 +549,7 @@ def covering_oracles() -> dict[str, str]:
             CASE WHEN pos % 2 = 0 THEN array_to_string(tags, ',') END AS tags FROM active a JOIN sources s ON s.id = source_file_id""",
         "import_keep_both": f"""WITH {SOURCES}, own AS (SELECT * FROM sources WHERE id <> 'unused')
             SELECT id, 'https://a.example/' || id AS url, id AS title, (SELECT count(*) FROM own) AS fresh_names FROM own""",
+        "delete_source_list": f"WITH {SOURCES} SELECT id, pos, name FROM sources WHERE id <> 'src3'",
         "clear_library": "SELECT count(*) AS cnt FROM documents WHERE false",
         "most_similar_among": f"""{_CORPUS} SELECT t.id, t.seq, round(s.tf, 6) AS score FROM cosines s JOIN library t ON t.seq = s.seq
             WHERE t.id <> '{TARGET}' AND t.is_favorite ORDER BY s.tf DESC, t.seq LIMIT 5""",

@@ -178,7 +178,7 @@ def read_queries() -> dict:
         "pair_similarity": lambda s, d: rounded(
             similarity.pair_similarity(t.texts(s, d), TARGET, "11"), "score"
         ),
-        "graph_nodes": lambda s, d: graph.graph_nodes(_picked(s, d)).drop("tags"),
+        "graph_nodes": lambda s, d: graph.graph_nodes(_picked(s, d)).withColumn("tags", F.array_join("tags", "|")),
         "graph_domains": lambda s, d: graph.graph_domains(graph.graph_nodes(_picked(s, d))),
         "graph_edges_tf": lambda s, d: rounded(graph.graph_edges(_picked(s, d)), "value"),
         "graph_edges_tfidf": lambda s, d: rounded(graph.graph_edges(_picked(s, d), weighting="tfidf"), "value"),
@@ -690,6 +690,7 @@ def covering_queries() -> dict:
         "csv_layouts": _csv_layouts,
         "save_back_json": _save_back_json,
         "import_keep_both": _kept_both,
+        "delete_source_list": lambda s, d: merge.delete_source(t.library(s, d), t.sources(s, d), "src3")[1].select("id", "pos", "name"),
         "clear_library": lambda s, d: merge.clear(t.library(s, d))[0].agg(F.count("*").alias("cnt")),
         "most_similar_among": _similar_among,
         "most_similar_kept": _similar_kept,
