@@ -1,13 +1,17 @@
 """JSON files: an array of records, a document with a list of them, or a single record."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ingest import BLOCK, BOOKKEEPING, FILE, PARSE_ERROR, ROW, fields_of
+from ..operators.ingest import BLOCK, BOOKKEEPING, FILE, PARSE_ERROR, ROW, entries_of, fields_of
+from . import json_records
 from .files import RawRows, Scan, bookkeeping
 
-LIST, SOURCES = "bookmarks", "sources"
+LIST, SOURCES = json_records.LIST, json_records.SOURCES
 MANIFEST = ("id", "name", "type", "profile")
 
 
@@ -51,12 +55,8 @@ def _document_schema(found: T.StructType) -> T.StructType:
     return schema.add(PARSE_ERROR, T.StringType())
 
 
-def scan(spark: SparkSession, files: list[dict]) -> Scan:
-    """Records whose values keep their own types: one file's list of tags is another file's text.
-
-    A JSON document is read by one task, because it has no places to split it at.
-    """
-    paths = [f["path"] for f in files]
+def _whole(spark: SparkSession, paths: list[str]) -> Scan:
+    """Documents that are read by one task each: single records, and lists of more than records."""
     options = {"multiLine": True, "columnNameOfCorruptRecord": PARSE_ERROR}
     schema = _document_schema(spark.read.options(**options).json(paths).schema)
     read = spark.read.options(**options).schema(schema).json(paths)
@@ -78,3 +78,57 @@ def scan(spark: SparkSession, files: list[dict]) -> Scan:
     for piece in pieces[1:]:
         keys = keys.unionByName(_with_keys(piece))
     return Scan([RawRows(p, fields_of(p)) for p in pieces], keys, None, manifest)
+
+
+def _split(records: DataFrame) -> Scan:
+    """Records cut out of their documents. One that is no JSON is an error by itself and has no values."""
+    rows = records.where(F.col("region") == LIST)
+    options = {"columnNameOfCorruptRecord": PARSE_ERROR}
+    # Names in all their spellings, of the known fields only: records may have any number of others.
+    named = rows.select(F.explode(F.json_object_keys("text")).alias("name")).where(F.lower("name").isin(*entries_of(FILE))).distinct()
+    names = sorted(r["name"] for r in named.collect()) or ["url"]
+    schema = record_schema(names).add(PARSE_ERROR, T.StringType())
+    parsed = rows.select(FILE, BLOCK, ROW, F.from_json("text", schema, options).alias("r"))
+    broken = F.col(f"r.{PARSE_ERROR}").isNotNull()
+    values = [F.when(~broken, F.col(f"r.`{n}`")).alias(n) for n in names]
+    piece = parsed.select(*values, broken.alias(PARSE_ERROR), FILE, BLOCK, ROW)
+
+    first = rows.groupBy(F.col(FILE).alias("file")).agg(F.min_by("text", F.struct(BLOCK, ROW)).alias("text"))
+    held = F.map_filter(F.from_json("text", "map<string,string>"), lambda k, v: v.isNotNull())
+    keys = first.select("file", F.map_keys(held).alias("headers"))
+
+    listed = T.StructType([T.StructField(n, T.StringType()) for n in MANIFEST])
+    order = W.partitionBy(FILE).orderBy(BLOCK, ROW)
+    entries = records.where(F.col("region") == SOURCES).withColumn("entry", F.row_number().over(order) - 1)
+    manifest = entries.select(F.col(FILE).alias("file"), "entry", F.from_json("text", listed).alias("s")).select("file", "entry", "s.*")
+    return Scan([RawRows(piece, fields_of(piece))], keys, None, manifest)
+
+
+def scan(spark: SparkSession, files: list[dict]) -> Scan:
+    """Records whose values keep their own types: one file's list of tags is another file's text.
+
+    Lists of records are read in splits, see ``json_records``, whatever their size. A broken record costs one record; a document that ends
+    too soon, or that is broken outside of its records, fails as a whole.
+    """
+    found = json_records.records(spark, [f["path"] for f in files])
+    reading = {f["file"]: found.reading.get(f["file"], json_records.WHOLE) for f in files}
+
+    def of(kind):
+        return [f for f in files if reading[f["file"]] == kind]
+
+    scans = []
+    if cut := of(json_records.SPLIT):
+        kept = spark.createDataFrame([(f["file"],) for f in cut], f"{FILE} string")
+        scans.append(_split(found.rows.join(kept, FILE)))
+    if whole := of(json_records.WHOLE):
+        scans.append(_whole(spark, [f["path"] for f in whole]))
+    if broken := of(json_records.BROKEN_FILE):
+        rows = spark.createDataFrame([(f["file"], 0, 0, True) for f in broken], f"{FILE} string, {BLOCK} long, {ROW} long, {PARSE_ERROR} boolean")
+        scans.append(Scan([RawRows(rows, {})], rows.select(F.col(FILE).alias("file"), F.array().cast("array<string>").alias("headers"))))
+    manifests = [s.manifest for s in scans if s.manifest is not None]
+    return Scan(
+        [part for s in scans for part in s.parts],
+        reduce(DataFrame.unionByName, [s.headers for s in scans]),
+        None,
+        reduce(DataFrame.unionByName, manifests) if manifests else None,
+    )
