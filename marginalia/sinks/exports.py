@@ -81,10 +81,10 @@ def write_unified_document(library: DataFrame, sources: DataFrame, path: str, fo
         lines = rows.orderBy("seq").select(F.concat(before, F.to_json(F.struct(*EXPORTED)), behind).alias("line"))
     folder = shared_folder(spark)
     lines.write.text(folder)
-    _joined(spark, folder, path)
+    join_parts(spark, folder, path)
 
 
-def _joined(spark: SparkSession, folder: str, path: str) -> None:
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
     """The part files of a folder as one file, in the order of their names."""
     jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)

@@ -479,6 +479,9 @@ def write_oracles() -> dict[str, str]:
                 AND seq IN (SELECT page_id FROM pages WHERE page_id % 10 <> 3)) AS displaced, 'zero.csv,zero.json,broken.json' AS failed_names FROM pages""",
         "csv_quoted_split": r"""SELECT CAST(page_id AS VARCHAR) AS id, row_number() OVER (ORDER BY page_id // 1000, page_id) - 1 AS in_seq,
             md5('first' || chr(10) || 'second ' || html) AS title_md5, (SELECT count(*) FROM pages WHERE page_id % 100 = 50) AS parse_errors FROM pages""",
+        "json_array_split": """SELECT CAST(page_id AS VARCHAR) AS id, in_seq, md5('"}, {"' || html) AS title_md5,
+            (SELECT count(*) FROM pages WHERE page_id % 100 = 50) AS parse_errors
+            FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS in_seq FROM pages) WHERE page_id % 100 <> 50""",
         "header_verdicts": "SELECT DISTINCT 'mismatch' AS verdict, 'unified' AS suggested FROM documents",
         "stream_import": f"""SELECT id, title, url, 'file_stream' AS source_file_id, 'https://www.instapaper.com/read/' || id AS instapaper_url
                              FROM (SELECT {numbered_sql("file_stream")} AS id, md5(html) AS title, url FROM pages)""",

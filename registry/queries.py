@@ -449,6 +449,22 @@ def _quoted_split(spark, d):
     return rows.withColumn("parse_errors", prepared.report.agg(F.sum("parse_errors")).scalar())
 
 
+def _array_split(spark, d):
+    """The pages as one array on one line for its records, braces and quotes in their titles; every hundredth record is no JSON."""
+    pages = tables.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), "url", F.concat(F.lit('"}, {"'), "html").alias("title"), "page_id")
+    ends = pages.agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    record = F.to_json(F.struct("id", "url", "title"))
+    record = F.when(F.col("page_id") % 100 == 50, F.concat(F.lit('{"none" '), F.substr(record, F.lit(2)))).otherwise(record)
+    before = F.when(F.col("page_id") == F.col("first"), "[").otherwise(",")
+    line = F.concat(before, record, F.when(F.col("page_id") == F.col("last"), "]").otherwise(""))
+    folder = shared_folder(spark)
+    pages.join(F.broadcast(ends)).orderBy("page_id").select(line.alias("line")).write.option("lineSep", " ").text(folder)
+    exports.join_parts(spark, folder, folder + ".json")
+    prepared = _prepared(spark, folder + ".json", "scraper")
+    rows = prepared.incoming.select("id", "in_seq", F.md5("title").alias("title_md5"))
+    return rows.withColumn("parse_errors", prepared.report.agg(F.sum("parse_errors")).scalar())
+
+
 def _header_verdicts(spark, d):
     return _prepared(spark, _csv_export(spark, d), "scraper").report.select("verdict", "suggested").distinct()
 
@@ -789,6 +805,7 @@ def write_queries() -> dict:
         "import_report": _import_report,
         "import_mixed_report": _mixed_report,
         "csv_quoted_split": _quoted_split,
+        "json_array_split": _array_split,
         "header_verdicts": _header_verdicts,
         "stream_import": _streamed,
         "json_mixed_types": _mixed_import,
