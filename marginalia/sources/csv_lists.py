@@ -97,7 +97,8 @@ def ends_inside(line: str, inside: bool, delimiter: str) -> bool:
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(paths).select("value", *bookkeeping())
+    # One byte that is no UTF-8 must not end the task that reads it.
+    return spark.read.option("lineSep", "\n").text(paths).select(F.make_valid_utf8("value").alias("value"), *bookkeeping())
 
 
 def _turns(delimiter: str):

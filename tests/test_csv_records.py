@@ -84,3 +84,9 @@ def test_a_quote_that_is_never_closed(spark, tmp_path, small_splits):
     (tmp_path / "open.csv").write_text("\n".join(lines))
     rows = imports.prepare(spark, [str(tmp_path / "open.csv")]).incoming.orderBy("in_seq").select("id", F.length("title")).collect()
     assert [r[0] for r in rows] == ["0", "1"] and rows[1][1] > 3000
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "odd.csv").write_bytes(b'id,url,title\n1,https://a.org,"x\ny"\n2,https://b.org,caf\xe9\n3,https://c.org,"\xff\n"\n')
+    rows = imports.prepare(spark, [str(tmp_path / "odd.csv")]).incoming.orderBy("in_seq").select("id", "title").collect()
+    assert [tuple(r) for r in rows] == [("1", "x\ny"), ("2", "caf\ufffd"), ("3", "\ufffd\n")]
