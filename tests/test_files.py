@@ -362,3 +362,12 @@ def test_queries_read_numeric_ids(spark):
     kinds = [dict(spark.read.json(f"{folder}/{n}").selectExpr("bookmarks[0].id").dtypes) for n in range(2)]
     # The first kind has page 0: its number counts as no id, and the SQL says so.
     assert [list(k.values()) for k in kinds] == [["bigint"], ["string"]]
+
+
+def test_lists_of_pages_go_by_number(spark, tmp_path):
+    from registry import queries
+
+    spark.range(22).selectExpr("id AS page_id", "'https://a.example' AS url", "'x' AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    folder = queries._lists_of_pages(spark, str(tmp_path), F.concat(F.col("page_id").cast("string"), F.lit(",u,t")), 2)
+    found = imports.prepare(spark, [folder], "scraper").incoming.select("id", "in_seq").collect()
+    assert {(int(r["id"]), r["in_seq"]) for r in found} == {(k, k) for k in range(22)}
