@@ -145,3 +145,8 @@ def test_weighted_graph_drops_generic_links(library):
     )
     assert len(edges(rows)) == 16
     assert [e[:2] for e in edges(rows, weighting="tfidf")] == [(6, 7)]
+
+
+def test_more_documents_are_more_tasks(library, monkeypatch):
+    monkeypatch.setattr(terms, "TASK_DOCUMENTS", 2)
+    assert terms.postings(library(*[{"title": "large joins"}] * 20)).rdd.getNumPartitions() == 10
