@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import written_once
 from .terms import document_words
 
 # The ratio that one pair in a thousand reaches by chance, and how often a pair must stand somewhere.
@@ -44,7 +45,8 @@ def _term(count: Column) -> Column:
 
 def collocations(pairs: DataFrame, least: float = SIGNIFICANT) -> DataFrame:
     """(a, b, cnt, ratio): the pairs that are collocations, from their occurrences."""
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    # Read many times below, counted once.
+    counts = written_once(pairs.groupBy("a", "b").agg(F.count("*").alias("cnt")))
     kinds = counts.agg(F.count("*")).scalar()
     told = _with_totals(_with_totals(counts, "a", kinds), "b", kinds).withColumn("n", counts.agg(F.sum("cnt")).scalar())
     both, a, b, n = (F.col(c).cast("double") for c in ("cnt", "a_cnt", "b_cnt", "n"))
@@ -56,8 +58,8 @@ def collocations(pairs: DataFrame, least: float = SIGNIFICANT) -> DataFrame:
 
 def phrases(library: DataFrame, least: float = SIGNIFICANT) -> DataFrame:
     """(phrase, words, cnt, first_seq): the longest runs of collocations in all articles."""
-    pairs = neighbours(library)
-    known = collocations(pairs, least).select("a", "b", "cnt")
+    pairs = written_once(neighbours(library))
+    known = written_once(collocations(pairs, least).select("a", "b", "cnt"))
     many = F.col("cnt") * FREQUENT_PARTS > pairs.agg(F.count("*")).scalar()
     common = F.broadcast(known.where(many).select("a", "b"))
     rare = known.where(~many).select("a", "b")

@@ -104,3 +104,9 @@ def test_index_reads_only_files_that_can_answer(spark, library, tmp_path):
         assert {(r["id"], r["score"]) for r in search_index.view(spark, path, stored, query, sort=None).collect()} == want
     assert len(search_index.candidates(spark, path, "needle")) == 1 and search_index.candidates(spark, path, "ab") is None
     assert len(search_index.view(spark, path, stored, "needle", sort=None).inputFiles()) == 1
+
+
+def test_texts_are_split_once_for_collocations(library):
+    rows = library(*[{"title": "large data joins", "article_preview": "large data flows"}] * 3)
+    found = [phrases.collocations(phrases.neighbours(rows), 0.0), phrases.phrases(rows, 0.0)]
+    assert [f._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") for f in found] == [0, 0]
