@@ -5,6 +5,9 @@ addresses and tags. A search word of three characters or more can only be in fil
 and searched as ever, so rows and scores are those of ``search.view`` over the whole library.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ PIECE = 3
 # Parts of the index; a search reads those of its trigrams.
 PARTS = 64
 
+# Trigrams a task holds before it tells them.
+HELD = 500_000
+
 
 def _part(trigram):
     return F.pmod(F.xxhash64(trigram), F.lit(PARTS)).cast("int")
@@ -26,16 +32,34 @@ def pieces(text: str) -> list[str]:
     return sorted({text[k : k + PIECE] for k in range(len(text) - PIECE + 1)})
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, trigram) of the texts of files, told when there are ``HELD`` and at the end."""
+    held: dict[str, set[str]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for file, trigrams in held.items():
+            yield pa.RecordBatch.from_pydict({"file": [file] * len(trigrams), "trigram": list(trigrams)})
+        held.clear()
+
+    for batch in batches:
+        for file, texts in zip(batch.column("file").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+            mine = held.setdefault(file, set())
+            for text in texts:
+                mine.update([text[k : k + PIECE] for k in range(len(text) - PIECE + 1)])
+        if sum(map(len, held.values())) > HELD:
+            yield from told()
+    yield from told()
+
+
 def build(library: DataFrame, path: str) -> None:
     """Writes the index of the files of ``library``, a table as it was read from them.
 
-    Trigrams are made distinct within each text, then within each task's files before anything is moved.
+    Trigrams are made distinct within each task's files before anything is moved.
     """
     fields = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "article_preview", "url")])
     texts = F.concat(fields, F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.coalesce(t, F.lit("")))))
-    rows = library.select(F.col("_metadata.file_path").alias("file"), F.explode(texts).alias("text")).where(F.length("text") >= PIECE)
-    starts = F.sequence(F.lit(1), F.length("text") - PIECE + 1)
-    found = rows.select("file", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("text", i, F.lit(PIECE))))).alias("trigram"))
+    rows = library.select(F.col("_metadata.file_path").alias("file"), texts.alias("texts"))
+    found = rows.mapInArrow(_distinct, "file string, trigram string")
     dealt = found.distinct().withColumn("part", _part(F.col("trigram"))).repartition("part")
     dealt.sortWithinPartitions("part", "trigram", "file").write.partitionBy("part").parquet(path)
 

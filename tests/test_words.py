@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -110,3 +111,11 @@ def test_texts_are_split_once_for_collocations(library):
     rows = library(*[{"title": "large data joins", "article_preview": "large data flows"}] * 3)
     found = [phrases.collocations(phrases.neighbours(rows), 0.0), phrases.phrases(rows, 0.0)]
     assert [f._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") for f in found] == [0, 0]
+
+
+def test_index_of_a_very_long_text(spark, library, tmp_path):
+    library({"title": "x" * 400_000 + " needle"}).write.parquet(str(tmp_path / "rows"))
+    began = time.time()
+    search_index.build(spark.read.schema(LIBRARY).parquet(str(tmp_path / "rows")), str(tmp_path / "index"))
+    assert time.time() - began < 30
+    assert len(search_index.candidates(spark, str(tmp_path / "index"), "needle")) == 1
