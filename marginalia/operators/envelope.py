@@ -15,7 +15,7 @@ def with_owner(rows: DataFrame, files: DataFrame, fields: dict) -> DataFrame:
     return (
         rows.withColumn("_named", F.nullif(named["source_file_name"], F.lit("")))
         .withColumn("_named_id", named["source_file_id"])
-        .join(profiles, FILE)
+        .join(F.broadcast(profiles), FILE)
         .withColumn("owner", F.when((F.col("_profile") == UNIFIED) & (F.col("_named_id") != ""), F.col("_named_id")))
         .withColumn("keep_meta", F.col("_profile") == UNIFIED)
         .drop("_named_id", "_profile")

@@ -83,7 +83,9 @@ def prepare(
         failures = failures.unionByName(named)
 
     headers = [s.headers for _, s in scans]
-    verdicts = _checked(spark, files, headers, [s.manifest for _, s in scans])
+    # What has one row for each file, or for each source it names, is made once and goes to the rows: rows of one file may be all there are,
+    # so none are ever dealt by their file.
+    verdicts = written_once(_checked(spark, files, headers, [s.manifest for _, s in scans]))
     refused = verdicts.where(F.col("verdict") == "unsupported").select(F.col("file").alias(FILE))
     if on_collision == REFUSE:
         refused = refused.unionByName(clashing.select(F.col("file").alias(FILE))).distinct()
@@ -93,12 +95,12 @@ def prepare(
     normalized = []
     for reader, scan in scans:
         for part in scan.parts:
-            rows = part.rows.join(refused, FILE, "left_anti")
+            rows = part.rows.join(F.broadcast(refused), FILE, "left_anti")
             rows = envelope.with_owner(rows, files, part.fields)
             if reader is sqlite_lists.scan:
                 rows = rows.withColumn("owner", F.lit(None).cast("string"))
             own = files.select(F.col("file").alias(FILE), F.col("id").alias("_id"))
-            rows = rows.join(own, FILE)
+            rows = rows.join(F.broadcast(own), FILE)
             normalized.append(
                 ingest.normalize(
                     rows,
@@ -110,12 +112,12 @@ def prepare(
                 )
             )
     rows = written_once(_union(normalized) if normalized else _no_rows(spark))
-    owners = envelope.owners(rows, files, manifest, sources)
+    owners = written_once(envelope.owners(rows, files, manifest, sources))
     own_names = files.select(F.col("file").alias(FILE), F.col("name").alias("_file_name"))
     owner_names = owners.select(F.col("file").alias(FILE), "owner", F.col("name").alias("_owner_name"))
     rows = (
         rows.drop("source_file_name")
-        .join(own_names, FILE)
+        .join(F.broadcast(own_names), FILE)
         .join(owner_names, [FILE, "owner"], "left")
         .withColumn("source_file_name", F.coalesce("_owner_name", "_file_name"))
     )

@@ -119,7 +119,7 @@ def scan(spark: SparkSession, files: list[dict]) -> Scan:
     scans = []
     if cut := of(json_records.SPLIT):
         kept = spark.createDataFrame([(f["file"],) for f in cut], f"{FILE} string")
-        scans.append(_split(found.rows.join(kept, FILE)))
+        scans.append(_split(found.rows.join(F.broadcast(kept), FILE)))
     if whole := of(json_records.WHOLE):
         scans.append(_whole(spark, [f["path"] for f in whole]))
     if broken := of(json_records.BROKEN_FILE):

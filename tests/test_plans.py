@@ -4,9 +4,11 @@ import re
 
 import pytest
 
-from marginalia.operators import merge, search, similarity, terms
+from marginalia.operators import envelope, merge, search, similarity, terms
+from marginalia.plans import imports
 from marginalia.schema import SOURCES
 from marginalia.sinks import store
+from marginalia.sources import files, json_lists
 
 
 def plan(frame):
@@ -66,3 +68,15 @@ def test_small_import_does_not_move_the_library(spark, stored):
     new = stored.where("seq < 2").withColumnRenamed("seq", "in_seq")
     text = plan(merge.merge(stored, new))
     assert "SortMergeJoin" not in text and "CartesianProduct" not in text
+
+
+def test_rows_are_not_dealt_by_their_file(spark, tmp_path):
+    # One file may hold all rows there are; what is known of a file goes to its rows.
+    (tmp_path / "a.json").write_text('[{"id": "1", "url": "https://a.org", "source_file_id": "s"}, {"id": "2", "url": "https://b.org"}]')
+    (tmp_path / "b.csv").write_text("id,title,url\n3,t,https://c.org\n")
+    listing = files.listed(spark, [str(tmp_path)], "unified")
+    table = spark.createDataFrame([tuple(f[n] for n in ("file", "pos", "name", "type", "profile", "id")) for f in listing], files.FILES)
+    (part,) = json_lists.scan(spark, [f for f in listing if f["type"] == "json"]).parts
+    frames = [part.rows, envelope.with_owner(part.rows, table, part.fields), imports.prepare(spark, [str(tmp_path)], "unified").incoming]
+    for frame in frames:
+        assert "SortMergeJoin [_file" not in plan(frame)
