@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ingest import BLOCK, FILE, PARSE_ERROR, ROW
-from .files import RawRows, Scan, bookkeeping, layout_schema
+from .files import RawRows, Scan, bookkeeping, layout_schema, slices
 
 # Characters tried as delimiter, the one used when none occurs, and the line ends
 # that are recorded.
@@ -110,8 +110,8 @@ def _turns(delimiter: str):
         def told():
             return pa.RecordBatch.from_pydict({FILE: [split[0]], BLOCK: [split[1]], "outside": [ends[0]], "inside": [ends[1]]})
 
-        for batch in batches:
-            for line, *of in zip(*(batch.column(c).to_pylist() for c in ("value", FILE, BLOCK)), strict=True):
+        for part in slices(batches, ("value", FILE, BLOCK)):
+            for line, *of in part:
                 if of != split:
                     if split:
                         yield told()
@@ -166,8 +166,8 @@ def _cut(delimiter: str):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
-        for batch in batches:
-            for line, file, block, opened in zip(*(batch.column(c).to_pylist() for c in ("value", FILE, BLOCK, "open")), strict=True):
+        for part in slices(batches, ("value", FILE, BLOCK, "open")):
+            for line, file, block, opened in part:
                 if (file, block) != split:
                     if held:
                         closed(False)

@@ -2,9 +2,10 @@
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,20 @@ class Scan:
     failed: dict[str, str] = field(default_factory=dict)
 
 
+# Bytes of Arrow columns that are Python objects at a time.
+SLICE = 2_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[Iterator[tuple]]:
+    """The rows of batches as tuples, a bounded number of bytes at a time: a batch may hold thousands of long texts, and they cost several
+    times their bytes as Python objects."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
 # What a path stands for more than itself by.
 _GLOB = re.compile(r"[][{}*?\\]")
 

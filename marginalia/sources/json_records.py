@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import BLOCK, FILE, ROW
 from ..scratch import written_once
-from .files import bookkeeping
+from .files import bookkeeping, slices
 
 LIST, SOURCES, OTHER = "bookmarks", "sources", ""
 
@@ -73,8 +73,8 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([dict(zip(names, values, strict=True))], schema)
 
     split = told = None
-    for batch in batches:
-        for text, length, size, *of in zip(*(batch.column(c).to_pylist() for c in ("value", "bytes", "size", FILE, BLOCK)), strict=True):
+    for part in slices(batches, ("value", "bytes", "size", FILE, BLOCK)):
+        for text, length, size, *of in part:
             if of != split:
                 if told:
                     yield row(told)
@@ -268,8 +268,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     split = None
-    for batch in batches:
-        for text, *of in zip(*(batch.column(c).to_pylist() for c in ("value", FILE, BLOCK, "root", "open", "depth")), strict=True):
+    for part in slices(batches, ("value", FILE, BLOCK, "root", "open", "depth")):
+        for text, *of in part:
             if split is None or split.of != (of[0], of[1]):
                 if split:
                     yield told(split.end())

@@ -113,3 +113,15 @@ def test_broken_records_and_documents(spark, tmp_path):
     assert (report["records.json"]["imported"], report["records.json"]["parse_errors"], report["records.json"]["dropped_no_url"]) == (58, 2, 0)
     assert report["records.json"]["failure"] is None and report["none.json"]["failure"] is None and report["single.json"]["imported"] == 1
     assert {n for n, r in report.items() if r["failure"] == "malformed"} >= {n for n, v in reading.items() if v == json_records.BROKEN_FILE}
+
+
+def test_long_texts_are_taken_some_at_a_time():
+    import pyarrow as pa
+
+    from marginalia.sources import files
+
+    texts = [str(n) + "x" * (files.SLICE // 3) for n in range(10)]
+    batches = [pa.RecordBatch.from_pydict({"value": texts, "at": list(range(10))}), pa.RecordBatch.from_pydict({"value": ["a", "b"], "at": [10, 11]})]
+    taken = [list(part) for part in files.slices(iter(batches), ("value", "at"))]
+    assert [row for part in taken for row in part] == list(zip([*texts, "a", "b"], range(12), strict=True))
+    assert max(sum(len(t) for t, _ in part) for part in taken) <= files.SLICE and len(taken[-1]) == 2
