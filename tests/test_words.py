@@ -47,6 +47,17 @@ def test_grams_and_entropies(spark, library):
     assert told["甲乙"]["before"] == pytest.approx(math.log(2)) and told["甲乙"]["behind"] == pytest.approx(math.log(2))
 
 
+def test_grams_of_a_long_run(spark):
+    # A run that is never broken, characters outside the basic plane among it; a text is gone through once, not once for every place.
+    draw = random.Random(7)
+    run = "".join(draw.choice("甲乙丙\U00020000\U00020001") for _ in range(60_000))
+    began = time.time()
+    counts = {r["gram"]: r["cnt"] for r in lexicon.grams(spark.createDataFrame([(run,), ("甲",)], "run string")).collect()}
+    assert time.time() - began < 30
+    plain = Counter(m[i : i + n] for m in (f"^{run}$", "^甲$") for n in range(1, 6) for i in range(len(m) - n + 1))
+    assert counts == {g: c for g, c in plain.items() if g not in "^$"}
+
+
 def test_best_path_is_the_cheapest():
     draw = random.Random(4)
     for _ in range(300):
