@@ -90,12 +90,15 @@ def cloud_surfaces(library: DataFrame, mode: str = "plain", words=tx.words) -> D
 
     Whatever a word costs to filter and stem is then paid once per distinct word.
     """
-    surfaces = F.col("words")
+    listed = document_words(library, words)
     if mode == "grouped":
-        surfaces = F.when(F.col("language") == "en", tx.keyword_surfaces("words")).otherwise(surfaces)
+        # Content words are a column of their own, so that they are found once and not again for pairs.
+        english = F.col("language") == "en"
+        listed = listed.withColumn("words", F.when(english, tx.content_words("words")).otherwise(F.col("words")))
+        listed = listed.withColumn("words", F.when(english, tx.keyword_surfaces("words")).otherwise(F.col("words")))
     return (
-        document_words(library, words)
-        .select("seq", "language", F.posexplode_outer(surfaces).alias("pos", "surface"))
+        listed.select("seq", "language", F.posexplode_outer("words").alias("pos", "surface"))
+        .where(F.col("surface").isNotNull())
         .groupBy("language", "surface")
         .agg(F.count("*").alias("cnt"), F.min(values.first_seen("seq", "pos")).alias("seen"))
     )
@@ -111,27 +114,30 @@ def cloud_terms(surfaces: DataFrame, mode: str = "plain") -> DataFrame:
     # A condition on words alone would be pushed below the counting, to every single occurrence; one
     # that also names the count is not.
     counted = F.col("cnt") > 0
-    rows = surfaces.select(
+    if mode == "plain":
+        rows = surfaces.withColumn("base", tx.without_possessive("surface"))
+        other = F.when(tx.is_cjk_keyword("surface", "language"), tx.cjk_keyword_key("surface"))
+        rows = rows.withColumn("key", F.when(english, tx.term("base", "language", CLOUD_EN)).otherwise(other))
+        return rows.select(
+            (~english).alias("grouped"),
+            F.when(counted, F.col("key")).alias("key"),
+            F.when(english, F.col("key")).otherwise(F.col("surface")).alias("display"),
+            "cnt",
+            "seen",
+        ).where(F.col("key").isNotNull())
+    # Judged before there is a key: a condition on the key would work it out a second time.
+    rows = surfaces.where(F.when(counted, F.col("surface").isNotNull() & (english | tx.is_cjk_keyword("surface", "language"))))
+    first, second = tx.keyword_parts("surface")
+    rows = rows.select(
         "language",
         "surface",
         "cnt",
         "seen",
-        tx.without_possessive("surface").alias("base"),
-        F.when(~english, tx.cjk_keyword("surface", "language")).alias("other"),
+        F.when(english, first).otherwise(F.col("surface")).alias("first"),
+        F.when(english, second).alias("second"),
     )
-    if mode == "plain":
-        rows = rows.withColumn("key", F.when(english, tx.term("base", "language", CLOUD_EN)))
-        display, grouped = F.col("key"), ~english
-    else:
-        rows = rows.withColumn("key", F.when(english, tx.keyword_key("surface")))
-        display, grouped = F.col("surface"), F.lit(True)
-    return rows.select(
-        grouped.alias("grouped"),
-        F.when(counted, F.when(english, F.col("key")).otherwise(tx.cjk_keyword_key("other"))).alias("key"),
-        F.when(english, display).otherwise(F.col("other")).alias("display"),
-        "cnt",
-        "seen",
-    ).where(F.col("key").isNotNull())
+    key = F.when(english, tx.keyword_key("first", "second")).otherwise(tx.cjk_keyword_key("first"))
+    return rows.select(F.lit(True).alias("grouped"), key.alias("key"), F.col("surface").alias("display"), "cnt", "seen")
 
 
 def cloud_counts(terms: DataFrame) -> DataFrame:

@@ -58,6 +58,15 @@ def test_words_are_judged_after_counting(stored):
     assert "herself" not in below
 
 
+def test_keywords_are_judged_and_cut_once(stored):
+    text = plan(terms.cloud_terms(terms.cloud_surfaces(stored, "grouped"), "grouped"))
+    above, below = text[: text.index("Exchange")], text[text.index("Exchange") :]
+    assert below.count("herself") == 1
+    # The parts of a pair are columns; stems name these, and no condition works out a stem.
+    assert len(re.findall("(?i)split|substring_index", above)) == 2
+    assert not re.search(r"Filter .*EndsWith", above)
+
+
 def test_plain_similarity_moves_texts_once(stored):
     text = plan(similarity._tf_scores(terms.postings(stored), similarity.target_vector(stored, "1")))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

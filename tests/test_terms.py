@@ -35,6 +35,14 @@ def test_grouped_cloud(library):
     assert "models models" not in found and "learning and" not in found
 
 
+def test_keyword_keys(library):
+    rows = library({"title": "machines learned, learned the dog's 42 zebras"}, {"title": "AI 人工智能 的 robots 42"}, {"title": ""}, {"title": "the"})
+    found = terms.cloud_terms(terms.cloud_surfaces(rows, "grouped"), "grouped").collect()
+    assert sorted((r["key"], r["display"], r["cnt"]) for r in found) == [
+        ("ai", "ai", 1), ("dog'", "dog's", 1), ("learn", "learned", 2), ("machin", "machines", 1), ("machin learn", "machines learned", 1),
+        ("robot", "robots", 1), ("zebra", "zebras", 1), ("人工", "人工", 1), ("工智", "工智", 1), ("智能", "智能", 1)]
+
+
 def test_statistics(library):
     rows = library({"title": "rare common common"}, {"title": "common"}, {"title": ""})
     found = {r["term"]: (r["df"], r["idf"]) for r in terms.idf_table(rows).collect()}
