@@ -87,8 +87,8 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
         counts, removed, digests = [], [], []
-        for text, a, b in zip(batch.column("text").cast(pa.binary()), starts, ends, strict=True):
-            words = text.as_py().split()
+        for text, a, b in zip(passages.unpacked(batch.column("packed")), starts, ends, strict=True):
+            words = text.split()
             counts.append(len(words))
             if a:
                 for low, high in reversed(list(zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist(), strict=True))):
@@ -102,7 +102,7 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, text, key) and the ranges of words to remove (doc_id, key, starts, ends)."""
+    """The documents (doc_id, key, packed) and the ranges of words to remove (doc_id, key, starts, ends)."""
     return passages.removable(docs, read, solve, WINDOW, ANCHOR)
 
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import passages, phrase_dedup, suffix_dedup
@@ -115,3 +117,60 @@ def test_removals_come_from_the_finds(monkeypatch):
     # Columns only say where a shard's phrases are cut; a text is laid where the automaton finds one.
     monkeypatch.setattr(phrase_dedup, "automaton", whole)
     assert phrase_dedup.solve(asked([one, one], [5, 9], [20, 25])).tolist() == [5] * 22
+
+
+def test_what_is_exchanged_is_small(monkeypatch):
+    monkeypatch.setattr(passages, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    draw = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in draw.integers(0, 26, int(n))) for n in draw.integers(2, 9, 400)]
+    text = lambda n: " ".join(words[k] for k in draw.integers(0, 400, n))
+    passage = text(300)
+    texts = [f"{text(250)} {passage if k % 2 else text(300)}".encode() for k in range(200)]
+    docs, keys = pa.array(range(200), pa.int64()), pa.array(range(200), pa.int64())
+    whole, shards = sum(map(len, texts)), [0, 1]
+    size = lambda batches: sum(c.nbytes for b in batches for c in b.columns)
+    batch = pa.RecordBatch.from_pydict({"doc_id": docs, "key": keys, "text": pa.array(texts, pa.binary())})
+    asked = list(passages._anchors(suffix_dedup.read, 50, 16, shards)(iter([batch])))
+    # Hashes of eight bytes, a count and a row were over 0.7 of the texts.
+    assert size(asked) < 0.35 * whole
+    dealt = lambda batches, name: iter(pa.Table.from_batches(batches).sort_by([(name, "ascending"), ("kind", "ascending")]).to_batches())
+    known = pa.Table.from_batches(passages._per_row(dealt(list(passages._recurring(dealt(asked, "shard"))), "block"))).to_pydict()
+    assert max(len(x) / len(h) for x, h in zip(known["anchors"], known["hot"], strict=True)) == passages.ASKED_BYTES
+    row = {d: (a, h) for d, a, h in zip(known["doc_id"], known["anchors"], known["hot"], strict=True)}
+    packed = pa.Table.from_batches(passages._packed(iter([batch])))
+    assert packed.nbytes < 0.6 * whole
+    packed = packed.append_column("anchors", pa.array([row.get(d, (None, None))[0] for d in range(200)], pa.binary()))
+    packed = packed.append_column("hot", pa.array([row.get(d, (None, None))[1] for d in range(200)], pa.binary()))
+    found = list(passages._found(suffix_dedup.read, 50, 16, shards)(iter(packed.to_batches())))
+    parked = [x for b in found for x in b.to_pylist() if x["kind"] == passages.PARKED]
+    pieces = sum(len(passages._array(x, "e", np.uint64)) for x in parked)
+    # Sixteen bytes before.
+    assert sum(len(x[c]) for x in parked for c in "cde") < 3.5 * pieces
+    answers = list(passages._solved(suffix_dedup.solve)(dealt(found, "shard")))
+    told = sum(len(passages._array(x, "b", np.uint16)) for b in answers for x in b.to_pylist() if x["kind"] == passages.ANSWER)
+    assert told < pieces
+    cut = pa.Table.from_batches(passages._ranges(50)(dealt(answers, "block"))).to_pylist()
+    gone = {x["doc_id"]: int((np.frombuffer(x["ends"], np.int64) - np.frombuffer(x["starts"], np.int64)).sum()) for x in cut}
+    assert [gone.get(d, 0) for d in range(200)] == [n for _, _, n, _, _ in sorted(byte_rows(list(enumerate(t.decode() for t in texts))))]
+
+
+def test_places_are_told_once():
+    draw = np.random.default_rng(3)
+    home, piece = draw.integers(0, 3, 50), draw.integers(0, 20, 500)
+    shard = home[piece]
+    want, told, numbers, next_ = [], [], {}, [0, 0, 0]
+    for p, s in zip(piece.tolist(), shard.tolist(), strict=True):
+        told.append((s << 40) | (numbers[p] + 1 if p in numbers else 0))
+        if p not in numbers:
+            numbers[p], next_[s] = next_[s], next_[s] + 1
+        want.append((s << 40) + numbers[p])
+    assert passages._places(np.array(told, np.uint64)).tolist() == want
+
+
+def test_blocks_of_little_text_and_ids_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 700)
+    low, high = -(2**63), 2**63 - 1
+    rows = [({0: low, 1: high, 2: 0}.get(d, d), t) for d, t in planted()]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, suffix_dedup.digests(table).collect()), key=str) == byte_rows(rows)
+    assert sorted(map(tuple, phrase_dedup.digests(table).collect()), key=str) == word_rows(rows)
